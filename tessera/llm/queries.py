@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, packing, simhash
-from tessera.llm.common import table
+from tessera.llm import line_dedup, packing, quality_crf, simhash, toxicity
+from tessera.llm.common import id_bucket, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,13 +28,27 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; rows whose id's crc32 leaves 2 modulo 4 are never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_crf.score_documents(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels"), held_out=(4, 2)))
+    return scored.select("doc_id", F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_lines", "bad_lines")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; rows whose id's crc32 leaves 0 modulo 5 are never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out=(5, 0)))
+    return scored.select("doc_id", F.coalesce(id_bucket("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_windows", "top_window")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and the class that each belongs to."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_packing, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_quality, op8_toxicity, op10_simhash)}
 
 #: DuckDB SQL of those that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.oracle()}
