@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, packing, quality_crf, simhash, toxicity
-from tessera.llm.common import id_bucket, table
+from tessera.llm import line_dedup, media, packing, phrases, quality_crf, simhash, toxicity, url_rules, warc
+from tessera.llm.common import ensure_checkpoint_dir, id_bucket, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -35,6 +35,28 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_lines", "bad_lines")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return phrases.with_edited(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC bundles in the shared folder, and every record read back from them."""
+    ensure_checkpoint_dir(spark)
+    path = warc.write_archives(table(spark, sf_dir, "pages"), spark.sparkContext.getCheckpointDir())
+    return warc.read_archives(spark.read.parquet(path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by curated rules, and elsewhere by rules mined from labels."""
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes stored as a PNG and read back, with hashes of both and a cosine hash."""
+    return media.image_features(media.store_images(table(spark, sf_dir, "documents")))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; rows whose id's crc32 leaves 0 modulo 5 are never learned from."""
     docs = table(spark, sf_dir, "documents")
@@ -48,7 +70,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_quality, op8_toxicity, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_quality, op4_fingerprints, op5_warc, op7_url_rules, op8_toxicity, op9_media, op10_simhash)}
 
 #: DuckDB SQL of those that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.oracle(), "op5_warc": warc.oracle()}
