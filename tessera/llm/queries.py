@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, media, packing, phrases, quality_crf, simhash, toxicity, url_rules, warc
+from tessera.llm import line_dedup, media, packing, phrases, piece_codec, quality_crf, simhash, toxicity, url_rules, warc
 from tessera.llm.common import ensure_checkpoint_dir, id_bucket, table
 
 
@@ -47,6 +47,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark.read.parquet(path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to piece ids and decoded again: counts and digests of ids and of the decoded text, and whether it equals the document."""
+    docs, path = table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")
+    return piece_codec.round_trip(docs, path)
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by curated rules, and elsewhere by rules mined from labels."""
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
@@ -70,7 +76,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_quality, op4_fingerprints, op5_warc, op7_url_rules, op8_toxicity, op9_media, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_quality, op4_fingerprints, op5_warc, op6_pieces, op7_url_rules, op8_toxicity, op9_media, op10_simhash)}
 
 #: DuckDB SQL of those that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.oracle(), "op5_warc": warc.oracle()}
