@@ -42,17 +42,21 @@ def _toss(bits: int) -> np.ndarray:
 _TOSS8, _TOSS5, _TOSS4 = _toss(8), _toss(5), _toss(4)
 
 
-def phrase_ends(symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The ends (exclusive) of phrases of byte symbols; ``last`` marks the last symbol of each text."""
+def phrase_ends(symbols: np.ndarray, text_end: np.ndarray) -> np.ndarray:
+    """The ends (exclusive) of phrases of byte symbols of texts with the given ends; no label looks beyond its text."""
+    first = np.concatenate(([0], text_end[:-1]))
     previous = np.empty_like(symbols)
     previous[0], previous[1:] = 0, symbols[:-1]
     label = _TOSS8[(previous.astype(np.uint16) << 8) | symbols]
+    label[first] = 0
     for table, bits in ((_TOSS5, 5), (_TOSS4, 4)):
         previous[1:] = label[:-1]
         label = table[(previous.astype(np.uint16) << bits) | label]
+        label[first] = 0
     peak = np.zeros(len(symbols), dtype=bool)
     peak[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] >= label[2:])
-    return np.flatnonzero(peak | last) + 1
+    peak[text_end - 1] = True
+    return np.flatnonzero(peak) + 1
 
 
 def text_names(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -65,9 +69,7 @@ def text_names(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray
     text_end = np.cumsum(size[owner])
     names: np.ndarray = symbols
     for level in range(1, LEVELS + 1):
-        last = np.zeros(len(symbols), dtype=bool)
-        last[text_end - 1] = True
-        ends = phrase_ends(symbols, last)
+        ends = phrase_ends(symbols, text_end)
         begins = np.concatenate(([0], ends[:-1]))
         names = span_hashes(names, begins, ends)
         text_end = np.searchsorted(ends, text_end) + 1
