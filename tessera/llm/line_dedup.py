@@ -2,8 +2,8 @@
 
 Native: DataFrame functions only.  A hash over each line and the line before decides where chunks
 end, so a passage is cut alike wherever it stands.  Chunk hashes are counted with map-side partial
-aggregates; only chunks whose hash occurs in several documents are compared, byte by byte, with the
-first document's chunk before they go.
+aggregates; a chunk whose hash an earlier document has is compared with that document's chunk, byte by
+byte, before it goes.
 """
 
 from __future__ import annotations
@@ -48,13 +48,12 @@ def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     # computation of the chunks, into a filter below.
     slim = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"))
     chunks = line_chunks(slim, "__text").select("__id", F.explode_outer("__chunks").alias("c")).where(f"__id is not null and c.solid >= {int(min_lines)}").select("__id", F.col("c.h").alias("h"), F.col("c.text").alias("text"))
-    repeated = chunks.groupBy("h").agg(F.min("__id").alias("first_id"), F.max("__id").alias("last_id")).where("first_id < last_id").select("h", "first_id")
-    found = chunks.join(repeated, "h")
-    first = found.where("__id = first_id").select("h", F.col("text").alias("first_text")).dropDuplicates(["h"])
-    gone = found.where("__id > first_id").join(first, "h").where("text = first_text").select("__id", "h")
-    lost = gone.groupBy("__id").agg(F.collect_set("h").alias("__lost")).withColumnRenamed("__id", "__lost_id")
+    # Chunk texts move once, after each task has kept one text a hash; later only repeated texts do.
+    firsts = chunks.groupBy("h").agg(F.min("__id").alias("first_id"), F.max("__id").alias("last_id"), F.min_by("text", "__id").alias("text")).where("first_id < last_id")
+    later = chunks.select("__id", "h").join(firsts.select("h", "first_id", "text"), "h").where("__id > first_id")
+    lost = later.groupBy(F.col("__id").alias("__lost_id")).agg(F.collect_set(F.struct("h", "text")).alias("__lost"))
     joined = docs.join(lost, docs[id_column] == lost["__lost_id"], "left").drop("__lost_id")
-    cut = line_chunks(joined, text_column).withColumn("__kept", F.expr(f"filter(__chunks, c -> __lost is null or c.solid < {int(min_lines)} or not array_contains(__lost, c.h))"))
+    cut = line_chunks(joined, text_column).withColumn("__kept", F.expr(f"filter(__chunks, c -> __lost is null or c.solid < {int(min_lines)} or not exists(__lost, l -> l.h = c.h and l.text = c.text))"))
     total = "aggregate({}, 0, (a, c) -> a + c.lines)"
     return (
         cut.withColumn(text_column, F.expr("array_join(transform(__kept, c -> c.text), '\\n')"))
