@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import sequence as fx
-from tessera.operators import anchors, chains, evaluation, intervals, matching, tokens
+from tessera.operators import alignment, anchors, chains, components, evaluation, intervals, matching, tokens, trimming
+from tessera.sources import formats
 from tessera.sources import tables as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -408,3 +409,86 @@ def fp_failure_modes(spark, d):
 def micro_prf(spark, d):
     """Precision, recall and F1 over all labels."""
     return evaluation.micro_scores(src.table(spark, d, "labels"))
+
+
+# Formats, logs and the order-dependent stages -----------------------------------------------------
+
+@query("""select chrom, pos, event_id::varchar as id, kind, size, pos + case when kind = 'DEL' then size else 0 end as "end", 'true' as imprecise from sv_events""", src.SV_EVENTS)
+def vcf_info_map(spark, d):
+    """Events written as variant lines and parsed again, with their INFO fields."""
+    parsed = formats.parse_vcf(formats.write_vcf_lines(src.sv_events(spark, d)))
+    return parsed.select("chrom", "pos", "id", "kind", "size", "end", F.col("info")["IMPRECISE"].alias("imprecise"))
+
+
+@query("select sequence_id::varchar as sequence_id, sha256(seq) as digest, length(seq)::bigint as bases, length(seq) > 0 as valid from sequences", src.SEQUENCES)
+def fasta_roundtrip(spark, d):
+    """Sequences written as FASTA records of 80 columns and parsed again."""
+    back = formats.parse_fasta(formats.fasta_records(src.sequences(spark, d)))
+    return back.select("sequence_id", F.sha2("seq", 256).alias("digest"), F.length("seq").cast("bigint").alias("bases"), "valid")
+
+
+@query("""select trial, coalesce(u.total, b.total) as total, u.total is not null as updated from (select o_custkey as trial, sum(round(o_totalprice))::bigint as total from orders where o_orderkey % 3 <> 1 group by 1) b
+  full join (select o_custkey as trial, sum(round(o_totalprice))::bigint as total from orders where o_orderkey % 3 = 1 group by 1) u using (trial)""")
+def trial_log_upsert(spark, d):
+    """A log of totals by key, with new rows in place of old ones of the same key."""
+    rows = src.table(spark, d, "orders").select(F.col("o_custkey").alias("trial"), F.round("o_totalprice").cast("bigint").alias("total"), (F.expr("o_orderkey % 3") == 1).alias("updated"))
+    logged = rows.groupBy("trial", "updated").agg(F.sum("total").alias("total")).select("trial", "total", "updated")
+    return formats.upsert(logged.where("not updated"), logged.where("updated"), ["trial"])
+
+
+@query("""select cause, case when t_gap < 0 then 'negative' when t_gap < 1000 then 'under_1k' when t_gap < 10000 then '1k_10k' else 'over_10k' end as bin, count(*) as n, min(t_gap) as least, max(t_gap) as most from gaps group by 1, 2""", GAPS)
+def gap_bins(spark, d):
+    """Gaps by cause and length class."""
+    size = F.when(F.col("t_gap") < 0, "negative").when(F.col("t_gap") < 1000, "under_1k").when(F.col("t_gap") < 10000, "1k_10k").otherwise("over_10k")
+    return intervals.adjacent_gaps(src.intervals(spark, d)).groupBy("cause", size.alias("bin")).agg(F.count("*").alias("n"), F.min("t_gap").alias("least"), F.max("t_gap").alias("most"))
+
+
+@query("""select strand, count(*) as truths, count(*) filter (where o > 0) as found, count(*) filter (where o = qe - qs) as covered, count(*) filter (where o * 20 >= (qe - qs) * 19) as covered_95 from (select a.strand, a.qs, a.qe, coalesce((select max(least(a.qe, c.qe) - greatest(a.qs, c.qs))
+  from intervals c where c.t <> 't0' and c.q = a.q and c.strand = a.strand and c.qs < a.qe and c.qe > a.qs), 0) as o from (select distinct q, strand, qs, qe from intervals where t = 't0' and qe > qs) a) group by strand""", src.INTERVALS)
+def boundary_summary(spark, d):
+    """How many truth intervals a call overlaps, covers, or covers to 95 %, by strand."""
+    o, n = F.col("best_overlap"), F.col("qe") - F.col("qs")
+    return truth_boundary_best(spark, d).groupBy("strand").agg(F.count("*").alias("truths"), F.count_if(o > 0).alias("found"), F.count_if(o == n).alias("covered"), F.count_if(o * 20 >= n * 19).alias("covered_95"))
+
+
+@query()
+def trimmed_chains(spark, d):
+    """Chains with the decision of the overlap fold on their track."""
+    return trimming.trim_chains(chains_by_track(spark, d))
+
+
+@query()
+def chain_context(spark, d):
+    """Kept chains classified against their track's skeleton."""
+    return trimming.chain_context(trimmed_chains(spark, d).where("decision = 'kept'").drop("decision"))
+
+
+def _turn_pairs(spark, d):
+    from pyspark.sql import Window
+
+    over = Window.partitionBy("conv_id").orderBy("turn", "text")
+    rows = src.table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).withColumn("after", F.lead("text").over(over)).where("after is not null")
+    return rows.withColumn("pair_id", F.xxhash64("conv_id", "turn"))
+
+
+@query()
+def fallback_align(spark, d):
+    """Unit-cost global alignments of each conversation turn's letters with the next turn's."""
+    letters = lambda c: F.upper(F.regexp_replace(c, "[^A-Za-z]", ""))
+    return alignment.align_pairs(_turn_pairs(spark, d).select("pair_id", letters(F.col("text")).alias("ref"), letters(F.col("after")).alias("query")))
+
+
+@query()
+def token_edit_distance(spark, d):
+    """Bounded edit distances of each turn's words to the next turn's, forwards and reversed."""
+    return alignment.token_distances(_turn_pairs(spark, d).select("pair_id", F.split("text", r"\s+").alias("left"), F.split("after", r"\s+").alias("right")))
+
+
+@query("""select node, min(reach) as component from walk group by node""", """recursive e as (select distinct o_custkey * 2 as u, o_orderkey * 2 + 1 as v from orders union select distinct o_custkey * 2, -1 - o_custkey // 4 from orders),
+both_ways as (select u as a, v as b from e union select v, u from e),
+walk as (select a as node, a as reach from both_ways union select w.node, b.b from walk w join both_ways b on b.a = w.reach)""")
+def component_labels(spark, d):
+    """Connected components of the graph of customers, their orders and their groups of four."""
+    rows = src.table(spark, d, "orders")
+    edges = rows.select((F.col("o_custkey") * 2).alias("u"), (F.col("o_orderkey") * 2 + 1).alias("v")).unionByName(rows.select((F.col("o_custkey") * 2).alias("u"), F.expr("-1 - o_custkey div 4").alias("v")))
+    return components.connected_components(edges)

@@ -10,7 +10,7 @@ import pytest
 from tessera.jobs.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-KIND = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "int": "INTEGER"}
+KIND = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "int": "INTEGER", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
