@@ -57,7 +57,8 @@ def kmer_frequency(spark, d):
     return anchors.kmer_frequency(src.sequences(spark, d))
 
 
-@query("""select a.kmer, sum(b.freq)::bigint as freq from counts a join counts b on hamming(a.kmer, b.kmer) <= 1 group by a.kmer""", KMERS)
+@query(f"""select near as kmer, sum(freq)::bigint as freq from (select distinct kmer, freq, substr(kmer, 1, i - 1) || b || substr(kmer, i + 1) as near from counts, (select unnest(range(1, {anchors.K + 1})) as i), (select unnest(['A', 'C', 'G', 'T']) as b))
+  where near in (select kmer from counts) group by near""", KMERS)
 def kmer_frequency_hamming(spark, d):
     """Counts of all k-mers with up to one mismatch."""
     return anchors.kmer_frequency_hamming(src.sequences(spark, d))
@@ -492,3 +493,15 @@ def component_labels(spark, d):
     rows = src.table(spark, d, "orders")
     edges = rows.select((F.col("o_custkey") * 2).alias("u"), (F.col("o_orderkey") * 2 + 1).alias("v")).unionByName(rows.select((F.col("o_custkey") * 2).alias("u"), F.expr("-1 - o_custkey div 4").alias("v")))
     return components.connected_components(edges)
+
+
+@query("""select t, f as share, list_sort(v)[round_even((len(v) - 1) * f, 0)::int + 1] as value from (select t, list(t_gap) as v from gaps group by t), (select unnest([0.0, 0.25, 0.5, 0.75, 1.0])::double as f)""", GAPS)
+def gap_quantiles(spark, d):
+    """Nearest-rank quantiles of every target's gaps."""
+    return evaluation.nearest_rank_quantiles(intervals.adjacent_gaps(src.intervals(spark, d)), "t", "t_gap")
+
+
+@query()
+def edit_op_histogram(spark, d):
+    """Edit operations by word index over the alignments of each turn's words with the next turn's."""
+    return alignment.operation_histogram(_turn_pairs(spark, d).select(F.split("text", r"\s+").alias("left"), F.split("after", r"\s+").alias("right")))

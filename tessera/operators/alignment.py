@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def global_alignment(ref: str, query: str) -> tuple[str, int, int]:
@@ -87,3 +88,48 @@ def token_distances(pairs: DataFrame, limit: int = 12) -> DataFrame:
             yield pd.DataFrame(rows, columns=["pair_id", "distance", "reversed_distance"])
 
     return pairs.select("pair_id", "left", "right").mapInPandas(run, "pair_id long, distance long, reversed_distance long")
+
+
+def edit_steps(left: list, right: list) -> list[tuple[str, int]]:
+    """(operation, index of the left token) along a least-cost alignment of two token lists: match, substitution, deletion, insertion.
+
+    Rows of the table are filled as whole vectors.  Read from the end, of equal costs the diagonal comes
+    first, then the deletion, then the insertion; an insertion carries the index of the left token that
+    follows it.
+    """
+    codes: dict = {}
+    a, b = (np.array([codes.setdefault(x, len(codes)) for x in tokens], dtype=np.int64) for tokens in (left, right))
+    n, m = len(a), len(b)
+    offset = np.arange(m + 1)
+    table = np.empty((n + 1, m + 1), dtype=np.int64)
+    table[0] = offset
+    for i in range(1, n + 1):
+        best = table[i - 1] + 1
+        best[1:] = np.minimum(best[1:], table[i - 1, :-1] + (b != a[i - 1]))
+        table[i] = np.minimum.accumulate(best - offset) + offset
+    out, i, j = [], n, m
+    while i or j:
+        if i and j and table[i, j] == table[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
+            i, j = i - 1, j - 1
+            out.append(("match" if a[i] == b[j] else "substitution", i))
+        elif i and table[i, j] == table[i - 1, j] + 1:
+            i -= 1
+            out.append(("deletion", i))
+        else:
+            j -= 1
+            out.append(("insertion", i))
+    return out[::-1]
+
+
+def operation_histogram(pairs: DataFrame) -> DataFrame:
+    """(left_index, operation, n) over the alignments of rows (left array, right array); each batch is counted before the shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts: dict[tuple[str, int], int] = {}
+            for a, b in zip(batch["left"], batch["right"]):
+                for step in edit_steps(list(a), list(b)):
+                    counts[step] = counts.get(step, 0) + 1
+            yield pd.DataFrame([(i, op, n) for (op, i), n in counts.items()], columns=["left_index", "operation", "n"])
+
+    return pairs.select("left", "right").mapInPandas(run, "left_index long, operation string, n long").groupBy("left_index", "operation").agg(F.sum("n").alias("n"))

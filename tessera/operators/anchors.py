@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,17 +34,54 @@ def kmer_frequency_hamming(sequences: DataFrame, k: int = K) -> DataFrame:
     return spread.join(counts.select("kmer"), "kmer", "left_semi")
 
 
+#: Base codes by byte; 4 for anything else.
+_CODE = np.full(256, 4, dtype=np.int64)
+_CODE[np.frombuffer(b"ACGT", dtype=np.uint8)] = np.arange(4)
+
+
+def frame_sums(seq: bytes, table: np.ndarray, k: int, frame: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, sum of the table's entries) of every run of ``frame`` k-mers that are all of A, C, G and T."""
+    codes = _CODE[np.frombuffer(seq, dtype=np.uint8)]
+    n = len(codes) - k + 1
+    if n < frame:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    place, bad = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    for j in range(k):
+        part = codes[j : j + n]
+        place = place * 4 + (part & 3)
+        bad |= part == 4
+    total = np.concatenate(([0], np.cumsum(np.where(bad, 0, table[place]))))
+    holes = np.concatenate(([0], np.cumsum(bad)))
+    start = np.flatnonzero(holes[frame:] == holes[:-frame])
+    return start, total[start + frame] - total[start]
+
+
 def window_scores(sequences: DataFrame, k: int = K, length: int = LENGTH) -> DataFrame:
     """(sequence_id, start, end, score_q): for windows of ``length`` bases the sum over their k-mers of round(1e9 * log(1 + saturated count)).
 
-    Scaled integers keep equal scores equal.  Windows run per sequence, so no task holds more than one
-    sequence's frame at a time.
+    Scaled integers keep equal scores equal.  The table of counts has at most 4**k entries and goes to
+    every task; windows are then running sums within each sequence, where its row is, without a
+    shuffle.  A k-mer with another letter than A, C, G and T breaks windows.
     """
+    if k > 10:
+        raise ValueError("the table of counts has 4**k entries: k is at most 10")
     frame = length - k + 1
-    scored = kmer_frequency(sequences, k).select("kmer", F.round(F.log1p(F.least(F.col("freq"), F.lit(65535)).cast("double")) * 1e9).cast("bigint").alias("q"))
-    over = Window.partitionBy("sequence_id").orderBy("pos").rowsBetween(1 - frame, 0)
-    rows = kmers(sequences, k).join(scored, "kmer").select("sequence_id", "pos", F.sum("q").over(over).alias("score_q"), F.count("*").over(over).alias("n"))
-    return rows.where(F.col("n") == frame).select("sequence_id", (F.col("pos") - frame + 1).alias("start"), (F.col("pos") + k).alias("end"), "score_q")
+    counted = kmer_frequency(sequences, k).where(F.col("kmer").rlike("^[ACGT]+$")).select("kmer", F.round(F.log1p(F.least(F.col("freq"), F.lit(65535)).cast("double")) * 1e9).cast("bigint").alias("q"))
+    table = np.zeros(4**k, dtype=np.int64)
+    for row in counted.collect():
+        table[int("".join(str("ACGT".index(c)) for c in row.kmer), 4)] = row.q
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for row, seq in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                start, score = frame_sums(seq or b"", table, k, frame)
+                for at in range(0, len(start), 1 << 20):
+                    own = pa.array(start[at : at + (1 << 20)])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(own), row))), own, pc.add(own, length), pa.array(score[at : at + (1 << 20)])], ["sequence_id", "start", "end", "score_q"])
+
+    kind = sequences.schema["sequence_id"].dataType.simpleString()
+    return sequences.select("sequence_id", "seq").mapInArrow(run, f"sequence_id {kind}, start long, end long, score_q long")
 
 
 def score_plateaus(windows: DataFrame, min_distance: int = 20) -> DataFrame:

@@ -36,6 +36,16 @@ def test_bounded_distance_fixtures():
         assert alignment.bounded_distance(left, right, limit) == want
 
 
+def test_edit_steps():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        a, b = (rng.choice(list("abc"), rng.integers(0, 12)).tolist() for _ in range(2))
+        steps = alignment.edit_steps(a, b)
+        assert sum(op != "match" for op, _ in steps) == alignment.bounded_distance(a, b, 30)
+        assert [i for op, i in steps if op != "insertion"] == list(range(len(a)))
+        assert sum(op != "deletion" for op, _ in steps) == len(b)
+
+
 def test_pairs_in_spark(spark):
     rows = spark.createDataFrame([(1, "ACGT", "AGT"), (2, "A" * 30, "A" * 30)], "pair_id long, ref string, query string")
     got = {r.pair_id: (r.cigar, r.score) for r in alignment.align_pairs(rows, most_cells=100).collect()}
