@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,3 +81,21 @@ def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * _power_table("up", _BASE, n), out=prefix[1:])
         down = _power_table("down", pow(_BASE, -1, 1 << 64), n + 1)
         return mix64((prefix[ends] - prefix[starts]) * down[starts])
+
+
+def train_in_task(sample: DataFrame, train: Callable, most: int):
+    """``train(texts, labels)`` of a bounded sample (id, text binary, label int), run in one task; only the model comes to the driver.
+
+    Rows are sorted first, so that a task that runs again gives the same model; at most ``most`` are used.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts).sort_by([("id", "ascending"), ("text", "ascending")]).slice(0, most)
+        model = train(rows.column("text").to_pylist(), rows.column("label").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(found[0].model)) if found else train([], [])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import byte_slices, id_bucket, span_hashes, utf8_list
+from tessera.llm.common import byte_slices, id_bucket, span_hashes, train_in_task, utf8_list
 
 
 @dataclass(frozen=True)
@@ -207,8 +207,8 @@ def train(texts: list[bytes], labels: list[int], p: Params = Params()) -> Model:
     return model
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", held_out: tuple[int, int] = (4, 2)) -> tuple[list[bytes], list[int]]:
-    """A bounded sample of labelled texts, at most ``documents_per_class`` of each label, chosen by a hash of the id.
+def training_sample(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", held_out: tuple[int, int] = (4, 2)) -> DataFrame:
+    """A bounded sample (id, text, label) of labelled texts, at most ``documents_per_class`` of each label, chosen by a hash of the id.
 
     Ids whose crc32 has the remainder ``held_out`` are never taken.  Only the sample's ids are broadcast
     (their number is a parameter); sampled texts are cut after ``sample_bytes`` bytes, for training only.
@@ -218,13 +218,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, p: Params = Params(), id
     parts = [usable.where(F.col("__label") == value).orderBy(F.xxhash64("__id"), "__id").limit(p.documents_per_class) for value in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     rows = docs.select(F.col(id_column).alias("__id"), F.substring(F.coalesce(F.col(text_column).cast("binary"), F.lit(b"")), 1, p.sample_bytes).alias("__text")).join(F.broadcast(chosen), "__id")
-    found = rows.select("__id", "__text", "__label").toArrow().sort_by([("__id", "ascending"), ("__text", "ascending")]).slice(0, 2 * p.documents_per_class)
-    return found.column("__text").to_pylist(), found.column("__label").to_pylist()
+    return rows.select(F.col("__id").cast("bigint").alias("id"), F.col("__text").alias("text"), F.col("__label").cast("int").alias("label"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), **columns) -> Model:
     """The model of a bounded sample of labelled documents; with one label only, or none, a constant one."""
-    return train(*training_sample(docs, labels, p, **columns), p)
+    return train_in_task(training_sample(docs, labels, p, **columns), lambda texts, known: train(texts, known, p), 2 * p.documents_per_class)
 
 
 def score_documents(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

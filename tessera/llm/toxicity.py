@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import byte_slices, id_bucket, span_hashes, utf8_list
+from tessera.llm.common import byte_slices, id_bucket, span_hashes, train_in_task, utf8_list
 
 
 @dataclass(frozen=True)
@@ -214,15 +214,15 @@ class Sample:
     def frequent(self, p: Params) -> tuple[np.ndarray, np.ndarray]:
         """Which word buckets and n-gram buckets occur in enough of the documents to be learned."""
         whole, ids, first = grams(self.words, p)
-        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        seen = np.unique(doc * len(self.words) + self.flat)
-        doc, word = seen // len(self.words), seen % len(self.words)
         per_word = np.diff(np.concatenate((first, [len(ids)])))
-        n = per_word[word]
-        at = np.repeat(first[word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pairs = np.unique(np.repeat(doc, n) * p.gram_buckets + ids[at])
-        words = np.unique(doc * p.word_buckets + whole[word])
-        return np.bincount(words % p.word_buckets, minlength=p.word_buckets) >= p.word_documents, np.bincount(pairs % p.gram_buckets, minlength=p.gram_buckets) >= p.gram_documents
+        words, pieces = np.zeros(p.word_buckets, dtype=np.int64), np.zeros(p.gram_buckets, dtype=np.int64)
+        for end, n in zip(np.cumsum(self.lengths).tolist(), self.lengths.tolist()):
+            own = np.unique(self.flat[end - n : end])
+            words[np.unique(whole[own])] += 1
+            counts = per_word[own]
+            at = np.repeat(first[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            pieces[np.unique(ids[at])] += 1
+        return words >= p.word_documents, pieces >= p.gram_documents
 
 
 def window_scores(model: Model, sample: Sample) -> np.ndarray:
@@ -295,8 +295,8 @@ def centred(model: Model, sample: Sample, label: np.ndarray) -> Model:
     return model
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", held_out: tuple[int, int] = (5, 0)) -> tuple[list[bytes], list[int]]:
-    """A bounded sample of labelled texts, at most ``toxic_documents`` and ``clean_documents``, chosen by a hash of the id.
+def training_sample(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", held_out: tuple[int, int] = (5, 0)) -> DataFrame:
+    """A bounded sample (id, text, label) of labelled texts, at most ``toxic_documents`` and ``clean_documents``, chosen by a hash of the id.
 
     Ids whose crc32 has the remainder ``held_out`` are never taken.  Only the sample's ids are broadcast
     (their number is a parameter); a sampled text is cut after the words of ``sample_windows`` windows
@@ -314,9 +314,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, p: Params = Params(), id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2)], ["id", "text", "label"])
 
     rows = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text")).join(F.broadcast(chosen), "__id").select("__id", "__text", "__label")
-    found = rows.mapInArrow(shorten, "id long, text binary, label int").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
-    found = found.slice(0, p.toxic_documents + p.clean_documents)  # ids that documents repeat
-    return found.column("text").to_pylist(), found.column("label").to_pylist()
+    return rows.mapInArrow(shorten, "id long, text binary, label int")
 
 
 class Scorer:
@@ -383,7 +381,7 @@ def score_documents(docs: DataFrame, model: Model, id_column: str = "doc_id", te
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), **columns) -> Model:
     """The model of a bounded sample of labelled documents; without any, an untrained one."""
-    return train(*training_sample(docs, labels, p, **columns), p)
+    return train_in_task(training_sample(docs, labels, p, **columns), lambda texts, known: train(texts, known, p), p.toxic_documents + p.clean_documents)
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
