@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import checkpointed
+
 K, LENGTH = 6, 50
 
 
@@ -115,21 +117,28 @@ def suppress(windows: DataFrame, min_center_distance: int = 60) -> DataFrame:
     return windows.select(columns).groupBy("sequence_id").applyInPandas(accept, windows.select(columns).schema)
 
 
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``number`` from 0 in the order of columns, without bringing them into one task.
+
+    Rows are dealt by ranges and sorted; a row's number is its rank in its range plus the rows of
+    earlier ranges, of which there is one count a partition.  Ranges are sampled, so they are fixed by a
+    checkpoint before they are counted.
+    """
+    dealt = checkpointed(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__rows"))
+    before = counts.select("__part", (F.sum("__rows").over(Window.orderBy("__part")) - F.col("__rows")).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return dealt.withColumn("__rank", rank).join(F.broadcast(before), "__part").withColumn("number", F.col("__rank") + F.col("__before")).drop("__rank", "__before", "__part")
+
+
 def select_anchors(kept: DataFrame, total_bases: int, density: float = 2000.0) -> DataFrame:
-    """The best floor(total_bases * density / 1e6) kept windows (a top-k) with dense ids in (sequence, start) order."""
+    """The best floor(total_bases * density / 1e6) kept windows (a top-k) with dense ids in (sequence, start) order.
+
+    The number kept grows with the input, so places are numbered by ranges, not by one sorted limit.
+    """
     budget = int(total_bases * density // 1_000_000)
-    best = kept.orderBy("score_q", "dist2_from_center", "sequence_id", "start").limit(budget)
-    # The budget is a density of the input, so ids are dealt by a sort and per-range counts, not in one task.
-    ranked = best.repartitionByRange("sequence_id", "start").sortWithinPartitions("sequence_id", "start").withColumn("part", F.spark_partition_id())
-    return dense_ids(ranked, ["sequence_id", "start"]).select(F.format_string("anchor_%08d", "number").alias("anchor_id"), "sequence_id", "start", "end", "score_q")
-
-
-def dense_ids(ranked: DataFrame, order: list[str]) -> DataFrame:
-    """``number`` from 0 over range-partitioned rows with their ``part``: rank within the part plus the rows of earlier parts (one row a part)."""
-    counts = ranked.groupBy("part").agg(F.count("*").alias("rows"))
-    before = counts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))
-    local = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    return ranked.withColumn("rank", local).join(F.broadcast(before), "part").withColumn("number", F.col("rank") + F.col("before")).drop("rank", "before", "part")
+    best = numbered(kept, ["score_q", "dist2_from_center", "sequence_id", "start"]).where(F.col("number") < budget).drop("number")
+    return numbered(best, ["sequence_id", "start"]).select(F.format_string("anchor_%08d", "number").alias("anchor_id"), "sequence_id", "start", "end", "score_q")
 
 
 def anchor_groups(anchors: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import checkpointed
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of undirected edges (u, v); the component is its smallest node.
@@ -14,12 +14,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round joins every node's neighbours to the smallest of them, first those above it, then those
     below; lineage is cut in the shared checkpoint folder.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-ckpt-"))
     down = edges.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct()
     loops = down.where("hi = lo").select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-    links, mark = down.where("hi <> lo").checkpoint(), None
+    links, mark = checkpointed(down.where("hi <> lo")), None
     while True:
         seen = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % 1_000_003)).first())
         if seen == mark:
@@ -30,7 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         above = around.join(least, "n").where("m > n").select(F.col("m").alias("hi"), F.col("least").alias("lo")).distinct()
         lowest = above.groupBy("hi").agg(F.min("lo").alias("least"))
         below = above.join(lowest, "hi").where("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
-        links = below.unionByName(lowest.select("hi", F.col("least").alias("lo"))).distinct().checkpoint()
+        links = checkpointed(below.unionByName(lowest.select("hi", F.col("least").alias("lo"))).distinct())
     named = links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component"))
     roots = links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return named.unionByName(roots).unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))
