@@ -22,6 +22,20 @@ class Params:
     min_score: float = 0.0
 
 
+#: Rows whose steps are costed at once.
+BLOCK = 4096
+
+
+def step_gains(ref: np.ndarray, query: np.ndarray, begin: int, end: int, plus: bool, p: Params) -> np.ndarray:
+    """(rows, predecessors): minus the cost of the step to each row from its 1st, 2nd, ... predecessor, -inf where none is allowed."""
+    at = np.arange(begin, end)[:, None] - np.arange(1, p.predecessors + 1)[None, :]
+    from_ = np.maximum(at, 0)
+    dr = ref[begin:end, None] - ref[from_]
+    dq = (query[begin:end, None] - query[from_]) * (1 if plus else -1)
+    x = np.abs(dr - dq) / p.gap_unit
+    return np.where((at >= 0) & (dr > 0) & (dq > 0) & (dr <= p.max_gap) & (dq <= p.max_gap), -(p.gap_weight * x + np.log2(1 + x)), -np.inf)
+
+
 def best_chain(ref: np.ndarray, query: np.ndarray, score: np.ndarray, plus: bool, p: Params) -> tuple[list[int], float]:
     """(rows of the best chain, its score) of rows sorted by ref, then query (descending on the minus strand).
 
@@ -30,19 +44,15 @@ def best_chain(ref: np.ndarray, query: np.ndarray, score: np.ndarray, plus: bool
     """
     n = len(ref)
     total, back = score.astype(np.float64).copy(), np.full(n, -1)
-    for i in range(1, n):
-        low = max(0, i - p.predecessors)
-        dr = ref[i] - ref[low:i]
-        dq = (query[i] - query[low:i]) * (1 if plus else -1)
-        ok = (dr > 0) & (dq > 0) & (dr <= p.max_gap) & (dq <= p.max_gap)
-        if not ok.any():
-            continue
-        x = np.abs(dr - dq) / p.gap_unit
-        value = np.where(ok, total[low:i] - (p.gap_weight * x + np.log2(1 + x)), -np.inf)[::-1]
-        at = int(np.argmax(value))
-        if value[at] > 0:
-            total[i] += value[at]
-            back[i] = i - 1 - at
+    for block in range(0, n, BLOCK):
+        gains = step_gains(ref, query, block, min(n, block + BLOCK), plus, p)
+        for i in range(max(1, block), min(n, block + BLOCK)):
+            value = total[max(0, i - p.predecessors) : i][::-1]
+            value = value + gains[i - block, : len(value)]
+            at = int(value.argmax())
+            if value[at] > 0:
+                total[i] += value[at]
+                back[i] = i - 1 - at
     end = int(np.argmax(total))
     rows, k = [], end
     while k >= 0:
