@@ -16,15 +16,54 @@ from tessera.operators.lineage import checkpointed
 K, LENGTH = 6, 50
 
 
-def kmers(sequences: DataFrame, k: int = K) -> DataFrame:
-    """(sequence_id, pos, kmer) of all positions, forward strand, positions from 0."""
-    long_enough = sequences.where(F.length("seq") >= k)
-    return long_enough.select("sequence_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos")).select("sequence_id", F.col("pos").cast("bigint").alias("pos"), F.substring("seq", F.col("pos") + 1, F.lit(k)).alias("kmer"))
+#: Base codes by byte; 4 for anything else.
+_CODE = np.full(256, 4, dtype=np.int64)
+_CODE[np.frombuffer(b"ACGT", dtype=np.uint8)] = np.arange(4)
+#: k-mers up to this long are counted in tables of 4**k entries.
+MOST_K = 10
+
+
+def kmer_codes(seq: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base-4 number of the k-mer at each place, whether it has another letter than A, C, G and T)."""
+    codes = _CODE[np.frombuffer(seq, dtype=np.uint8)]
+    n = max(0, len(codes) - k + 1)
+    place, bad = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    for j in range(k):
+        part = codes[j : j + n]
+        place = place * 4 + (part & 3)
+        bad |= part == 4
+    return place, bad
+
+
+def kmer_name(code: int, k: int) -> str:
+    """The letters of a base-4 number."""
+    return "".join("ACGT"[(code >> (2 * j)) & 3] for j in range(k - 1, -1, -1))
 
 
 def kmer_frequency(sequences: DataFrame, k: int = K) -> DataFrame:
-    """(kmer, freq) over all sequences; a partial aggregate, at most 4**k rows a task."""
-    return kmers(sequences, k).groupBy("kmer").agg(F.count("*").alias("freq"))
+    """(kmer, freq) of the k-mers of A, C, G and T over all sequences, forward strand.
+
+    Each batch is counted into a table of 4**k entries before the shuffle, so that at most that many
+    rows leave a batch.
+    """
+    if k > MOST_K:
+        raise ValueError(f"the tables have 4**k entries: k is at most {MOST_K}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, held, size = np.zeros(4**k, dtype=np.int64), [], 0
+            for seq in [*batch.column(0).cast(pa.binary()).to_pylist(), None]:
+                if seq is not None:
+                    place, bad = kmer_codes(seq, k)
+                    held.append(place[~bad])
+                    size += len(place)
+                if held and (seq is None or size > 1 << 21):
+                    counts += np.bincount(np.concatenate(held), minlength=4**k)
+                    held, size = [], 0
+            found = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([kmer_name(x, k) for x in found.tolist()], pa.string()), pa.array(counts[found])], ["kmer", "freq"])
+
+    return sequences.select("seq").mapInArrow(run, "kmer string, freq long").groupBy("kmer").agg(F.sum("freq").alias("freq"))
 
 
 def kmer_frequency_hamming(sequences: DataFrame, k: int = K) -> DataFrame:
@@ -36,22 +75,11 @@ def kmer_frequency_hamming(sequences: DataFrame, k: int = K) -> DataFrame:
     return spread.join(counts.select("kmer"), "kmer", "left_semi")
 
 
-#: Base codes by byte; 4 for anything else.
-_CODE = np.full(256, 4, dtype=np.int64)
-_CODE[np.frombuffer(b"ACGT", dtype=np.uint8)] = np.arange(4)
-
-
 def frame_sums(seq: bytes, table: np.ndarray, k: int, frame: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, sum of the table's entries) of every run of ``frame`` k-mers that are all of A, C, G and T."""
-    codes = _CODE[np.frombuffer(seq, dtype=np.uint8)]
-    n = len(codes) - k + 1
-    if n < frame:
+    place, bad = kmer_codes(seq, k)
+    if len(place) < frame:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    place, bad = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
-    for j in range(k):
-        part = codes[j : j + n]
-        place = place * 4 + (part & 3)
-        bad |= part == 4
     total = np.concatenate(([0], np.cumsum(np.where(bad, 0, table[place]))))
     holes = np.concatenate(([0], np.cumsum(bad)))
     start = np.flatnonzero(holes[frame:] == holes[:-frame])
@@ -65,10 +93,8 @@ def window_scores(sequences: DataFrame, k: int = K, length: int = LENGTH) -> Dat
     every task; windows are then running sums within each sequence, where its row is, without a
     shuffle.  A k-mer with another letter than A, C, G and T breaks windows.
     """
-    if k > 10:
-        raise ValueError("the table of counts has 4**k entries: k is at most 10")
     frame = length - k + 1
-    counted = kmer_frequency(sequences, k).where(F.col("kmer").rlike("^[ACGT]+$")).select("kmer", F.round(F.log1p(F.least(F.col("freq"), F.lit(65535)).cast("double")) * 1e9).cast("bigint").alias("q"))
+    counted = kmer_frequency(sequences, k).select("kmer", F.round(F.log1p(F.least(F.col("freq"), F.lit(65535)).cast("double")) * 1e9).cast("bigint").alias("q"))
     table = np.zeros(4**k, dtype=np.int64)
     for row in counted.collect():
         table[int("".join(str("ACGT".index(c)) for c in row.kmer), 4)] = row.q

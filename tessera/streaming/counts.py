@@ -18,8 +18,8 @@ def sequence_stream(spark: SparkSession, folder: str, files: int = 100) -> DataF
 
 
 def running_kmer_counts(sequences: DataFrame, k: int = 6) -> DataFrame:
-    """(kmer, freq) of all sequences so far; the state has at most 4**k keys."""
-    return kmer_frequency(sequences.where(F.col("seq").rlike("^[ACGT]*$")), k)
+    """(kmer, freq) of all sequences so far, each file counted before the shuffle; the state has at most 4**k keys."""
+    return kmer_frequency(sequences, k)
 
 
 def gap_alerts(events: DataFrame, late: str = "1 hour", width: str = "6 hours", least: int = 10) -> DataFrame:
