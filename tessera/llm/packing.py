@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 #: Words whose ids a Python worker remembers before it starts afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 
 def byte_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
