@@ -64,8 +64,8 @@ def best_chain(ref: np.ndarray, query: np.ndarray, score: np.ndarray, plus: bool
 def chains(pairs: DataFrame, p: Params = Params()) -> DataFrame:
     """(q, t, strand, chain_no, anchors, raw_score, ref_start, ref_end, query_start, query_end) of distinct anchor pairs (q, t, strand, qs, ts, score).
 
-    Each track's best chain is taken out and the rest chained again, until the best is too short or
-    scores too little.  A track is one sequence pair and strand.
+    Each track's best chain is taken out and the rest chained again, until the best scores too little;
+    chains of too few anchors are taken out too, but not returned.  A track is one sequence pair and strand.
     """
 
     def extract(group: pd.DataFrame) -> pd.DataFrame:
@@ -75,10 +75,11 @@ def chains(pairs: DataFrame, p: Params = Params()) -> DataFrame:
         left, out = np.arange(len(group)), []
         while len(left):
             rows, total = best_chain(ref[left], query[left], score[left], plus, p)
-            if total < p.min_score or len(rows) < p.min_anchors:
+            if total < p.min_score:
                 break
             own = left[rows]
-            out.append((group["q"].iloc[0], group["t"].iloc[0], group["strand"].iloc[0], len(out), len(own), total, ref[own].min(), ref[own].max(), query[own].min(), query[own].max()))
+            if len(own) >= p.min_anchors:
+                out.append((group["q"].iloc[0], group["t"].iloc[0], group["strand"].iloc[0], len(out), len(own), total, ref[own].min(), ref[own].max(), query[own].min(), query[own].max()))
             left = np.delete(left, rows)
         return pd.DataFrame(out, columns=["q", "t", "strand", "chain_no", "anchors", "raw_score", "ref_start", "ref_end", "query_start", "query_end"])
 
