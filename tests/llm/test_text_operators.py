@@ -91,6 +91,19 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(docs(spark, []), path).count() == 0
 
 
+def test_token_ids_on_mixed_white_space():
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer_path("byte_bpe_50k.json"), np.random.default_rng(12)
+    reference, own = Tokenizer.from_file(path), packing.WordCachedTokenizer(path)
+    parts = [" ", " ", " ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\u2003", "\x1c", "\x85", "a", "The", "Thé", "'s", "'", "’ll", "12", "日本", "!?", "🙂", "<|endoftext|>", "<|", "\u0301", "ß"]
+    texts = ["".join(parts[k] for k in rng.integers(0, len(parts), n)) for n in rng.integers(1, 12, 30_000)]
+    want = reference.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, w in zip(texts, want) if np.frombuffer(own.encode(t), dtype="<u4").tolist() != w.ids] == []
+    for text in (" " * 1_000_000, "\t" * 1_000_000, "a" * 1_000_000, "7" * 1_000_000, "x" + " " * 300_000 + "y z", "\n \u00a0" * 200_000):
+        assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit_decreasing_against_linear_search():
     rng = np.random.default_rng(1)
     for capacity in (7, 64, 100):
