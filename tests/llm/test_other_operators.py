@@ -169,6 +169,36 @@ def test_url_rules(spark):
     assert url_rules.judge(pages(spark, []), labels).count() == 0
 
 
+def test_mined_rules_against_all_token_sets(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(120):
+        tokens = sorted({"s", *(f"t{x}" for x in range(7) if rng.random() < 0.4), *(("u", "v") if rng.random() < 0.3 else ())})
+        bad = ("t1" in tokens and "t2" in tokens) or "u" in tokens and rng.random() < 0.8 or rng.random() < 0.1
+        rows.append((k, tokens, bool(bad)))
+    p = url_rules.Params(min_support=0.03, min_confidence=0.6)
+    names = [t for t in sorted({t for _, ts, _ in rows for t in ts}) if t not in ("s", "v")]  # s has all rows, v stands with u
+    sure, least = {}, 4
+    for n in range(1, len(names) + 1):
+        for c in combinations(names, n):
+            own = [bad for _, ts, bad in rows if set(c) <= set(ts)]
+            if sum(own) >= least and sum(own) / len(own) >= 0.6 and not any(set(x) < set(c) and sure[x][0] >= sum(own) / len(own) for x in sure):
+                sure[c] = (sum(own) / len(own), sum(own) / len(rows))
+    got = {tuple(r.tokens): (r.confidence, r.support) for r in url_rules.mine_rules(spark.createDataFrame(rows, "row long, tokens array<string>, bad boolean"), p).collect()}
+    assert got.keys() == sure.keys() and len(got) > 3
+    assert all(got[k] == pytest.approx(sure[k]) for k in sure)
+
+
+def test_long_urls_end(spark):
+    long = ["http://h.net/" + "/".join(f"p{k}" for k in range(200)) + "?" + "&".join(f"k{k}=1" for k in range(200)), "http://h.net/" + "/".join(f"p{k}" for k in range(200)) + "/more"]
+    rows = [(k, long[k] if k < 2 else f"http://h.net/x{k}", None) for k in range(51)]
+    labels = spark.createDataFrame([(k, int(k > 3), 0) for k in range(51)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in url_rules.judge(pages(spark, rows), labels).collect()}
+    assert got[0].verdict == got[1].verdict == "block" and got[9].verdict == "allow"
+
+
 def test_png_filters_and_checksums():
     rng = np.random.default_rng(2)
     pixels = np.concatenate([rng.integers(0, 256, (20, 64)), np.arange(40 * 64).reshape(40, 64) % 251]).astype(np.uint8)
