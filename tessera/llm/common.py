@@ -25,6 +25,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-ckpt-"))
 
 
+def join_by_count(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", share: int = 10_000) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row a ``key`` and, in ``n``, about how many of ``rows`` have it.
+
+    Keys that over one in ``share`` of the counted rows have, fewer than ``share`` of them whatever the
+    input's size, are broadcast, so that no task gets all rows of a hot key; the others are joined by
+    a shuffle.  ``side`` is read several times: give a checkpointed or a small one.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("how is inner or left")
+    total = side.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    marked = side.join(F.broadcast(total)).withColumn("__hot", F.col("n") * share > F.col("total")).drop("total", "n")
+    hot, cold = marked.where("__hot").drop("__hot"), marked.where("not __hot").drop("__hot")
+    common = rows.join(F.broadcast(hot), key)
+    return common.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how))
+
+
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (null ids: null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

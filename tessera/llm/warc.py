@@ -9,6 +9,7 @@ binary row each, so that any storage that Spark can reach holds them.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -19,6 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import join_by_count
+from tessera.operators.lineage import checkpointed
+
 #: Uncompressed bytes after which a frame, and a bundle, is closed.
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 23
@@ -28,27 +32,40 @@ SEEKABLE = 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_type_columns(pages: DataFrame, id_column: str, payload_column: str, least: int = 100) -> DataFrame:
+def record_type_columns(pages: DataFrame, id_column: str, payload_column: str, url_column: str = "url", least: int = 100) -> DataFrame:
     """``pages`` as (page_id, url, payload, payload_digest, payload_bytes, refers_to).
 
     Equal payloads of at least ``least`` bytes refer to the smallest id among them (null for that id's
-    own rows); a digest's smallest id comes from a partial aggregate, so copies cost no bottleneck.
+    own rows); a digest's smallest id comes from a partial aggregate.  Shorter payloads stay where they
+    are read, and digests that very many pages have are broadcast (``join_by_count``).
     """
     payload = F.coalesce(F.col(payload_column).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_column).cast("bigint").alias("page_id"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"), F.length(payload).cast("bigint").alias("payload_bytes"))
-    first = rows.where(f"payload_bytes >= {int(least)}").groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first_id")
-    return rows.join(first, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id")).alias("refers_to"))
+    url = F.col(url_column).cast("string") if url_column in pages.columns else F.lit(None).cast("string")
+    rows = pages.select(F.col(id_column).cast("bigint").alias("page_id"), url.alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"), F.length(payload).cast("bigint").alias("payload_bytes"))
+    long = rows.where(f"payload_bytes >= {int(least)}")
+    first = checkpointed(long.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1"))
+    joined = join_by_count(long, first, "payload_digest", "left")
+    short = rows.where(f"payload_bytes < {int(least)}").withColumn("first_id", F.lit(None).cast("bigint"))
+    return joined.unionByName(short).select("page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id")).alias("refers_to"))
+
 
+def write_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, place: str = "") -> bytes:
+    """One WARC/1.1 record; a revisit has no block and names the page that has it.
 
-def write_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has no block and names the record that has it."""
-    record_id = f"<urn:page:{'' if page_id is None else page_id}>"
-    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id), ("WARC-Date", "1970-01-01T00:00:00Z")]
-    if url:
-        head.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
+    ``place`` (bundle and number in it) makes record ids unique, also of repeated rows and of rows
+    without an id.  A URL that a header can't hold as it is stands in a header of its own as JSON.
+    """
+    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {place}')}>"), ("WARC-Date", "1970-01-01T00:00:00Z")]
+    if page_id is not None:
+        head.append(("X-Page-ID", str(page_id)))
+    if url is not None:
+        if url:
+            head.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
+        if not url or "\r" in url or "\n" in url:
+            head.append(("X-Page-URL", json.dumps(url)))
     head.append(("WARC-Payload-Digest", f"sha256:{digest}"))
     if refers_to is not None:
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("X-Payload-Length", str(len(payload)))]
+        head += [("WARC-Profile", PROFILE), ("X-Refers-To-Page-ID", str(refers_to)), ("X-Payload-Length", str(len(payload)))]
     block = payload if refers_to is None else b""
     head += [("Content-Type", "text/html"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -135,7 +152,7 @@ def bundles(records: DataFrame, level: int = 3) -> DataFrame:
         for batch in batches:
             columns = [batch.column(k) for k in ("page_id", "url", "payload", "payload_digest", "refers_to")]
             for row in range(batch.num_rows):
-                record = write_record(*(c[row].as_py() for c in columns))
+                record = write_record(*(c[row].as_py() for c in columns), f"{part} {number} {len(index)}")
                 index.append({"page_id": columns[0][row].as_py(), "frame": len(frames), "offset": held, "length": len(record)})
                 frame.append(record)
                 held += len(record)
@@ -149,15 +166,16 @@ def bundles(records: DataFrame, level: int = 3) -> DataFrame:
     return records.mapInArrow(run, "bundle_id long, bundle binary, index array<struct<page_id: bigint, frame: int, offset: bigint, length: bigint>>")
 
 
-def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", payload_column: str = "html") -> str:
+def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", payload_column: str = "html", url_column: str = "url") -> str:
     """Write the bundles of all pages as a Parquet table in a new folder below ``folder``, which all executors share; returns its path.
 
-    A null payload counts as empty and a null url is left out; payloads of any length are one record
-    each.  Rows that repeat the smallest id of equal payloads are responses all of them; rows without
-    an id are responses; an empty table gives an empty archive.
+    A null payload counts as empty and a null url, or a table without one, is left out; URLs come back as
+    they are.  Payloads of any length are one record each.  Rows that repeat the smallest id of equal
+    payloads are responses all of them; rows without an id are responses; other columns are ignored; an
+    empty table gives an empty archive.  The archive is the caller's to keep or to remove.
     """
     path = f"{folder}/warc-{uuid.uuid4().hex}"
-    bundles(record_type_columns(pages, id_column, payload_column)).write.parquet(path)
+    bundles(record_type_columns(pages, id_column, payload_column, url_column)).write.parquet(path)
     return path
 
 
@@ -180,26 +198,34 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     digest, revisit = headers["WARC-Payload-Digest"].removeprefix("sha256:"), headers["WARC-Type"] == "revisit"
                     if not revisit and hashlib.sha256(block).hexdigest() != digest:
                         raise ValueError("a damaged payload")
-                    number = headers["WARC-Record-ID"][10:-1]
-                    rows.append((int(number) if number else None, int(headers["X-Payload-Length"]) if revisit else len(block), digest, headers["WARC-Type"], int(headers["WARC-Refers-To"][10:-1]) if revisit else None, headers.get("WARC-Target-URI"), bundle_id, entry["frame"], entry["offset"]))
+                    number, other = headers.get("X-Page-ID"), headers.get("X-Refers-To-Page-ID")
+                    url = json.loads(headers["X-Page-URL"]) if "X-Page-URL" in headers else headers.get("WARC-Target-URI")
+                    rows.append((int(number) if number else None, int(headers["X-Payload-Length"]) if revisit else len(block), digest, headers["WARC-Type"], int(other) if other else None, url, bundle_id, entry["frame"], entry["offset"]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return archives.select("bundle_id", "bundle", "index").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, bundle_id long, frame int, offset long")
 
 
 def lookup(archives: DataFrame, page_ids: DataFrame) -> DataFrame:
-    """(page_id, record) of the wanted ids, decompressing one frame for each record found."""
-    entries = archives.select("bundle_id", "bundle", F.explode("index").alias("entry")).join(page_ids.select(F.col("page_id").alias("wanted")).distinct(), F.col("entry.page_id") == F.col("wanted"))
+    """(page_id, record) of the wanted ids, decompressing each frame that holds some of them once.
+
+    The index is searched without the bundles; then each bundle with wanted records is read once.
+    """
+    entries = archives.select("bundle_id", F.explode("index").alias("entry")).join(page_ids.select(F.col("page_id").alias("wanted")).distinct(), F.col("entry.page_id") == F.col("wanted"))
+    wanted = archives.select("bundle_id", "bundle").join(entries.groupBy("bundle_id").agg(F.sort_array(F.collect_list(F.struct("entry.frame", "entry.offset", "entry.length", "wanted"))).alias("entries")), "bundle_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
             for row in range(batch.num_rows):
-                entry = batch.column("entry")[row].as_py()
-                found.append(read_frame(batch.column("bundle")[row].as_py(), entry["frame"])[entry["offset"] : entry["offset"] + entry["length"]])
-            yield pa.RecordBatch.from_arrays([batch.column("wanted"), pa.array(found, pa.binary())], ["page_id", "record"])
+                bundle, found, loaded, data = batch.column("bundle")[row].as_py(), [], -1, b""
+                entries = batch.column("entries")[row].as_py()
+                for entry in entries:
+                    if entry["frame"] != loaded:
+                        loaded, data = entry["frame"], read_frame(bundle, entry["frame"])
+                    found.append(data[entry["offset"] : entry["offset"] + entry["length"]])
+                yield pa.RecordBatch.from_arrays([pa.array([e["wanted"] for e in entries], pa.int64()), pa.array(found, pa.binary())], ["page_id", "record"])
 
-    return entries.select("wanted", "bundle", "entry").mapInArrow(run, "page_id long, record binary")
+    return wanted.mapInArrow(run, "page_id long, record binary")
 
 
 def oracle(least: int = 100) -> str:

@@ -121,6 +121,7 @@ def test_quality_held_out_accuracy(spark):
 PAGES = [
     (1, "http://a.example.net/en/1", "x" * 200), (2, "http://b.example.net/en/2?x=1", "x" * 200), (0, None, "x" * 200), (3, "no scheme", "short"), (4, "http://c/", "short"), (5, "http://é.org/ü", None),
     (6, "http://q", ""), (None, "http://n", "x" * 200), (7, "http://w\r\nX: y", "\r\n\r\nWARC/1.1\r\n" * 40), (0, None, "x" * 200), (8, "http://big", "é" * 400_000),
+    (9, "", "tail%0A"), (10, "http://x/%0A", "y" * 100), (11, "http://x/%0A", "y" * 100),
 ]
 
 
@@ -135,11 +136,23 @@ def test_warc_round_trip(spark, tmp_path):
     want = []
     for i, _, h in PAGES:
         data = (h or "").encode()
-        revisit = len(data) >= 100 and data == b"x" * 200 and i is not None and i > 0
-        want.append((i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if revisit else "response", 0 if revisit else None))
+        first = min((j for j, _, x in PAGES if j is not None and (x or "").encode() == data), default=None)
+        revisit = len(data) >= 100 and i is not None and i > first
+        want.append((i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
     assert got == sorted(want, key=str)
     record = warc.lookup(archives, spark.createDataFrame([(8,)], "page_id long")).first().record
     assert warc.read_record(bytes(record), 0)[1] == ("é" * 400_000).encode()
+    # URLs come back as they are; record ids are unique although page ids repeat and lack.
+    urls = sorted(((r.page_id, r.url) for r in warc.read_archives(archives).collect()), key=str)
+    assert urls == sorted(((i, u) for i, u, _ in PAGES), key=str)
+    names = []
+    for r in archives.collect():
+        for e in r["index"]:
+            data = warc.read_frame(bytes(r.bundle), e.frame)
+            names.append(warc.read_record(data, e.offset)[0]["WARC-Record-ID"])
+    assert len(set(names)) == len(PAGES)
+    no_url = warc.write_archives(pages(spark, PAGES).drop("url"), str(tmp_path))
+    assert {r.url for r in warc.read_archives(spark.read.parquet(no_url)).collect()} == {None}
     bundle = bytes(archives.where(F.size("index") > 1).first().bundle)
     frames = warc.seek_table(bundle)
     assert b"".join(warc.read_frame(bundle, k) for k in range(len(frames))) == b"".join(zstandard.ZstdDecompressor().decompressobj().decompress(bundle[a : a + n]) for a, n, _ in frames)
