@@ -21,10 +21,10 @@ from tessera.llm.common import byte_slices, id_bucket, span_hashes, train_in_tas
 
 @dataclass(frozen=True)
 class Params:
-    """Bounds of the training sample, and the training's length."""
+    """Bounds of the training sample (texts of each label, each of them whole, and the bytes of the longest one taken), and the training's length."""
 
     documents_per_class: int = 1500
-    sample_bytes: int = 16_384
+    sample_bytes: int = 1 << 16
     steps: int = 150
     rounds: int = 2
     rate: float = 0.1
@@ -211,13 +211,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, p: Params = Params(), id
     """A bounded sample (id, text, label) of labelled texts, at most ``documents_per_class`` of each label, chosen by a hash of the id.
 
     Ids whose crc32 has the remainder ``held_out`` are never taken.  Only the sample's ids are broadcast
-    (their number is a parameter); sampled texts are cut after ``sample_bytes`` bytes, for training only.
+    (their number is a parameter); sampled texts are whole, and texts of over ``sample_bytes`` bytes are
+    not learned from (they are scored like any other).
     """
     modulus, rest = held_out
     usable = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull() & (id_bucket(id_column, modulus) != rest)).groupBy(F.col(id_column).alias("__id")).agg(F.max(label_column).alias("__label"))
     parts = [usable.where(F.col("__label") == value).orderBy(F.xxhash64("__id"), "__id").limit(p.documents_per_class) for value in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    rows = docs.select(F.col(id_column).alias("__id"), F.substring(F.coalesce(F.col(text_column).cast("binary"), F.lit(b"")), 1, p.sample_bytes).alias("__text")).join(F.broadcast(chosen), "__id")
+    rows = docs.select(F.col(id_column).alias("__id"), F.coalesce(F.col(text_column).cast("binary"), F.lit(b"")).alias("__text")).where(F.length("__text") <= p.sample_bytes).join(F.broadcast(chosen), "__id")
     return rows.select(F.col("__id").cast("bigint").alias("id"), F.col("__text").alias("text"), F.col("__label").cast("int").alias("label"))
 
 

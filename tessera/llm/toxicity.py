@@ -23,7 +23,11 @@ from tessera.llm.common import byte_slices, id_bucket, span_hashes, train_in_tas
 
 @dataclass(frozen=True)
 class Params:
-    """Sizes of the network, its windows and its training (at least ``epochs`` passes and ``steps`` batches)."""
+    """Sizes of the network, its windows and its training (at least ``epochs`` passes and ``steps`` batches).
+
+    At most ``toxic_documents`` and ``clean_documents`` labelled texts of at most ``sample_bytes`` bytes
+    are learned from, each of them whole.
+    """
 
     window: int = 20
     stride: int = 14
@@ -33,8 +37,7 @@ class Params:
     size: int = 8
     toxic_documents: int = 800
     clean_documents: int = 2000
-    sample_windows: int = 64
-    sample_word_bytes: int = 64
+    sample_bytes: int = 1 << 16
     epochs: int = 10
     steps: int = 250
     batch: int = 128
@@ -299,22 +302,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, p: Params = Params(), id
     """A bounded sample (id, text, label) of labelled texts, at most ``toxic_documents`` and ``clean_documents``, chosen by a hash of the id.
 
     Ids whose crc32 has the remainder ``held_out`` are never taken.  Only the sample's ids are broadcast
-    (their number is a parameter); a sampled text is cut after the words of ``sample_windows`` windows
-    and long words are shortened, for training only.
+    (their number is a parameter); sampled texts are whole, and texts of over ``sample_bytes`` bytes are
+    not learned from (they are scored like any other).
     """
     modulus, rest = held_out
     usable = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull() & (id_bucket(id_column, modulus) != rest)).groupBy(F.col(id_column).alias("__id")).agg(F.max(label_column).alias("__label"))
     parts = [usable.where(F.col("__label") == value).orderBy(F.xxhash64("__id"), "__id").limit(limit) for value, limit in ((1, p.toxic_documents), (0, p.clean_documents))]
-    chosen = parts[0].unionByName(parts[1])
-    words = p.stride * p.sample_windows
-
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b" ".join(w[: p.sample_word_bytes] for w in text.split(None, words)[:words]) for text in utf8_list(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2)], ["id", "text", "label"])
-
-    rows = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text")).join(F.broadcast(chosen), "__id").select("__id", "__text", "__label")
-    return rows.mapInArrow(shorten, "id long, text binary, label int")
+    rows = docs.select(F.col(id_column).alias("__id"), F.coalesce(F.col(text_column).cast("binary"), F.lit(b"")).alias("__text")).where(F.length("__text") <= p.sample_bytes)
+    chosen = rows.join(F.broadcast(parts[0].unionByName(parts[1])), "__id")
+    return chosen.select(F.col("__id").cast("bigint").alias("id"), F.col("__text").alias("text"), F.col("__label").cast("int").alias("label"))
 
 
 class Scorer:
