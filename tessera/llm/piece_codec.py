@@ -1,14 +1,16 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search over a model file's pieces and scores.
 
-The text, with spaces as the model's mark, is read character by character.  Only a window is
-kept: each time as many characters as the longest piece has are read, the ids up to the last boundary
-that all surviving paths share are committed.  Characters that no piece covers fall back to byte pieces.  No piece goes
-on with the mark after another character, so words that the mark opens are independent of each other
-and a worker remembers their ids.
+The text, in which the model's mark stands for spaces, is read character by character.  Pieces begin
+at the last boundaries within the longest piece's length only.  Each boundary knows how many surviving
+paths still lead through it; as soon as all of them lead through one later boundary, the ids before it
+are committed and forgotten, at a constant cost a boundary.  Characters that no piece covers fall back
+to byte pieces.  Paths always meet before a space that follows another character, and around a line
+feed, where no piece goes across; so what stands between two such places is remembered by workers.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -21,8 +23,9 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 #: What a character outside the vocabulary scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
-#: Words a Python worker remembers before it starts afresh.
+#: Stretches between meeting places that a Python worker remembers before it starts afresh, and the longest of them.
 CACHE_WORDS = 800_000
+CACHE_CHARS = 64
 
 
 class PieceModel:
@@ -35,7 +38,8 @@ class PieceModel:
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(k) for k in range(n)]
         plain = [k for k in range(n) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k) or model.is_unused(k))]
-        self.ids = {self.pieces[k]: (k, model.get_score(k)) for k in plain}
+        #: Pieces as they stand in texts: a mark is a space, so a mark in a text is a character that no piece covers.
+        self.ids = {self.pieces[k].replace(MARK, " "): (k, model.get_score(k)) for k in plain}
         self.bytes = {int(self.pieces[k][3:5], 16): k for k in range(n) if model.is_byte(k)}
         self.byte_of = {k: b for b, k in self.bytes.items()}
         self.unknown = model.unk_id()
@@ -49,89 +53,89 @@ class PieceModel:
             for char in piece:
                 node = node[0].setdefault(char, ({}, [-1, 0.0]))
             node[1][:] = number, score
-        #: Whether cutting before a mark that follows another character never cuts a piece.
-        self.words_apart = all(MARK not in piece.lstrip(MARK) for piece in self.ids)
+        # Where paths meet whatever stands around: before a space after another character, if no piece
+        # has one there, and on both sides of a line feed, if no longer piece has one.
+        spaces = all(" " not in piece.lstrip(" ") for piece in self.ids)
+        lines = all("\n" not in piece for piece in self.ids if len(piece) > 1)
+        self.stretch = re.compile((r"\n| +[^ \n]*|[^ \n]+" if lines else r" +[^ ]*") if spaces else r"(?s).+")
         self.cache: dict[str, bytes] = {}
 
     def fallback(self, char: str) -> list[int]:
         """The ids of a character that no piece covers."""
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
 
-    def stream(self, chars: Iterable[str]) -> Iterator[list[int]]:
-        """Ids of the best-scored segmentation, committed as soon as all surviving paths share a boundary.
+    def stream(self, chars: Iterable[str]) -> Iterator[tuple[int, ...] | list[int]]:
+        """Ids of the best-scored segmentation, piece by piece, committed as soon as all surviving paths share a boundary.
 
         Of equal scores the path whose last piece starts earliest wins.
         """
         tree, low, ids = self.tree, self.unknown_score, self.ids
-        base, at = 0, 0
-        score = {0: 0.0}  # of the best path to each boundary that is kept
-        back: dict[int, tuple] = {}  # boundary -> (previous boundary, ids of the last piece)
+        base = at = 0
+        score = {0: 0.0}  # of the best path to each boundary that a piece may begin at
+        back: dict[int, tuple] = {}  # boundary -> (boundary before it, ids of the last piece)
+        count, after = {0: 0}, {0: 0}  # boundary -> how many follow it on surviving paths, and all those xor-ed: the one if there is one
         open_ = [(0, tree)]  # boundaries from which a piece may go on, with its place in the tree
         for char in chars:
             at += 1
-            best, how, grown = None, None, []
+            best, how, grown, closed = None, None, [], []
             for start, node in open_:
                 node = node[0].get(char)
-                if node is not None:
-                    grown.append((start, node))
-                    number, gain = node[1]
-                    if number >= 0:
-                        total = score[start] + gain
-                        if best is None or total > best:
-                            best, how = total, (start, (number,))
+                if node is None:
+                    closed.append(start)
+                    continue
+                grown.append((start, node))
+                number, gain = node[1]
+                if number >= 0:
+                    total = score[start] + gain
+                    if best is None or total > best:
+                        best, how = total, (start, (number,))
             if char not in ids:
                 total = score[at - 1] + low
                 if best is None or total > best:
                     best, how = total, (at - 1, self.fallback(char))
             score[at], back[at] = best, how
+            count[at] = after[at] = 0
+            count[how[0]] += 1
+            after[how[0]] ^= at
             grown.append((at, tree))
             open_ = grown
-            if at % self.longest:
-                continue
-            # All later paths pass through an open boundary; where their chains meet, ids are final.
-            live = {start for start, _ in open_}
-            while len(live) > 1:
-                last = max(live)
-                live.remove(last)
-                live.add(back[last][0])
-            meet = live.pop()
-            if meet > base:
-                yield self.path(back, base, meet)
-                for k in range(base, meet):
-                    score.pop(k, None)
-                    back.pop(k + 1, None)
+            for start in closed:
+                del score[start]
+                while not count[start] and start != base and start not in score:  # no path leads through it any more
+                    del count[start], after[start]
+                    gone, start = start, back.pop(start)[0]
+                    count[start] -= 1
+                    after[start] ^= gone
+            while count[base] == 1 and base not in score:
+                meet = after[base]
+                del count[base], after[base]
                 base = meet
-        if at > base:
-            yield self.path(back, base, at)
-
-    @staticmethod
-    def path(back: dict[int, tuple[int, list[int]]], base: int, end: int) -> list[int]:
-        """The ids of the best path from one boundary to a later one."""
+                yield back.pop(meet)[1]
         out = []
-        while end > base:
-            end, piece = back[end]
+        while at > base:
+            at, piece = back[at]
             out.append(piece)
-        return [x for piece in reversed(out) for x in piece]
-
-    def search(self, text: str) -> list[int]:
-        """All ids of a text that already has marks for spaces."""
-        return [x for part in self.stream(text) for x in part]
+        yield from reversed(out)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers; a text of no characters has none."""
         if not text:
             return b""
-        if not self.words_apart or "  " in text or MARK in text or text[0] == " ":
-            return array("I", self.search(MARK + text.replace(" ", MARK))).tobytes()
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        cache, out = self.cache, []
-        for word in text.split(" "):
+        cache, out = self.cache, bytearray()
+        for part in self.stretch.finditer(" " + text):
+            word = part[0]
             ids = cache.get(word)
-            if ids is None:
-                ids = cache[word] = array("I", self.search(MARK + word)).tobytes()
-            out.append(ids)
-        return b"".join(out)
+            if ids is not None:
+                out += ids
+            elif len(word) <= CACHE_CHARS:
+                ids = cache[word] = array("I", [x for piece in self.stream(word) for x in piece]).tobytes()
+                out += ids
+            else:
+                for piece in self.stream(word):
+                    out += array("I", piece).tobytes()
+        return bytes(out)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: byte pieces are joined and read as UTF-8, marks become spaces, and the first space goes."""
@@ -145,10 +149,10 @@ class PieceModel:
                 out.append(raw.decode(errors="replace"))
                 raw.clear()
             if k not in self.controls:
-                out.append(self.pieces[k])
+                out.append(self.pieces[k].replace(MARK, " "))
         if raw:
             out.append(raw.decode(errors="replace"))
-        text = "".join(out).replace(MARK, " ")
+        text = "".join(out)
         return text[1:] if text.startswith(" ") else text
 
 
@@ -165,9 +169,10 @@ def model_for(path: str) -> PieceModel:
 def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_ids, ids) of every whole text; ids are little-endian unsigned 32-bit numbers.
 
-    A null or empty text has no ids.  Very long texts are streamed through a window of the longest
-    piece.  A mark in the text itself reads back as a space, as in the model's own library.  Repeated rows
-    and null ids are encoded like any others; other columns are ignored; an empty table gives no rows.
+    A null or empty text has no ids.  Texts of any length, also without a space, take time in proportion
+    to it; what is kept beside the ids is what surviving paths do not yet share.  The mark itself in a text
+    becomes byte pieces, so that it reads back as it is.  Repeated rows and null ids are encoded like any
+    others; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +210,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 def round_trip(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_ids, ids_crc32, n_chars, text_sha256, exact): ids are encoded, decoded, and the decoded text compared with the document.
 
-    Nulls count as empty; ``exact`` is false only for texts with the mark itself in them.
+    Nulls count as empty; ``exact`` is true for every text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

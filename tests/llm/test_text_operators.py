@@ -205,13 +205,15 @@ def viterbi_by_hand(m, text):
 
 
 def test_streaming_viterbi(pieces, spark):
-    texts = ["", "hello world", "  two  spaces ", "日本 🙂 é", "a" * 100, "the then there\nthese\n\nthose", " lead"]
+    rng = np.random.default_rng(4)
+    letters = list("abcdeth ns. ▁\nqué日🙂")
+    texts = ["", "hello world", "  two  spaces ", "日本 🙂 é", "a" * 100, "the then there\nthese\n\nthose", " lead", "a ▁ mark▁", "▁", "tail\n", "\n\n x"]
+    texts += ["".join(letters[k] for k in rng.integers(0, len(letters), n)) for n in rng.integers(1, 200, 150)]
     for text in texts:
         ids = pieces.encode(text)
-        assert np.frombuffer(ids, dtype="<u4").tolist() == (viterbi_by_hand(pieces, "▁" + text.replace(" ", "▁")) if text else [])
+        assert np.frombuffer(ids, dtype="<u4").tolist() == (viterbi_by_hand(pieces, " " + text) if text else [])
         assert pieces.decode(ids) == text
-    parts = list(pieces.stream("▁the▁cat▁sat▁on▁the▁mat" * 20))
-    assert len(parts) > 5  # it commits as it goes
+        assert [x for piece in pieces.stream(" " + text) for x in piece] == viterbi_by_hand(pieces, " " + text)
     path = tokenizer_path("piece_bpe_32k.model")
     got = piece_codec.round_trip(docs(spark, ROWS), path).collect()
     assert len(got) == len(ROWS) and all(r.exact for r in got)
@@ -220,6 +222,34 @@ def test_streaming_viterbi(pieces, spark):
     assert piece_codec.round_trip(docs(spark, []), path).count() == 0
 
 
+def test_ids_are_committed_where_paths_meet(pieces):
+    read = 0
+
+    def chars():
+        nonlocal read
+        for char in " the cat sat on the mat and" * 50:
+            read += 1
+            yield char
+
+    sent = most = 0
+    for piece in pieces.stream(chars()):
+        sent += sum(len(pieces.pieces[k]) for k in piece)
+        most = max(most, read - sent)
+    assert most <= 2 * pieces.longest  # never the whole text
+
+
+def test_long_words_take_linear_time(pieces):
+    import time
+
+    word = "".join(chr(97 + k % 26) for k in range(1_000_000))
+    begin = time.process_time()
+    ids = pieces.encode(word[:100_000])
+    small = time.process_time() - begin
+    begin = time.process_time()
+    assert pieces.decode(pieces.encode(word)) == word and pieces.decode(ids) == word[:100_000]
+    assert time.process_time() - begin < 40 * small + 5
+
+
 def test_fingerprints_and_edits(spark):
     rows = [*ROWS, (50, "The quick brown fox jumps over the lazy dog. " * 30), (51, "The quick brown fox jumps over the lazy dog. " * 30), (52, "Entirely other words stand here, nothing is shared at all. " * 20)]
     got = {}
