@@ -3,7 +3,7 @@
 A text's bytes are cut into short phrases where labels, got from neighbouring symbols alone by
 repeated coin tossing, have a local maximum; the phrases' names are cut again, level by level.  So a
 phrase depends only on the bytes near it, and equal substrings share their interior phrases wherever
-they stand.  A fingerprint keeps the smallest name hash in each of 64 bins over the middle levels.
+they stand.  A fingerprint keeps the smallest name hash in each of 64 bins over all levels.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from tessera.llm.common import byte_slices, mix64, span_hashes, utf8_list
 #: Bins of a fingerprint, and the hex digits that each shows.
 BINS = 64
 DIGITS = 4
-#: Levels of names; those from FIRST on enter fingerprints.
-LEVELS = 5
-FIRST = 3
+#: Levels of names; those under FIRST, which unrelated long texts share too, fill only bins that no higher level fills.
+LEVELS, FIRST = 5, 3
+EMPTY_BIN = np.iinfo(np.uint64).max
 EMPTY = "-" * DIGITS
 
 
@@ -43,15 +43,25 @@ _TOSS8, _TOSS5, _TOSS4 = _toss(8), _toss(5), _toss(4)
 
 
 def phrase_ends(symbols: np.ndarray, text_end: np.ndarray) -> np.ndarray:
-    """The ends (exclusive) of phrases of byte symbols of texts with the given ends; no label looks beyond its text."""
+    """The ends (exclusive) of phrases of symbols (bytes or 64-bit names) of texts with the given ends; no label looks beyond its text.
+
+    Labels get from 8 or 64 bits down to a few values by tossing: that of each symbol comes from it and
+    the one before it.  A phrase ends where labels have a local maximum, and at the text's end.
+    """
     first = np.concatenate(([0], text_end[:-1]))
     previous = np.empty_like(symbols)
     previous[0], previous[1:] = 0, symbols[:-1]
-    label = _TOSS8[(previous.astype(np.uint16) << 8) | symbols]
+    if symbols.dtype == np.uint8:
+        label, tables = _TOSS8[(previous.astype(np.uint16) << 8) | symbols], ((_TOSS5, 5), (_TOSS4, 4))
+    else:
+        differ = previous ^ symbols
+        low = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.uint64)  # the lowest bit where they differ
+        label, tables = np.where(differ == 0, 0, 1 + 2 * low + ((symbols >> (low & np.uint64(63))) & np.uint64(1))).astype(np.uint8), ((_TOSS8, 8), (_TOSS5, 5), (_TOSS4, 4))
+    previous = np.zeros_like(label)
     label[first] = 0
-    for table, bits in ((_TOSS5, 5), (_TOSS4, 4)):
+    for table, bits in tables:
         previous[1:] = label[:-1]
-        label = table[(previous.astype(np.uint16) << bits) | label]
+        label = table[(previous.astype(np.uint16) << np.uint16(bits)) | label]
         label[first] = 0
     peak = np.zeros(len(symbols), dtype=bool)
     peak[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] >= label[2:])
@@ -73,24 +83,24 @@ def text_names(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray
         begins = np.concatenate(([0], ends[:-1]))
         names = span_hashes(names, begins, ends)
         text_end = np.searchsorted(ends, text_end) + 1
-        symbols = (names >> np.uint64(56)).astype(np.uint8)
+        symbols = names
         yield level, np.repeat(owner, np.diff(np.concatenate(([0], text_end)))), names
 
 
 def signatures(texts: list[bytes]) -> np.ndarray:
-    """(texts, BINS) smallest name hashes, all ones where a bin is empty."""
-    out = np.full(len(texts) * BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    """(texts, BINS) 16-bit codes, -1 where a bin is empty: a mix of the smallest name hash of the bin, so that no code depends on how small it is."""
+    out = np.full(len(texts) * BINS, EMPTY_BIN, dtype=np.uint64)
     for level, owner, names in text_names(texts):
-        if level >= FIRST:
-            hashed = mix64(names + np.uint64(level))
-            np.minimum.at(out, owner * BINS + (hashed >> np.uint64(58)).astype(np.int64), hashed & np.uint64((1 << 58) - 1))
-    return out.reshape(len(texts), BINS)
+        hashed = mix64(names + np.uint64(level))
+        rank = (hashed & np.uint64((1 << 56) - 1)) | np.uint64(max(FIRST - level, 0) << 56)
+        np.minimum.at(out, owner * BINS + (hashed >> np.uint64(58)).astype(np.int64), rank)
+    return np.where(out == EMPTY_BIN, -1, (mix64(out) & np.uint64(0xFFFF)).astype(np.int32)).reshape(len(texts), BINS)
 
 
 def shown(signature: np.ndarray) -> list[str]:
     """Fingerprints as text: four hex digits a bin, dashes for an empty one."""
-    blank = signature == np.iinfo(np.uint64).max
-    rows = ((signature >> np.uint64(42)) & np.uint64(0xFFFF)).astype(">u2")
+    blank = signature < 0
+    rows = signature.astype(">u2")
     out = []
     for digits, empty in zip(rows, blank):
         text = digits.tobytes().hex()
@@ -102,12 +112,9 @@ def shown(signature: np.ndarray) -> list[str]:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of equal bins among those that either has; 1 for two empty fingerprints."""
-    empty = np.iinfo(np.uint64).max
-    either = (a != empty) | (b != empty)
-    shift = np.uint64(42)
-    same = either & ((a >> shift) == (b >> shift)) & ((a != empty) == (b != empty))
+    either = (a >= 0) | (b >= 0)
     n = either.sum(axis=1)
-    return np.where(n == 0, 1.0, same.sum(axis=1) / np.maximum(n, 1))
+    return np.where(n == 0, 1.0, (either & (a == b)).sum(axis=1) / np.maximum(n, 1))
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -154,8 +161,20 @@ def in_order(docs: DataFrame, parts: int, id_column: str = "doc_id", text_column
             extra = np.concatenate([np.zeros(len(own), dtype=np.int32), np.ones(len(again), dtype=np.int32)])
             yield pa.RecordBatch.from_arrays([pa.array(part), *(c.take(rows) for c in batch.columns), pa.array(extra)], ["part", "doc_id", "no_id", "text", "extra"])
 
-    spread = slim.mapInArrow(deal, "part long, doc_id long, no_id boolean, text string, extra int")
-    return spread.repartition(max(1, len(filled)), "part").sortWithinPartitions("part", "extra", "doc_id", F.xxhash64("text"), "text")
+    # Numbers that Spark's hash deals to different partitions, so that each range has a task of its own.
+    n = max(1, len(filled))
+    spare = docs.sparkSession.range(16 * n, numPartitions=1 + n // 4096).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id")).collect()
+    names = np.arange(int(limits.size) + 1)
+    free = {r["at"]: r["id"] for r in spare}
+    for k, part in enumerate(filled):
+        names[part] = free.get(k, 16 * n + k)
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in deal(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(names[batch.column(0).to_numpy(zero_copy_only=False)]), *batch.columns[1:]], batch.schema.names)
+
+    spread = slim.mapInArrow(rename, "part long, doc_id long, no_id boolean, text string, extra int")
+    return spread.repartition(n, "part").sortWithinPartitions("part", "extra", "doc_id", F.xxhash64("text"), "text")
 
 
 def with_edited(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows_per_part: int = 16_384) -> DataFrame:

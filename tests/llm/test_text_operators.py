@@ -258,14 +258,15 @@ def test_fingerprints_and_edits(spark):
     assert sum(map(len, got.values())) == len(rows)
     import hashlib
 
-    order = sorted((r for r in rows if r[0] not in (None, 2)), key=lambda r: r[0])
-    after = {4: order[4][1], 50: order[-2][1], 9: rows[-3][1], 7: ROWS[10][1]}
-    texts = dict(order)
-    for i, nxt in after.items():
-        text = texts[i] or ""
+    place = lambda r: (-(1 << 63) if r[0] is None else r[0], int(np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)).astype(np.int64)))
+    order, want = sorted(rows, key=place), []
+    for (i, t), (_, following) in zip(order, order[1:] + order[:1]):
+        text = t or ""
         cut = len(text) // 4
-        edited = text[: len(text) - cut] + (nxt or "")[:cut]
-        assert got[i][0].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i][0].n_chars == len(text)
+        edited = text[: len(text) - cut] + (following or "")[:cut]
+        s, e, n = (phrases.signatures([x.encode()]) for x in (text, edited, following or ""))
+        want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), phrases.shown(s)[0], phrases.shown(e)[0], float(phrases.likeness(s, e)[0]), float(phrases.likeness(s, n)[0])))
+    assert sorted((tuple(r) for own in got.values() for r in own), key=str) == sorted(want, key=str)
     assert got[50][0].fingerprint == got[51][0].fingerprint and got[50][0].near_next == 1.0
     assert got[51][0].near_next < 0.2 < got[51][0].near_edited
     assert got[3][0].near_edited == 1.0 and set(got[3][0].fingerprint) == {"-"}
@@ -273,6 +274,55 @@ def test_fingerprints_and_edits(spark):
     assert len(phrases.fingerprints(docs(spark, rows)).collect()) == len(rows)
 
 
+def names_by_hand(text):
+    """Each level's phrase names of one text, symbol by symbol."""
+    from tessera.llm import common
+
+    def toss(labels):
+        out = [0]
+        for before, own in zip(labels, labels[1:]):
+            low = ((before ^ own) & -(before ^ own)).bit_length() - 1
+            out.append(0 if before == own else 1 + 2 * low + (own >> low & 1))
+        return out
+
+    symbols, levels = list(text), []
+    for level in range(phrases.LEVELS if text else 0):
+        labels = symbols
+        for _ in range(3 if level == 0 else 4):
+            labels = toss(labels)
+        ends = [k + 1 for k in range(len(labels)) if k == len(labels) - 1 or 0 < k and labels[k - 1] < labels[k] >= labels[k + 1]]
+        plain = [sum((x + 1) * pow(common._BASE, j, 1 << 64) for j, x in enumerate(symbols[b:e])) % (1 << 64) for b, e in zip([0, *ends], ends)]
+        symbols = common.mix64(np.array(plain, dtype=np.uint64)).tolist()
+        levels.append(symbols)
+    return levels
+
+
+def test_names_and_fingerprints_against_a_slow_version():
+    from tessera.llm.common import mix64
+
+    rng = np.random.default_rng(2)
+    texts = [b"", b"a", b"aaaa", b"abab" * 40, "é日 🙂".encode() * 9, bytes(rng.integers(97, 123, 900, dtype=np.uint8)), b"one two three four " * 30]
+    found = {k: [] for k in range(len(texts))}
+    for _, owner, names in phrases.text_names(texts):
+        for k in found:
+            if len(texts[k]):
+                found[k].append(names[owner == k].tolist())
+    assert [found[k] for k in found] == [names_by_hand(t) for t in texts]
+    got = phrases.signatures(texts)
+    for k, text in enumerate(texts):
+        bins = {}
+        for level, names in enumerate(names_by_hand(text), 1):
+            for h in mix64(np.array(names, dtype=np.uint64) + np.uint64(level)).tolist():
+                bins.setdefault(h >> 58, []).append((max(3 - level, 0), h & (1 << 56) - 1))
+        want = [-1] * 64
+        for b, hashes in bins.items():
+            first, h = min(hashes)
+            want[b] = int(mix64(np.array([h | first << 56], dtype=np.uint64))[0]) & 0xFFFF
+        assert got[k].tolist() == want
+    long = [bytes(rng.integers(97, 123, 3_000_000, dtype=np.uint8)) for _ in range(2)]
+    assert phrases.likeness(*[phrases.signatures([x]) for x in long])[0] < 0.02  # unrelated, however long
+
+
 def test_equal_substrings_share_interior_phrases():
     rng = np.random.default_rng(8)
     middle = bytes(rng.integers(97, 123, 2000, dtype=np.uint8))
