@@ -1,9 +1,11 @@
 """Removal of multi-line passages that other documents have already, by content-defined chunks of lines.
 
-Native: DataFrame functions only.  A hash over each line and the line before decides where chunks
-end, so a passage is cut alike wherever it stands.  Chunk hashes are counted with map-side partial
-aggregates; a chunk whose hash an earlier document has is compared with that document's chunk, byte by
-byte, before it goes.
+Native: DataFrame functions only.  A rolling hash runs over the hashes of each line and the line before
+it.  Where it starts and stops being one that an earlier document has, a chunk begins and ends; so
+chunks depend on nothing but the lines inside them, whatever stands around, and a passage of two
+lines is one already.  (Boundaries where the hash is 0 modulo a divisor need lines around the passage:
+they left six in seven repeated passages of two to six lines in place.)  What leaves the scan for counting
+is hashes; only texts of repeated hashes are moved, once each a task, and compared byte by byte.
 """
 
 from __future__ import annotations
@@ -11,75 +13,112 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Multiplier of the previous line's hash in the rolling hash over two lines.
-ROLL = 8191
-#: A chunk may end where the rolling hash is 0 modulo this.
-DIVISOR = 3
+from tessera.llm.common import join_by_count
+from tessera.operators.lineage import checkpointed
 
+#: Multipliers and moduli of the two halves of the rolling hash.
+ROLL = (8191, 131071)
+MODULUS = 2147483647
+#: A line of more words than this is a chunk by itself, like the lines that it could be wrapped to.
+LONG_LINE = 50
 
-def line_chunks(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """``docs`` with ``__lines`` and ``__chunks`` (arrays of structs: h long, lines int, solid int, text).
 
-    Line i ends a chunk if its rolling hash is 0 modulo DIVISOR and that of line i-1 is not, so that
-    inner chunks have two lines or more; the last line ends one always.  ``solid`` counts lines that
-    are not blank.
-    """
-    lines = docs.withColumn("__lines", F.split(F.coalesce(F.col(text_column), F.lit("")), "\n", -1))
-    hashed = lines.withColumn("__h", F.expr("transform(__lines, x -> cast(conv(substr(md5(cast(x as binary)), 1, 6), 16, 10) as bigint))"))
-    marked = hashed.withColumn("__hit", F.expr(f"transform(__h, (x, i) -> (x + {ROLL} * if(i = 0, 0L, __h[i - 1]) + 0 * size(__h)) % {DIVISOR} = 0)"))
-    ends = marked.withColumn("__ends", F.expr("filter(sequence(1, size(__hit)), e -> e = size(__hit) or (__hit[e - 1] and (e = 1 or not __hit[e - 2])))"))
-    parts = ends.withColumn("__parts", F.expr("transform(__ends, (e, k) -> slice(__lines, if(k = 0, 1, __ends[k - 1] + 1), if(k = 0, e, e - __ends[k - 1])))"))
-    chunks = parts.withColumn(
-        "__chunks", F.expr("transform(__parts, p -> named_struct('h', xxhash64(array_join(p, '\n')), 'lines', size(p), 'solid', size(filter(p, x -> trim(x) <> '')), 'text', array_join(p, '\n')))".replace("\n", "\\n"))
+def _half(h: str, k: int) -> str:
+    return f"pmod({h if k == 0 else f'shiftright({h}, 29)'}, {MODULUS})"
+
+
+def rolled(before: str, own: str) -> str:
+    """SQL of the rolling hash over two lines' 64-bit hashes: two halves, each first * ROLL + second modulo MODULUS."""
+    high, low = (f"pmod({_half(before, k)} * {ROLL[k]}L + {_half(own, k)}, {MODULUS})" for k in (0, 1))
+    return f"(shiftleft({high}, 32) + {low})"
+
+
+def line_units(text: str) -> str:
+    """SQL of a text's lines, blank ones joined to the line before them; only the first may be blank."""
+    return f"split(coalesce({text}, ''), '\\\\n(?= *[^ \\\\n])', -1)"
+
+
+def core(unit: str) -> str:
+    """SQL of a unit without the blank lines at its end."""
+    return f"regexp_replace({unit}, '\\\\n[ \\\\n]*\\\\z', '')"
+
+
+def windows(units: str) -> str:
+    """SQL of an array of (at, h): 2k for the rolling hash over units k and k+1, 2k+1 for unit k alone if it is long.  The first unit counts if it isn't blank."""
+    named = f"transform({units}, (x, k) -> named_struct('k', cast(k as bigint), 'solid', trim(both ' \\n' from x) <> '', 'long', length(x) > {2 * LONG_LINE} and size(filter(split({core('x')}, ' '), w -> w <> '')) > {LONG_LINE}, 'whole', xxhash64(x), 'core', xxhash64({core('x')})))"
+    return (
+        f"transform(array({named}), u -> concat(filter(zip_with(slice(u, 1, greatest(size(u) - 1, 0)), slice(u, 2, greatest(size(u) - 1, 0)), (a, b) -> if(a.solid, named_struct('at', 2 * a.k, 'h', {rolled('a.whole', 'b.core')}), null)), w -> w is not null), "
+        f"transform(filter(u, x -> x.long), x -> named_struct('at', 2 * x.k + 1, 'h', {rolled('0L', 'x.core')}))))[0]"
     )
-    return chunks.drop("__h", "__hit", "__ends", "__parts")
 
 
-def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", min_lines: int = 2) -> DataFrame:
+def window_text(units: str, at: str) -> str:
+    """SQL of the text of the window ``at``."""
+    k = f"cast({at} div 2 as int)"
+    return f"if({at} % 2 = 0, concat({units}[{k}], '\\n', {core(f'{units}[{k} + 1]')}), {core(f'{units}[{k}]')})"
+
+
+def repeated_windows(slim: DataFrame) -> DataFrame:
+    """(__id, __t, at, lost) of windows of (__id, __t, __text) that an earlier document has; ``lost`` is null, or the window's text if others have its hash.
+
+    ``__t`` is the text's hash, which tells apart texts of rows that share an id.
+    """
+    w = slim.select("__id", "__t", F.expr(windows(line_units("__text"))).alias("w")).select("__id", "__t", F.explode("w").alias("w")).select("__id", "__t", F.col("w.at").alias("at"), F.col("w.h").alias("h"))
+    shared = checkpointed(w.groupBy("h").agg(F.min("__id").alias("first_id"), F.max("__id").alias("last_id"), F.count("*").alias("n")).where("first_id < last_id").select("h", "n"))
+    found = checkpointed(join_by_count(w, shared, "h"))
+    wanted = found.groupBy("__id", "__t").agg(F.collect_set(F.struct("at", "h")).alias("__w"))
+    units = slim.join(wanted, ["__id", "__t"]).select("__id", F.expr(line_units("__text")).alias("u"), "__w")
+    texts = units.select("__id", F.explode(F.expr(f"transform(__w, x -> named_struct('h', x.h, 'text', if(size(u) = 0, '', {window_text('u', 'x.at')})))")).alias("x"))
+    # One row a task, hash and text goes into the shuffle; a text that two documents have stays in the first.
+    same = texts.groupBy(F.col("x.h").alias("h"), F.col("x.text").alias("text")).agg(F.min("__id").alias("first_id"), F.max("__id").alias("last_id"), F.count("*").alias("n"))
+    by_hash = same.groupBy("h").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.collect_list(F.struct("text", "first_id", "last_id")).alias("all"))
+    proven = by_hash.select("h", "n", F.expr("filter(transform(all, x -> named_struct('lost', if(texts = 1, null, x.text), 'first_id', x.first_id, 'last_id', x.last_id)), x -> x.first_id < x.last_id)").alias("x")).where("size(x) > 0")
+    joined = join_by_count(found, checkpointed(proven), "h").select("__id", "__t", "at", F.explode("x").alias("x"))
+    return joined.where("__id > x.first_id").select("__id", "__t", "at", F.col("x.lost").alias("lost"))
+
+
+def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with repeated passages taken out of the text, and counts of what went.
 
-    A chunk with at least ``min_lines`` lines that are not blank stays in the document with the
-    smallest id that has it, and goes from all others.  Rows that share an id count as one document;
-    rows without an id neither claim nor lose a chunk.  Null texts come back as empty, empty and very
-    long texts work alike, and an empty table gives no rows.  Adds n_lines, removed_lines, n_chunks and
-    removed_chunks; other columns are kept.
+    Two consecutive lines that are not blank, with the blank lines between them, and a line of over
+    LONG_LINE words stay in the document with the smallest id that has them and go from all others,
+    each with the blank lines after it.  Overlapping ones make one chunk.  Rows that share an id count
+    as one document; rows without an id neither claim nor lose lines.  Null texts come back as empty,
+    empty and very long texts work alike, and an empty table gives no rows.  Adds n_lines,
+    removed_lines and removed_chunks; other columns are kept.
     """
-    # The outer form: for the other one the optimizer would push a test of the array, and with it the whole
-    # computation of the chunks, into a filter below.
-    slim = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"))
-    chunks = line_chunks(slim, "__text").select("__id", F.explode_outer("__chunks").alias("c")).where(f"__id is not null and c.solid >= {int(min_lines)}").select("__id", F.col("c.h").alias("h"), F.col("c.text").alias("text"))
-    # Chunk texts move once, after each task has kept one text a hash; later only repeated texts do.
-    firsts = chunks.groupBy("h").agg(F.min("__id").alias("first_id"), F.max("__id").alias("last_id"), F.min_by("text", "__id").alias("text")).where("first_id < last_id")
-    later = chunks.select("__id", "h").join(firsts.select("h", "first_id", "text"), "h").where("__id > first_id")
-    lost = later.groupBy(F.col("__id").alias("__lost_id")).agg(F.collect_set(F.struct("h", "text")).alias("__lost"))
-    joined = docs.join(lost, docs[id_column] == lost["__lost_id"], "left").drop("__lost_id")
-    cut = line_chunks(joined, text_column).withColumn("__kept", F.expr(f"filter(__chunks, c -> __lost is null or c.solid < {int(min_lines)} or not exists(__lost, l -> l.h = c.h and l.text = c.text))"))
-    total = "aggregate({}, 0, (a, c) -> a + c.lines)"
+    slim = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("__id"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("__t"), F.col(text_column).alias("__text"))
+    lost = repeated_windows(slim).groupBy(F.col("__id").alias("__lost_id"), F.col("__t").alias("__lost_t")).agg(F.collect_set(F.struct("at", "lost")).alias("__lost"))
+    joined = docs.join(lost, (docs[id_column] == lost["__lost_id"]) & (F.xxhash64(F.coalesce(docs[text_column], F.lit(""))) == lost["__lost_t"]), "left").drop("__lost_id", "__lost_t")
+    cut = joined.withColumn("__units", F.expr(line_units(f"`{text_column}`")))
+    # size(...) names the column twice, so that the optimizer does not compute it again for each element.
+    sure = f"filter(__lost, x -> x.lost is null or (size(__units) > 0 and x.lost = {window_text('__units', 'x.at')}))"
+    cut = cut.withColumn("__gone", F.expr(f"if(__lost is null, cast(array() as array<bigint>), array_sort(array_distinct(flatten(transform({sure}, x -> if(x.at % 2 = 0, array(x.at div 2, x.at div 2 + 1), array(x.at div 2)))))))"))
+    cut = cut.withColumn("__kept", F.expr("if(size(__gone) = 0, __units, transform(array_except(sequence(0L, size(__units) - 1L), __gone), k -> if(size(__units) = 0, '', __units[cast(k as int)])))"))
+    lines = "size(split({}, '\\n', -1))"
     return (
-        cut.withColumn(text_column, F.expr("array_join(transform(__kept, c -> c.text), '\\n')"))
-        .withColumn("n_lines", F.expr(total.format("__chunks")))
-        .withColumn("removed_lines", F.expr(f"{total.format('__chunks')} - {total.format('__kept')}"))
-        .withColumn("n_chunks", F.expr("size(__chunks)"))
-        .withColumn("removed_chunks", F.expr("size(__chunks) - size(__kept)"))
-        .drop("__lines", "__chunks", "__kept", "__lost")
+        cut.withColumn("n_lines", F.expr(lines.format(f"coalesce(`{text_column}`, '')")))
+        .withColumn(text_column, F.expr("array_join(__kept, '\\n')"))
+        .withColumn("removed_lines", F.expr(f"n_lines - if(size(__kept) = 0, 0, {lines.format(f'`{text_column}`')})"))
+        .withColumn("removed_chunks", F.expr("size(filter(zip_with(__gone, concat(array(-9L), slice(__gone, 1, greatest(size(__gone) - 1, 0))), (own, before) -> own <> before + 1), x -> x))"))
+        .drop("__units", "__gone", "__kept", "__lost")
     )
 
 
-def oracle(min_lines: int = 2) -> str:
+def oracle() -> str:
     """DuckDB SQL for the columns that the query returns."""
     return f"""
-with lines as (
-  select doc_id, x.pos as pos, x.line as line from (
+with lines as (select doc_id, x.pos as pos, x.line as line, trim(x.line, ' ') = '' as blank from (
     select doc_id, unnest(list_transform(list_zip(l, range(1, len(l) + 1)), lambda z: {{'line': z[1], 'pos': z[2]}})) as x
     from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents))),
-hashed as (select *, ('0x' || substr(md5(line), 1, 6))::bigint as h from lines),
-rolled as (select *, (h + {ROLL} * coalesce(lag(h) over (partition by doc_id order by pos), 0)) % {DIVISOR} = 0 as hit from hashed),
-ends as (select *, hit and not coalesce(lag(hit) over (partition by doc_id order by pos), false) as ends_here from rolled),
-numbered as (select *, coalesce(sum(ends_here::int) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as no from ends),
-chunks as (select doc_id, no, string_agg(line, chr(10) order by pos) as text, count(*) as lines, count(*) filter (where trim(line, ' ') <> '') as solid from numbered group by doc_id, no),
-firsts as (select text, min(doc_id) as first_id from chunks where solid >= {min_lines} group by text),
-marked as (select c.*, solid >= {min_lines} and c.doc_id > f.first_id as gone from chunks c left join firsts f using (text))
-select doc_id, coalesce(string_agg(text, chr(10) order by no) filter (where not coalesce(gone, false)), '') as text,
-  sum(lines)::int as n_lines, coalesce(sum(lines) filter (where gone), 0)::int as removed_lines,
-  count(*)::int as n_chunks, (count(*) filter (where gone))::int as removed_chunks
+units as (select doc_id, u, string_agg(line, chr(10) order by pos) as unit, first(line order by pos) as head, count(*) as n, bool_or(not blank) as solid
+  from (select *, sum(case when blank or pos = 1 then 0 else 1 end) over (partition by doc_id order by pos) as u from lines) group by doc_id, u),
+pairs as (select doc_id, u, unit || chr(10) || lead(head) over (partition by doc_id order by u) as text, solid, lead(u) over (partition by doc_id order by u) is not null as more from units),
+windows as (select doc_id, u, u + 1 as v, text from pairs where solid and more
+  union all select doc_id, u, u, head from units where solid and len(list_filter(string_split(head, ' '), lambda w: w <> '')) > {LONG_LINE}),
+firsts as (select text, min(doc_id) as first_id from windows group by text having min(doc_id) < max(doc_id)),
+lost as (select distinct doc_id, unnest([u, v]) as u from windows join firsts using (text) where doc_id > first_id),
+marked as (select x.*, l.u is not null as gone, l.u - 1 is distinct from lag(l.u) over (partition by x.doc_id order by x.u) and l.u is not null as begins from units x left join lost l on x.doc_id = l.doc_id and x.u = l.u)
+select doc_id, coalesce(string_agg(unit, chr(10) order by u) filter (where not gone), '') as text, sum(n)::int as n_lines, coalesce(sum(n) filter (where gone), 0)::int as removed_lines,
+  (count(*) filter (where begins))::int as removed_chunks
 from marked group by doc_id"""

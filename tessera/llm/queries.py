@@ -20,7 +20,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated multi-line passages removed from every document: doc_id, the text that stays, and counts."""
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "removed_lines", "n_chunks", "removed_chunks")
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "removed_lines", "removed_chunks")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

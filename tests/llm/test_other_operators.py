@@ -249,7 +249,7 @@ def test_media_columns(spark):
 
 def test_pipeline_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    from tests.llm.test_text_operators import chunks_by_hand
+    from tests.llm.test_text_operators import deduped_by_hand
 
     rng = np.random.default_rng(9)
     words = [f"{a}{b}" for a in ("ba", "ce", "di", "fo", "gu") for b in ("lam", "nor", "pit", "sun", "tek")]
@@ -279,13 +279,7 @@ def test_pipeline_stages(spark, tmp_path):
     bad = {k for k in range(240) if k % 5 == 0}
     assert not toxic & set(kept[0]) and not bad & set(kept[1])
     assert len(set(range(240)) - toxic - bad - set(kept[1])) < 5
-    first = {}
-    for i in sorted(x for x in kept[1] if x is not None):
-        for text, solid in chunks_by_hand(kept[1][i]):
-            if solid:
-                first.setdefault(text, i)
-    for i, text in kept[2].items():
-        assert text == "\n".join(c for c, solid in chunks_by_hand(kept[1][i]) if i is None or not solid or first[c] == i)
+    assert kept[2] == dict(deduped_by_hand(list(kept[1].items())))
     seen = {}
     for i in sorted(x for x in kept[2] if x is not None):
         seen.setdefault(simhash_by_hand(kept[2][i]), i)

@@ -29,41 +29,67 @@ ROWS = [
 ]
 
 
-def chunks_by_hand(text, least=2):
-    import hashlib
-
+def windows_by_hand(text):
+    """(text, its line numbers) of every two consecutive lines that are not blank, and of every line of over 50 words."""
     lines = (text or "").split("\n")
-    h = [int(hashlib.md5(x.encode()).hexdigest()[:6], 16) for x in lines]
-    hit = [(h[i] + line_dedup.ROLL * (h[i - 1] if i else 0)) % line_dedup.DIVISOR == 0 for i in range(len(h))]
-    out, begin = [], 0
-    for i in range(len(lines)):
-        if i == len(lines) - 1 or (hit[i] and not (i and hit[i - 1])):
-            own = lines[begin : i + 1]
-            out.append(("\n".join(own), sum(x.strip(" ") != "" for x in own) >= least))
-            begin = i + 1
+    solid = [k for k, x in enumerate(lines) if x.strip(" ")]
+    out = [("\n".join(lines[a : b + 1]), range(a, b + 1)) for a, b in zip(solid, solid[1:])]
+    return out + [(lines[k], range(k, k + 1)) for k in solid if len(lines[k].split(" ")) - lines[k].split(" ").count("") > line_dedup.LONG_LINE]
+
+
+def deduped_by_hand(rows):
+    """(id, text that stays) of rows (id, text)."""
+    first, out = {}, []
+    for i, t in rows:
+        if i is not None:
+            for text, _ in windows_by_hand(t):
+                first[text] = min(first.get(text, i), i)
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        gone = {k for text, own in windows_by_hand(t) if i is not None and first[text] < i for k in own}
+        for k in range(1, len(lines)):  # blank lines after a line that goes
+            if k - 1 in gone and not lines[k].strip(" "):
+                gone.add(k)
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone)))
     return out
 
 
 def test_line_dedup_against_brute_force(spark):
     rng = np.random.default_rng(3)
-    lines = [f"line {k} of many" for k in range(40)] + [""]
-    rows = ROWS + [(100 + k, "\n".join(lines[j] for s in rng.integers(0, 30, 4) for j in range(s, s + 7))) for k in range(30)]
-    first = {}
-    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
-        for text, solid in chunks_by_hand(t):
-            if solid:
-                first.setdefault(text, i)
-    expected = []
-    for i, t in rows:
-        kept = [text for text, solid in chunks_by_hand(t) if not (solid and i is not None and first[text] < i)]
-        expected.append((i, "\n".join(kept)))
+    lines = [f"line {k} of many" for k in range(40)] + ["", "  "]
+    rows = ROWS + [(100 + k, "\n".join(lines[j] for s in rng.integers(0, 36, 4) for j in range(s, s + 6))) for k in range(30)]
+    rows += [(200, "\n\nx\n\n \ny\n\n"), (201, "a\nx\n\n \ny\n\nz"), (202, "x\n\n\ny"), (203, "\tq\n\t\nw"), (204, "\tq\n\t\nw")]
     got = line_dedup.dedup_lines(docs(spark, rows))
     assert set(got.columns) >= {"piece", "h", "lang", "n_lines", "removed_lines"}
-    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(expected, key=str)
-    assert any(r.removed_lines for r in got.collect())
+    found = got.collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted(deduped_by_hand(rows), key=str)
+    assert any(r.removed_lines for r in found) and all(r.n_lines - r.removed_lines == (len(r.text.split("\n")) if r.text or not r.removed_lines else 0) for r in found)
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_planted_passages_are_found_wherever_they_stand(spark):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 7))
+    line = lambda n: " ".join(word() for _ in range(n))
+    passages = [[line(60 // n + 1) for _ in range(n)] for n in (1, 2, 2, 3, 4, 5, 6)]
+    rows = []
+    for k in range(140):
+        own = [line(int(rng.integers(3, 12))) for _ in range(rng.integers(0, 9))]
+        at = int(rng.integers(0, len(own) + 1))
+        rows.append((k, "\n".join(own[:at] + passages[k % 7] + own[at:])))
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    for k, text in rows:
+        lost = [x for x in text.split("\n") if x not in kept[k].split("\n")]
+        assert lost == (passages[k % 7] if k >= 7 else [])
+
+
+def test_equal_hashes_of_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "rolled", lambda before, own: f"pmod({own}, 2)")  # almost all windows collide
+    rows = [(k, "\n".join(f"line {x}" for x in (k % 5, k % 5 + 1, 77 + k))) for k in range(20)]
+    got = line_dedup.dedup_lines(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(deduped_by_hand(rows))
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
