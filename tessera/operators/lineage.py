@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; on a local master, where executors are the driver, a temporary one if none is set."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+    return context.getCheckpointDir()
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
-    """``frame`` written to the folder of ``spark.checkpoint.dir`` and read from there; a local folder only where none is set (tests)."""
-    spark = frame.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+    """``frame`` written to the shared checkpoint folder and read from there."""
+    checkpoint_folder(frame.sparkSession)
     return frame.checkpoint()
