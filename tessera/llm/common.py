@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,14 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; set a local one only where none is set (tests)."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-ckpt-"))
-
-
 def join_by_count(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", share: int = 10_000) -> DataFrame:
     """``rows`` joined with ``side``, which has one row a ``key`` and, in ``n``, about how many of ``rows`` have it.
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, media, packing, phrases, piece_codec, quality_crf, simhash, toxicity, url_rules, warc
-from tessera.llm.common import ensure_checkpoint_dir, id_bucket, table
+from tessera.llm.common import id_bucket, table
+from tessera.operators.lineage import checkpoint_folder
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,8 +43,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC bundles in the shared folder, and every record read back from them."""
-    ensure_checkpoint_dir(spark)
-    path = warc.write_archives(table(spark, sf_dir, "pages"), spark.sparkContext.getCheckpointDir())
+    path = warc.write_archives(table(spark, sf_dir, "pages"), checkpoint_folder(spark))
     return warc.read_archives(spark.read.parquet(path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

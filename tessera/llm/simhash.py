@@ -18,7 +18,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ensure_checkpoint_dir, utf8_list
+from tessera.llm.common import join_by_count, utf8_list
+from tessera.operators.components import connected_components
+from tessera.operators.lineage import checkpointed
 
 #: Bits of the ring's five segments, from the lowest bit on.
 WIDTHS = (13, 13, 13, 13, 12)
@@ -80,16 +82,16 @@ def chain_keys(fp: str) -> Column:
     return F.expr(f"concat({', '.join(keys)})")
 
 
-def linked(a: np.ndarray, b: np.ndarray, start: np.ndarray, threshold: int) -> np.ndarray:
-    """Which pairs pass the ring's chain from segment ``start`` and then the whole Hamming test."""
+def linked(a: np.ndarray, b: np.ndarray, start: np.ndarray | int, threshold: int) -> np.ndarray:
+    """Which pairs pass the ring's chain from segment ``start`` and then the whole Hamming test (the arrays are broadcast)."""
     diff = a ^ b
-    ok, total = np.ones(len(a), dtype=bool), np.zeros(len(a), dtype=np.uint8)
+    ok, total = np.ones(diff.shape, dtype=bool), np.zeros(diff.shape, dtype=np.uint8)
     shifts, masks = np.array(SHIFTS, dtype=np.uint64), np.array([(1 << w) - 1 for w in WIDTHS], dtype=np.uint64)
     for l in range(1, len(WIDTHS)):
         at = (start + l - 1) % len(WIDTHS)
         total = total + np.bitwise_count((diff >> shifts[at]) & masks[at])
         ok &= total.astype(np.int64) * len(WIDTHS) <= l * threshold
-    near = np.zeros(len(a), dtype=bool)
+    near = np.zeros(diff.shape, dtype=bool)
     near[ok] = np.bitwise_count(diff[ok]) <= threshold
     return near
 
@@ -110,15 +112,15 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def run_edges(words: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect a long run of different fingerprints as all its links would.
+def run_edges(words: np.ndarray, start: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect a long run of different fingerprints of one key as its chains would.
 
-    Neighbours at one bit are found by sorting with each bit masked.  Only fingerprints outside the
-    largest class that this makes are then compared with all others, in blocks; so a dense group of
-    near copies costs sorts, not all its pairs.
+    Neighbours at one bit, which pass every chain from an equal segment, are found by sorting with each
+    bit masked.  Only fingerprints outside the largest class that this makes are then tested with all
+    others, by the same chain, in blocks; so a dense group of near copies costs sorts, not all its pairs.
     """
     n, from_, to = len(words), [], []
-    if threshold >= 1:
+    if threshold >= 2:
         for bit in range(64):
             masked = words & ~np.uint64(1 << bit)
             order = np.argsort(masked, kind="stable")
@@ -129,10 +131,10 @@ def run_edges(words: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray
     a, b = [np.flatnonzero(label != np.arange(n))], [label[label != np.arange(n)]]
     names, sizes = np.unique(label, return_counts=True)
     outside = np.flatnonzero(label != names[np.argmax(sizes)])
-    block = max(1, (1 << 22) // n)
+    block = max(1, (1 << 20) // n)
     for at in range(0, len(outside), block):
         own = outside[at : at + block]
-        i, j = np.nonzero(np.bitwise_count(words[own][:, None] ^ words[None, :]) <= threshold)
+        i, j = np.nonzero(linked(words[own][:, None], words[None, :], start, threshold))
         u, v = label[own[i]], label[j]
         pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)])[:, u != v], axis=1)
         a.append(pair[0])
@@ -149,7 +151,7 @@ def _links(threshold: int):
         a, b = [], []
         for run in np.flatnonzero(size > SMALL_RUN).tolist():
             own = words[bounds[run] : bounds[run + 1]]
-            i, j = run_edges(own, threshold)
+            i, j = run_edges(own, int((key[bounds[run]] >> 26) // 13), threshold)
             a.append(own[i])
             b.append(own[j])
         small = np.repeat(size <= SMALL_RUN, size)
@@ -194,32 +196,6 @@ def _links(threshold: int):
     return run
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of undirected edges (u, v), by alternating large-star and small-star steps.
-
-    Each step joins edges with the smallest neighbour of their end (a partial aggregate); lineage is
-    cut with checkpoint().
-    """
-    ensure_checkpoint_dir(edges.sparkSession)
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first())
-
-    # Each edge points from its larger end u to its smaller end v.
-    current = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().checkpoint()
-    seen = None
-    while (now := state(current)) != seen:
-        seen = now
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        current = small.where("u <> v").distinct().checkpoint()
-    return current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, threshold: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of at most ``threshold`` differing bits.
 
@@ -229,17 +205,15 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     """
     if not 0 <= threshold <= 4:
         raise ValueError("threshold must be from 0 to 4")
-    ensure_checkpoint_dir(docs.sparkSession)
-    prints = fingerprints(docs, id_column, text_column, shingle).checkpoint()
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    prints = checkpointed(fingerprints(docs, id_column, text_column, shingle))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     keys = classes.select(F.explode(chain_keys("fp")).alias("key"), "fp")
-    # A key needs two fingerprints to link anything.
     edges = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_links(threshold), "u long, v long").distinct()
     parts = connected_components(edges)
     named = classes.join(parts, classes.fp == parts.node).select("fp", "first_id", "component")
     named = named.join(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("fp", "component_id")
-    labels = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = checkpointed(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), "n"))
+    return join_by_count(prints, labels, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, threshold: int = 4) -> DataFrame:

@@ -5,10 +5,12 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import line_dedup, packing, phrases, piece_codec, simhash
 from tessera.llm.queries import tokenizer_path
+from tessera.operators.components import connected_components
 
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("piece", T.StringType()), T.StructField("h", T.StringType())]
@@ -157,7 +159,7 @@ def simhash_by_hand(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_simhash_classes_against_all_pairs(spark):
+def test_simhash_classes_against_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(5)
     words = [f"w{k}" for k in range(300)]
     base = [" ".join(rng.choice(words, 120)) for _ in range(12)]
@@ -189,23 +191,37 @@ def test_simhash_classes_against_all_pairs(spark):
         smallest[label[f]] = min([*known, *([smallest[label[f]]] if smallest.get(label[f]) is not None else [])], default=None)
     assert {(r.fp & (2**64 - 1), r.component_id) for r in got} == {(f, smallest[label[f]]) for f in fps}
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
+    # The tasks' edges when every key of two fingerprints counts as a long run.
+    keys = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp long").selectExpr("fp").select(F.explode(simhash.chain_keys("fp")).alias("key"), "fp").orderBy("key").toArrow()
+    ends = []
+    for run in (simhash.SMALL_RUN, 1):
+        monkeypatch.setattr(simhash, "SMALL_RUN", run)
+        same = {f - (f >> 63 << 64): f - (f >> 63 << 64) for f in fps}
+        for batch in simhash._links(4)(iter(keys.to_batches(500))):
+            for u, v in zip(*(c.to_pylist() for c in batch.columns)):
+                old, new = max(same[u], same[v]), min(same[u], same[v])
+                same = {k: new if x == old else x for k, x in same.items()}
+        ends.append(same)
+    assert ends[0] == ends[1] and len(set(ends[0].values())) == len(set(label.values()))
     kept = [r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect() if r.doc_id is not None]
     assert sorted(kept) == sorted(i for i in {v for v in smallest.values() if v is not None})
 
 
 def test_long_runs_give_the_same_components():
     rng = np.random.default_rng(2)
-    centre = rng.integers(0, 2**63, 3, dtype=np.uint64)
-    words = np.unique(np.array([c ^ np.uint64(sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 5)))) for c in centre for _ in range(120)], dtype=np.uint64))
-    near = np.bitwise_count(words[:, None] ^ words[None, :]) <= 4
+    low = np.uint64((1 << 26) - 1)  # one key of segment 0: the first two segments stay as they are, but for one bit
+    centre = rng.integers(0, 2**63, 3, dtype=np.uint64) & ~low
+    words = np.unique(np.array([c ^ np.uint64(sum(1 << int(b) for b in rng.choice([13, *range(26, 64)], rng.integers(0, 5)))) for c in centre for _ in range(120)], dtype=np.uint64))
+    near = np.triu(simhash.linked(words[:, None], words[None, :], 0, 4), 1)
     i, j = np.nonzero(near)
-    a, b = simhash.run_edges(words, 4)
+    assert np.any(np.bitwise_count(words[:, None] ^ words[None, :]) <= 4) and len(i)
+    a, b = simhash.run_edges(words, 0, 4)
     assert np.array_equal(simhash.components(len(words), i, j), simhash.components(len(words), a, b))
 
 
 def test_stars_on_a_long_path(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)]
-    got = {r.node: r.component for r in simhash.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100}
 
 
