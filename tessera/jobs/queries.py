@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import sequence as fx
-from tessera.operators import alignment, anchors, chains, components, evaluation, intervals, matching, tokens, trimming
+from tessera.operators import alignment, anchors, assignment, chains, components, evaluation, intervals, matching, tokens, trimming
+from tessera.operators.lineage import checkpointed
 from tessera.sources import formats
 from tessera.sources import tables as src
 
@@ -220,7 +221,7 @@ def assign_shared_tmus(spark, d):
     """Anchors matched to the one anchor of another sample, in their group, with the most shared unique substrings."""
     t, (grams, minimal) = _tokens(spark, d), _minimal(spark, d)
     owned = matching.anchor_substrings(t, tokens.substring_hits(grams, minimal), tokens.RADIUS)
-    return matching.match_shared_substrings(src.event_anchors(spark, d), owned, minimal)
+    return matching.match_shared_substrings(src.event_anchors(spark, d), owned)
 
 
 @query("""select target_sample, count(*) as primary_n, count(distinct query_anchor_id) as queries from exact group by target_sample""", EXACT)
@@ -247,6 +248,145 @@ def support_counts(spark, d):
     return correspondences(spark, d).groupBy("support_direction").agg(F.count("*").alias("n"))
 
 
+# Assignments and what chains step on ---------------------------------------------------------------
+
+#: Width of the value classes that group anchors for assignments, and thresholds that fit the events' few shared substrings.
+FINE, EVENT_MATCHES = 20, assignment.Params(min_shared=3, min_score=2, margin=5)
+ASSIGNED = (SHARED + CONTEXTS[len(TOKENS) :] + ALPHA[len(HITS) :]).replace("floor(value / 50)", f"floor(value / {FINE})") + f""",
+anc as (select c.anchor_id, c.sample, e.group_id, c.context_key, string_split(c.forward_tokens, '|') as toks from contexts c join event_anchors e using (anchor_id)),
+asked as (select a.anchor_id as query_anchor_id, a.sample as query_sample, s.sample as target_sample, a.group_id, a.context_key, a.toks, coalesce(l.alpha, 0) as q_alpha
+  from anc a join (select distinct sample from anc) s on s.sample <> a.sample left join alpha l on l.anchor_id = a.anchor_id and l.of_sample = s.sample),
+one as (select sample, context_key, min(anchor_id) as target_anchor_id from anc group by all having count(*) = 1),
+ex as (select q.*, o.target_anchor_id, coalesce(l.alpha, 0) as r_alpha from asked q join one o on o.sample = q.target_sample and o.context_key = q.context_key
+  left join alpha l on l.anchor_id = o.target_anchor_id and l.of_sample = q.query_sample where q.q_alpha + coalesce(l.alpha, 0) > 0),
+left1 as (select * from asked anti join ex using (query_anchor_id, target_sample)),
+sh0 as (select q.query_anchor_id, q.query_sample, q.target_sample, q.q_alpha, s.target_anchor_id, s.shared, l.alpha as r_alpha from left1 q join shared s using (query_anchor_id, target_sample)
+  join alpha l on l.anchor_id = s.target_anchor_id and l.of_sample = q.query_sample where q.q_alpha > 0 and s.shared >= 3),
+sh as (select query_anchor_id, query_sample, target_sample, min(target_anchor_id) as target_anchor_id, min(q_alpha) as q_alpha, min(r_alpha) as r_alpha
+  from (select *, max(shared) over (partition by query_anchor_id, target_sample) as most from sh0) where shared = most group by 1, 2, 3 having count(*) = 1),
+left2 as (select * from left1 anti join sh using (query_anchor_id, target_sample)),
+ed0 as (select q.*, t.anchor_id as target_anchor_id, l.alpha as r_alpha, t.toks as far, list_distinct(q.toks || t.toks) as v from left2 q join anc t on t.group_id = q.group_id and t.sample = q.target_sample
+  join alpha l on l.anchor_id = t.anchor_id and l.of_sample = q.query_sample where q.q_alpha > 0),
+ed1 as (select *, array_to_string(list_transform(toks, lambda x: chr(96 + list_position(v, x)::int)), '') as a, array_to_string(list_transform(far, lambda x: chr(96 + list_position(v, x)::int)), '') as b from ed0),
+ed2 as (select *, levenshtein(a, b) as plus, levenshtein(reverse(a), b) as minus from ed1),
+ed3 as (select *, least(plus, minus) as d, q_alpha + r_alpha - least(plus, minus) as score from ed2 where q_alpha + r_alpha - least(plus, minus) > 2),
+ed4 as (select *, row_number() over w as rank, count(*) over (partition by query_anchor_id, target_sample) as candidates, first_value(score) over w as top, nth_value(score, 2) over (partition by query_anchor_id, target_sample order by score desc, d, target_anchor_id rows between unbounded preceding and unbounded following) as second
+  from ed3 window w as (partition by query_anchor_id, target_sample order by score desc, d, target_anchor_id)),
+ed as (select *, top - coalesce(second, top) as margin, candidates = 1 or top - second >= 5 as sure from ed4),
+assigned as (select query_anchor_id, query_sample, target_sample, target_anchor_id, 'primary' as status, 'exact_context' as method, q_alpha + r_alpha as score, 0::bigint as edit_distance, '.' as strand, q_alpha, r_alpha, 0::bigint as margin, 1::bigint as candidates from ex
+  union all select query_anchor_id, query_sample, target_sample, target_anchor_id, 'primary', 'shared_tmus', q_alpha + r_alpha, 0, '.', q_alpha, r_alpha, 0, 1 from sh
+  union all select query_anchor_id, query_sample, target_sample, target_anchor_id, case when sure then 'primary' else 'ambiguous' end, 'edit_distance', score, d, case when minus < plus then '-' else '+' end, q_alpha, r_alpha, margin, candidates from ed
+    where (sure and rank = 1) or (not sure and top - score <= 5)
+  union all select query_anchor_id, query_sample, target_sample, null, 'unmatched', null, null, null, null, q_alpha, null, null, null from left2 anti join ed using (query_anchor_id, target_sample)),
+fw as (select target_sample as sample_a, target_anchor_id as anchor_a, query_sample as sample_b, query_anchor_id as anchor_b, score, strand from assigned where status = 'primary' and target_sample < query_sample),
+bw as (select query_sample as sample_a, query_anchor_id as anchor_a, target_sample as sample_b, target_anchor_id as anchor_b, score, strand from assigned where status = 'primary' and target_sample > query_sample),
+corr as (select sample_a, anchor_a, sample_b, anchor_b, case when f.score is not null and r.score is not null then 'both'
+    when r.score is null then case when exists (select 1 from bw where bw.sample_a = f.sample_a and bw.anchor_a = f.anchor_a and bw.sample_b = f.sample_b) then 'discordant' else 'forward_only' end
+    else case when exists (select 1 from fw where fw.sample_b = r.sample_b and fw.anchor_b = r.anchor_b and fw.sample_a = r.sample_a) then 'discordant' else 'reverse_only' end end as support,
+  f.score as forward_score, r.score as reverse_score, f.strand as forward_strand, r.strand as reverse_strand from fw f full join bw r using (sample_a, anchor_a, sample_b, anchor_b)),
+cand0 as (select sample_a, anchor_a, sample_b, anchor_b, case when forward_score is null or (reverse_score is not null and reverse_score > forward_score) then reverse_score else forward_score end as score,
+    case when forward_score is null or (reverse_score is not null and reverse_score > forward_score) then reverse_strand else forward_strand end as reported, support = 'both' as "both", 0 as source from corr
+  union all select case when target_sample > query_sample then query_sample else target_sample end, case when target_sample > query_sample then query_anchor_id else target_anchor_id end,
+    case when target_sample > query_sample then target_sample else query_sample end, case when target_sample > query_sample then target_anchor_id else query_anchor_id end, score, strand, false, 1 from assigned where status = 'ambiguous'),
+cand1 as (select * from (select *, row_number() over (partition by sample_a, anchor_a, sample_b, anchor_b order by source, score desc, reported) as place from cand0) where place = 1),
+cands as (select * from (select c.sample_a, c.sample_b, c.sample_b || ':' || b.sequence_id as q, c.sample_a || ':' || a.sequence_id as t,
+    case when reported in ('+', '-') then reported when (x.toks = y.toks) = (x.toks = list_reverse(y.toks)) then '.' when x.toks = y.toks then '+' else '-' end as strand,
+    b.center as qs, a.center as ts, c.score, c."both", c.anchor_a, c.anchor_b from cand1 c join event_anchors a on a.anchor_id = c.anchor_a join event_anchors b on b.anchor_id = c.anchor_b join anc x on x.anchor_id = c.anchor_a join anc y on y.anchor_id = c.anchor_b) where strand <> '.')"""
+
+
+def _fine(spark, d):
+    """(anchors with their contexts, alpha, shared counts) of finely grouped events, each computed once."""
+    rows = src.event_anchors(spark, d, FINE)
+    stream = checkpointed(tokens.structural_tokens(rows))
+    grams = tokens.token_ngrams(stream)
+    hits = checkpointed(tokens.substring_hits(grams, tokens.minimal_unique(grams)))
+    contexts = tokens.anchor_contexts(stream).select("anchor_id", "sample", "context_key", F.split("forward_tokens", r"\|").alias("tokens"))
+    found = checkpointed(contexts.join(rows.select("anchor_id", "sequence_id", "center", "group_id"), "anchor_id"))
+    shared = matching.shared_counts(rows, matching.anchor_substrings(stream, hits, tokens.RADIUS))
+    return found, checkpointed(tokens.alpha_prime(stream, hits)), checkpointed(shared)
+
+
+def _assigned(spark, d):
+    found, alpha, shared = _fine(spark, d)
+    return found, checkpointed(assignment.assignments(found, alpha, shared, EVENT_MATCHES))
+
+
+@query("select * from assigned", ASSIGNED)
+def assignments(spark, d):
+    """Each anchor's assignment to every other sample, by the first of three methods that succeeds."""
+    return _assigned(spark, d)[1]
+
+
+@query("select query_anchor_id, query_sample, target_sample, target_anchor_id, status, score, edit_distance, strand, margin, candidates from assigned where method = 'edit_distance'", ASSIGNED)
+def assign_edit_distance(spark, d):
+    """Assignments by edit distance of contexts inside anchor groups."""
+    return _assigned(spark, d)[1].where("method = 'edit_distance'").select("query_anchor_id", "query_sample", "target_sample", "target_anchor_id", "status", "score", "edit_distance", "strand", "margin", "candidates")
+
+
+@query("select target_sample, status, coalesce(method, '.') as method, count(*) as n, count(distinct query_anchor_id) as queries from assigned group by all", ASSIGNED)
+def assignment_counters(spark, d):
+    """Assignment rows and queries by target sample, status and method."""
+    rows = _assigned(spark, d)[1]
+    return rows.groupBy("target_sample", "status", F.coalesce("method", F.lit(".")).alias("method")).agg(F.count("*").alias("n"), F.countDistinct("query_anchor_id").alias("queries"))
+
+
+@query("select group_id, count(*) as queries, round(avg(best), 9) as mean_best from (select group_id, query_anchor_id, target_sample, min(d) as best from ed3 group by 1, 2, 3) group by group_id", ASSIGNED)
+def group_best_distance(spark, d):
+    """Mean over queries of the smallest distance to a candidate of their anchor group."""
+    found, alpha, shared = _fine(spark, d)
+    asked = assignment.queries(found, alpha, found)
+    done = assignment.by_exact_context(asked, found, alpha).select("query_anchor_id", "target_sample")
+    left = asked.join(done, ["query_anchor_id", "target_sample"], "left_anti")
+    done = assignment.by_shared_substrings(left, shared, alpha, EVENT_MATCHES).select("query_anchor_id", "target_sample")
+    left = left.join(done, ["query_anchor_id", "target_sample"], "left_anti")
+    best = assignment.scored_candidates(left, found, alpha, EVENT_MATCHES).groupBy("group_id", "query_anchor_id", "target_sample").agg(F.min("edit_distance").alias("best"))
+    return best.groupBy("group_id").agg(F.count("*").alias("queries"), F.round(F.avg("best"), 9).alias("mean_best"))
+
+
+@query("select * from corr", ASSIGNED)
+def assignment_correspondences(spark, d):
+    """Primaries of all methods merged over both directions, with scores and strands."""
+    return assignment.correspondence_rows(_assigned(spark, d)[1])
+
+
+@query("select * from cands", ASSIGNED)
+def chain_candidates(spark, d):
+    """Anchor pairs that chains may step on: correspondences, then ambiguous assignments, with positions and strand."""
+    return _candidates(spark, d)
+
+
+def _candidates(spark, d):
+    found, rows = _assigned(spark, d)
+    return assignment.chain_candidates(assignment.correspondence_rows(rows), rows, found)
+
+
+#: Steps over at most two weeks of a user's time line, costed by the hour.
+EVENT_CHAINS = chains.Params(max_gap=14 * 86_400_000, max_ratio=20.0, gap_unit=3_600_000.0, min_both=0)
+
+
+def _event_chains(spark, d):
+    return checkpointed(chains.chains_with_rows(_candidates(spark, d), EVENT_CHAINS))
+
+
+@query()
+def event_chains(spark, d):
+    """Collinear chains of anchor pairs between samples, with the share of anchors that both directions support."""
+    return _event_chains(spark, d).drop("rows")
+
+
+@query()
+def event_chain_anchors(spark, d):
+    """The anchors of every event chain, in order."""
+    return chains.chain_anchors(_event_chains(spark, d))
+
+
+@query()
+def event_chain_leftovers(spark, d):
+    """Anchor pairs that no event chain has."""
+    pairs = checkpointed(_candidates(spark, d))
+    return chains.leftovers(pairs, checkpointed(chains.chains_with_rows(pairs, EVENT_CHAINS))).select("q", "t", "strand", "qs", "ts", "score", "both")
+
+
 # Chains and intervals ---------------------------------------------------------------------------
 
 @query()
@@ -257,10 +397,8 @@ def chains_by_track(spark, d):
 
 @query()
 def chain_summary_rescore(spark, d):
-    """Chains by query: number, anchors, longest, best score after a rate of plus-strand support."""
-    found = chains_by_track(spark, d).withColumn("both_rate", F.when(F.col("strand") == "+", 1.0).otherwise(0.5))
-    scored = chains.rescored(found)
-    return scored.groupBy("q").agg(F.count("*").alias("chains"), F.sum("anchors").alias("anchors"), F.max("anchors").alias("longest"), F.max("chain_score").alias("best_score"))
+    """Event chains by query sequence: number, anchors, longest, and the best score after the share of two-way support."""
+    return event_chains(spark, d).groupBy("q").agg(F.count("*").alias("chains"), F.sum("anchors").alias("anchors"), F.sum("both").alias("both"), F.max("anchors").alias("longest"), F.max("chain_score").alias("best_score"))
 
 
 ISLANDS = src.INTERVALS + """,

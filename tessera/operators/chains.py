@@ -1,29 +1,40 @@
-"""Chaining of anchor pairs into collinear chains: a dynamic programme per track, extracted best first."""
+"""Chaining of anchor pairs into collinear chains: a dynamic programme per stretch of a track, extracted best first."""
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Params:
-    """Bounds of a step, its cost, and what makes a chain."""
+    """Bounds of a step, its cost, and what makes a chain.
+
+    ``relative``: the cost of a step grows with the gaps' difference over the smaller gap, else over
+    ``gap_unit``.  ``max_ratio`` bounds the larger gap over the smaller one, ``min_both`` a chain's
+    anchors that both directions support, whose share scores ``both_weight`` of the raw score.
+    """
 
     predecessors: int = 50
     max_gap: int = 50_000
+    max_ratio: float = float("inf")
     gap_unit: float = 50.0
     gap_weight: float = 1.0
+    relative: bool = False
     min_anchors: int = 2
+    min_both: int = 0
     min_score: float = 0.0
+    both_weight: float = 0.8
 
 
 #: Rows whose steps are costed at once.
 BLOCK = 4096
+TRACK = ["q", "t", "strand"]
 
 
 def step_gains(ref: np.ndarray, query: np.ndarray, begin: int, end: int, plus: bool, p: Params) -> np.ndarray:
@@ -32,8 +43,17 @@ def step_gains(ref: np.ndarray, query: np.ndarray, begin: int, end: int, plus: b
     from_ = np.maximum(at, 0)
     dr = ref[begin:end, None] - ref[from_]
     dq = (query[begin:end, None] - query[from_]) * (1 if plus else -1)
-    x = np.abs(dr - dq) / p.gap_unit
-    return np.where((at >= 0) & (dr > 0) & (dq > 0) & (dr <= p.max_gap) & (dq <= p.max_gap), -(p.gap_weight * x + np.log2(1 + x)), -np.inf)
+    low, high = np.minimum(dr, dq), np.maximum(dr, dq)
+    ok = (at >= 0) & (low > 0) & (high <= p.max_gap)
+    if np.isfinite(p.max_ratio):
+        ok &= high <= p.max_ratio * low
+    if p.relative:
+        x = (high - low) / np.maximum(low, 1)
+        cost = p.gap_weight * x + np.sqrt(1 + np.where(ok, x, 0)) - 1
+    else:
+        x = (high - low) / p.gap_unit
+        cost = p.gap_weight * x + np.log2(1 + x)
+    return np.where(ok, -cost, -np.inf)
 
 
 def best_chain(ref: np.ndarray, query: np.ndarray, score: np.ndarray, plus: bool, p: Params) -> tuple[list[int], float]:
@@ -46,7 +66,8 @@ def best_chain(ref: np.ndarray, query: np.ndarray, score: np.ndarray, plus: bool
     total, back = score.astype(np.float64).copy(), np.full(n, -1)
     for block in range(0, n, BLOCK):
         gains = step_gains(ref, query, block, min(n, block + BLOCK), plus, p)
-        for i in range(max(1, block), min(n, block + BLOCK)):
+        for i in np.flatnonzero((gains > -np.inf).any(axis=1)).tolist():
+            i += block
             value = total[max(0, i - p.predecessors) : i][::-1]
             value = value + gains[i - block, : len(value)]
             at = int(value.argmax())
@@ -61,32 +82,92 @@ def best_chain(ref: np.ndarray, query: np.ndarray, score: np.ndarray, plus: bool
     return rows[::-1], float(total[end])
 
 
+def extract(ref: np.ndarray, query: np.ndarray, score: np.ndarray, plus: bool, p: Params) -> list[tuple[np.ndarray, float]]:
+    """(rows, score) of the chains of a track's sorted rows, best first, down to ``min_score``; short ones too.
+
+    After a chain is taken out, only the stretch that it was in is chained again, and no stretch
+    crosses a gap that no step can: the chains are those of chaining all the rest again.
+    """
+    heap: list[tuple] = []
+
+    def add(rows: np.ndarray) -> None:
+        for part in np.split(rows, np.flatnonzero(np.diff(ref[rows]) > p.max_gap) + 1):
+            if len(part):
+                own, total = best_chain(ref[part], query[part], score[part], plus, p)
+                heapq.heappush(heap, (-total, int(part[own[-1]]), part, own))
+
+    add(np.arange(len(ref)))
+    out = []
+    while heap and -heap[0][0] >= p.min_score:
+        total, _, part, own = heapq.heappop(heap)
+        out.append((part[own], -total))
+        add(np.delete(part, own))
+    return out
+
+
+#: A chain: its track and stretch, place among the stretch's chains, sums, bounds, and its rows in order.
+_FIELDS = (
+    "q string, t string, strand string, stretch long, place long, anchors long, both long, raw_score double, ref_start long, ref_end long, query_start long, query_end long, "
+    "rows array<struct<ts: bigint, qs: bigint, score: double, both: boolean>>, kept boolean"
+)
+
+
+def _stretches(pairs: DataFrame, p: Params) -> DataFrame:
+    """All chains of distinct anchor pairs, also those that are too short, by stretches of tracks between gaps that no step crosses."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        plus = group["strand"].iloc[0] == "+"
+        group = group.sort_values(["ts", "qs"], ascending=[True, plus], ignore_index=True)
+        ref, query, score, both = (group[c].to_numpy() for c in ("ts", "qs", "score", "both"))
+        head, out = tuple(group[c].iloc[0] for c in (*TRACK, "stretch")), []
+        for place, (own, total) in enumerate(extract(ref, query, score, plus, p)):
+            n = int(both[own].sum())
+            rows = [{"ts": int(ref[k]), "qs": int(query[k]), "score": float(score[k]), "both": bool(both[k])} for k in own.tolist()]
+            out.append((*head, place, len(own), n, total, ref[own].min(), ref[own].max(), query[own].min(), query[own].max(), rows, len(own) >= p.min_anchors and n >= p.min_both))
+        return pd.DataFrame(out, columns=[f.split()[0] for f in _FIELDS.split("rows")[0].rstrip(", ").split(", ")] + ["rows", "kept"])
+
+    both = F.col("both") if "both" in pairs.columns else F.lit(False)
+    rows = pairs.groupBy(*TRACK, "qs", "ts").agg(F.max("score").cast("double").alias("score"), F.max(both).alias("both"))
+    over = Window.partitionBy(*TRACK).orderBy("ts")
+    far = F.coalesce(F.col("ts") - F.lag("ts").over(over) > p.max_gap, F.lit(False))
+    cut = rows.withColumn("far", far.cast("bigint")).withColumn("stretch", F.sum("far").over(over.rangeBetween(Window.unboundedPreceding, 0))).drop("far")
+    return cut.groupBy(*TRACK, "stretch").applyInPandas(run, _FIELDS)
+
+
+def chains_with_rows(pairs: DataFrame, p: Params = Params()) -> DataFrame:
+    """chains() with ``rows`` (ts, qs, score, both) of each chain in order."""
+    best_first = Window.partitionBy(*TRACK).orderBy(F.desc("raw_score"), "stretch", "place")
+    found = _stretches(pairs, p).where("kept").withColumn("chain_no", (F.row_number().over(best_first) - 1).cast("bigint"))
+    share = F.col("both") / F.col("anchors")
+    scored = found.withColumn("both_rate", share).withColumn("chain_score", F.col("raw_score") * ((1 - p.both_weight) + p.both_weight * share))
+    return scored.select(*TRACK, "chain_no", "anchors", "both", "both_rate", "raw_score", "chain_score", "ref_start", "ref_end", "query_start", "query_end", "rows")
+
+
 def chains(pairs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(q, t, strand, chain_no, anchors, raw_score, ref_start, ref_end, query_start, query_end) of distinct anchor pairs (q, t, strand, qs, ts, score).
+    """(q, t, strand, chain_no, anchors, both, both_rate, raw_score, chain_score, ref_start, ref_end, query_start, query_end) of distinct anchor pairs (q, t, strand, qs, ts, score[, both]).
 
     Each track's best chain is taken out and the rest chained again, until the best scores too little;
-    chains of too few anchors are taken out too, but not returned.  A track is one sequence pair and strand.
+    chains of too few anchors are taken out too, but not returned.  A track is one sequence pair and
+    strand; it is dealt in stretches between gaps over ``max_gap`` of the reference axis.
     """
+    return chains_with_rows(pairs, p).drop("rows")
 
-    def extract(group: pd.DataFrame) -> pd.DataFrame:
-        plus = group["strand"].iloc[0] == "+"
-        group = group.sort_values(["ts", "qs", "score"], ascending=[True, plus, False], ignore_index=True)
-        ref, query, score = (group[c].to_numpy() for c in ("ts", "qs", "score"))
-        left, out = np.arange(len(group)), []
-        while len(left):
-            rows, total = best_chain(ref[left], query[left], score[left], plus, p)
-            if total < p.min_score:
-                break
-            own = left[rows]
-            if len(own) >= p.min_anchors:
-                out.append((group["q"].iloc[0], group["t"].iloc[0], group["strand"].iloc[0], len(out), len(own), total, ref[own].min(), ref[own].max(), query[own].min(), query[own].max()))
-            left = np.delete(left, rows)
-        return pd.DataFrame(out, columns=["q", "t", "strand", "chain_no", "anchors", "raw_score", "ref_start", "ref_end", "query_start", "query_end"])
-
-    rows = pairs.groupBy("q", "t", "strand", "qs", "ts").agg(F.max("score").alias("score"))
-    return rows.groupBy("q", "t", "strand").applyInPandas(extract, "q string, t string, strand string, chain_no long, anchors long, raw_score double, ref_start long, ref_end long, query_start long, query_end long")
-
-
-def rescored(found: DataFrame, both_rate: str = "both_rate", weight: float = 0.8) -> DataFrame:
-    """Chains with ``chain_score`` = raw * ((1 - weight) + weight * both_rate)."""
-    return found.withColumn("chain_score", F.col("raw_score") * ((1 - weight) + weight * F.col(both_rate)))
+
+def chain_anchors(found: DataFrame) -> DataFrame:
+    """(q, t, strand, chain_no, rank, ts, qs, score, both): the anchors of chains_with_rows(), in order, from rank 0."""
+    return found.select(*TRACK, "chain_no", F.posexplode("rows").alias("rank", "x")).select(*TRACK, "chain_no", F.col("rank").cast("bigint").alias("rank"), "x.*")
+
+
+def leftovers(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Anchor pairs that no returned chain has."""
+    used = chain_anchors(found).select(*TRACK, "qs", "ts").distinct()
+    return pairs.join(used, [*TRACK, "qs", "ts"], "left_anti")
+
+
+def path_scores(rows: DataFrame, p: Params = Params()) -> DataFrame:
+    """(q, t, strand, chain_no, path_score): each chain's anchor scores less the costs of its steps, from chain_anchors() rows alone."""
+    over = Window.partitionBy(*TRACK, "chain_no").orderBy("rank")
+    dr, dq = F.col("ts") - F.lag("ts").over(over), F.abs(F.col("qs") - F.lag("qs").over(over))
+    x = F.abs(dr - dq) / (F.greatest(F.lit(1), F.least(dr, dq)) if p.relative else F.lit(p.gap_unit))
+    cost = F.lit(p.gap_weight) * x + (F.sqrt(1 + x) - 1 if p.relative else F.log2(1 + x))
+    return rows.withColumn("gain", F.col("score") - F.coalesce(cost, F.lit(0.0))).groupBy(*TRACK, "chain_no").agg(F.sum("gain").alias("path_score"))

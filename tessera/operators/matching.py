@@ -33,17 +33,21 @@ def anchor_substrings(tokens: DataFrame, hits: DataFrame, radius: int = 2) -> Da
     return places.join(anchors, ["sequence_id", "token_index"]).select("anchor_id", "gram_key").distinct()
 
 
-def match_shared_substrings(anchors: DataFrame, owned: DataFrame, minimal: DataFrame, least: int = 1) -> DataFrame:
-    """(query_anchor_id, target_sample, target_anchor_id, shared): the one target of the same group with the most shared substrings.
+def shared_counts(anchors: DataFrame, owned: DataFrame) -> DataFrame:
+    """(query_anchor_id, target_sample, target_anchor_id, shared): how many substrings two anchors of one group and different samples share.
 
-    Ties have no target.  A substring is unique in its own sample and can stand near several anchors
-    of others; only anchors of different samples and of one group meet.
+    A substring is unique in its own sample and can stand near several anchors of others.
     """
     rows = owned.join(anchors.select("anchor_id", "sample", "group_id"), "anchor_id")
     q = rows.select("gram_key", "group_id", F.col("anchor_id").alias("query_anchor_id"), F.col("sample").alias("query_sample"))
     t = rows.select("gram_key", "group_id", F.col("anchor_id").alias("target_anchor_id"), F.col("sample").alias("target_sample"))
-    shared = q.join(t, ["gram_key", "group_id"]).where("query_sample <> target_sample").groupBy("query_anchor_id", "target_sample", "target_anchor_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    best = shared.groupBy("query_anchor_id", "target_sample").agg(F.max(F.struct("shared", "target_anchor_id")).alias("top"), F.max("shared").alias("most"))
+    return q.join(t, ["gram_key", "group_id"]).where("query_sample <> target_sample").groupBy("query_anchor_id", "target_sample", "target_anchor_id").agg(F.count("*").alias("shared"))
+
+
+def match_shared_substrings(anchors: DataFrame, owned: DataFrame, least: int = 1) -> DataFrame:
+    """(query_anchor_id, target_sample, target_anchor_id, shared): the one target of the same group with the most shared substrings; ties have no target."""
+    shared = shared_counts(anchors, owned).where(F.col("shared") >= least)
+    best = shared.groupBy("query_anchor_id", "target_sample").agg(F.max("shared").alias("most"))
     tied = shared.join(best, ["query_anchor_id", "target_sample"]).where("shared = most").groupBy("query_anchor_id", "target_sample").agg(F.count("*").alias("n"), F.min("target_anchor_id").alias("target_anchor_id"), F.max("shared").alias("shared"))
     return tied.where("n = 1").select("query_anchor_id", "target_sample", "target_anchor_id", "shared")
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tessera.functions.sequence import canonical_array
 from tessera.sources.tables import TOKEN_BIN
 
-RADIUS, MOST = 2, 4
+#: Tokens on each side of a context, and the longest substring: a whole context.
+RADIUS = 2
+MOST = 2 * RADIUS + 1
 
 
 def structural_tokens(anchors: DataFrame, width: int = TOKEN_BIN) -> DataFrame:

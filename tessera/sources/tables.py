@@ -29,12 +29,12 @@ SEQUENCES = """sequences as (select doc_id as sequence_id, lang as sample,
   translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC') as seq from documents)"""
 
 
-def event_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(anchor_id, sequence_id, sample, center, group_id, groupable): events as anchors on their user's time line."""
+def event_anchors(spark: SparkSession, sf_dir: str, width: float = 50) -> DataFrame:
+    """(anchor_id, sequence_id, sample, center, group_id, groupable): events as anchors on their user's time line, grouped by kind and value in steps of ``width``."""
     center = F.expr("(unix_micros(cast(ts as timestamp)) - 1704067200000000) div 1000")
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("anchor_id"), F.col("user_id").alias("sequence_id"), F.expr("concat('s', user_id % 4)").alias("sample"), center.alias("center"),
-        F.expr("concat(event_type, ':', cast(floor(value / 50) as int))").alias("group_id"), F.expr("cast(floor(value) as int) % 17 <> 0").alias("groupable"),
+        F.expr(f"concat(event_type, ':', cast(floor(value / {width}) as int))").alias("group_id"), F.expr("cast(floor(value) as int) % 17 <> 0").alias("groupable"),
     )
 
 

@@ -71,8 +71,35 @@ def test_chains_fixture(spark):
     pairs = spark.createDataFrame(rows, "q string, t string, strand string, qs long, ts long, score long")
     got = chains.chains(pairs, chains.Params(min_anchors=1)).collect()
     assert {(r.strand, r.anchors, r.raw_score) for r in got} == {("+", 2, 17.0), ("-", 1, 10.0)}
-    scored = chains.rescored(chains.chains(pairs, chains.Params(min_anchors=1)).withColumn("both_rate", F.lit(0.5))).where("strand = '+'").first()
-    assert abs(scored.chain_score - 10.2) < 1e-9
+    rows = [(*r, k == 0) for k, r in enumerate(rows[:2])]
+    scored = chains.chains(spark.createDataFrame(rows, "q string, t string, strand string, qs long, ts long, score long, both boolean")).first()
+    assert (scored.both, scored.both_rate) == (1, 0.5) and abs(scored.chain_score - 10.2) < 1e-9
+    assert chains.chains(pairs, chains.Params(min_both=1)).count() == 0
+
+
+def greedy_by_hand(rows, plus, p):
+    """All chains of a track, best first, each time chaining all that is left: (score, rows)."""
+    left, out = list(rows), []
+    while left:
+        got, total = chain_by_hand(left, plus, p)
+        if total < p.min_score:
+            break
+        out.append((round(total, 6), [left[k][:2] for k in got]))
+        left = [r for k, r in enumerate(left) if k not in got]
+    return out
+
+
+def test_chains_of_stretches_equal_chaining_the_rest_again():
+    rng = np.random.default_rng(7)
+    p = chains.Params(predecessors=8, max_gap=60, max_ratio=4.0)
+    for plus in (True, False):
+        for relative in (True, False):
+            p = chains.Params(predecessors=8, max_gap=60, relative=relative)
+            rows = sorted({(int(a), int(b)): int(s) for a, b, s in rng.integers(0, 400, (60, 3))}.items(), key=lambda x: (x[0][0], x[0][1] if plus else -x[0][1]))
+            rows = [(a, b, s) for (a, b), s in rows]
+            ref, query, score = map(np.array, zip(*rows))
+            got = [(round(total, 6), [rows[k][:2] for k in own.tolist()]) for own, total in chains.extract(ref, query, score, plus, p)]
+            assert got == greedy_by_hand(rows, plus, p)
 
 
 def test_alignment_lines_round_trip(spark):
