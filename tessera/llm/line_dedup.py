@@ -40,12 +40,12 @@ def line_units(text: str) -> str:
 
 def core(unit: str) -> str:
     """SQL of a unit without the blank lines at its end."""
-    return f"regexp_replace({unit}, '\\\\n[ \\\\n]*\\\\z', '')"
+    return f"substring_index({unit}, '\\n', 1)"
 
 
 def windows(units: str) -> str:
     """SQL of an array of (at, h): 2k for the rolling hash over units k and k+1, 2k+1 for unit k alone if it is long.  The first unit counts if it isn't blank."""
-    named = f"transform({units}, (x, k) -> named_struct('k', cast(k as bigint), 'solid', trim(both ' \\n' from x) <> '', 'long', length(x) > {2 * LONG_LINE} and size(filter(split({core('x')}, ' '), w -> w <> '')) > {LONG_LINE}, 'whole', xxhash64(x), 'core', xxhash64({core('x')})))"
+    named = f"transform({units}, (x, k) -> named_struct('k', cast(k as bigint), 'solid', trim(both ' \\n' from x) <> '', 'long', length(x) > {2 * LONG_LINE} and length(x) - length(replace(x, ' ', '')) >= {LONG_LINE} and size(filter(split({core('x')}, ' '), w -> w <> '')) > {LONG_LINE}, 'whole', xxhash64(x), 'core', xxhash64({core('x')})))"
     return (
         f"transform(array({named}), u -> concat(filter(zip_with(slice(u, 1, greatest(size(u) - 1, 0)), slice(u, 2, greatest(size(u) - 1, 0)), (a, b) -> if(a.solid, named_struct('at', 2 * a.k, 'h', {rolled('a.whole', 'b.core')}), null)), w -> w is not null), "
         f"transform(filter(u, x -> x.long), x -> named_struct('at', 2 * x.k + 1, 'h', {rolled('0L', 'x.core')}))))[0]"
@@ -63,7 +63,8 @@ def repeated_windows(slim: DataFrame) -> DataFrame:
 
     ``__t`` is the text's hash, which tells apart texts of rows that share an id.
     """
-    w = slim.select("__id", "__t", F.expr(windows(line_units("__text"))).alias("w")).select("__id", "__t", F.explode("w").alias("w")).select("__id", "__t", F.col("w.at").alias("at"), F.col("w.h").alias("h"))
+    # Four numbers a window, written once: hashing all lines costs more than reading them again.
+    w = checkpointed(slim.select("__id", "__t", F.expr(windows(line_units("__text"))).alias("w")).select("__id", "__t", F.explode("w").alias("w")).select("__id", "__t", F.col("w.at").alias("at"), F.col("w.h").alias("h")))
     shared = checkpointed(w.groupBy("h").agg(F.min("__id").alias("first_id"), F.max("__id").alias("last_id"), F.count("*").alias("n")).where("first_id < last_id").select("h", "n"))
     found = checkpointed(join_by_count(w, shared, "h"))
     wanted = found.groupBy("__id", "__t").agg(F.collect_set(F.struct("at", "h")).alias("__w"))
