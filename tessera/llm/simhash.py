@@ -168,12 +168,13 @@ def _links(threshold: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # the last key's rows, which may go on in the next batch
-        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+        found = [np.zeros((2, 0), dtype=np.int64)]  # the task's links so far
 
-        def out(rows: np.ndarray) -> pa.RecordBatch:
+        def add(rows: np.ndarray) -> None:
             u, v = of(rows[0], rows[1].view(np.uint64))
-            edges = np.unique(np.sort(np.stack([u.view(np.int64), v.view(np.int64)]), axis=0), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], schema=schema)
+            found.append(np.stack([u.view(np.int64), v.view(np.int64)]))
+            if sum(x.shape[1] for x in found) > 1 << 20:
+                found[:] = [forest(np.concatenate(found, axis=1))]
 
         for batch in batches:
             if not batch.num_rows:
@@ -189,13 +190,24 @@ def _links(threshold: int):
             at = int(np.searchsorted(rows[0], rows[0, -1]))
             held = [rows[:, at:]]
             if at:
-                yield out(rows[:, :at])
+                add(rows[:, :at])
         if held:
-            yield out(np.concatenate(held, axis=1))
+            add(np.concatenate(held, axis=1))
+        edges = forest(np.concatenate(found, axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
     return run
 
 
+def forest(edges: np.ndarray) -> np.ndarray:
+    """Edges (2, n) that connect the same nodes: each node of a component with its smallest one."""
+    names, at = np.unique(edges, return_inverse=True)
+    a, b = at.reshape(edges.shape)
+    label = components(len(names), a, b)
+    own = np.flatnonzero(label != np.arange(len(names)))
+    return np.stack([names[own], names[label[own]]])
+
+
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, threshold: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of at most ``threshold`` differing bits.
 
@@ -208,7 +220,9 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     prints = checkpointed(fingerprints(docs, id_column, text_column, shingle))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     keys = classes.select(F.explode(chain_keys("fp")).alias("key"), "fp")
-    edges = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_links(threshold), "u long, v long").distinct()
+    # The 13 keys of one segment lie in one task, which returns its links as a forest: a row or less a fingerprint and segment.
+    segment_of = F.expr("shiftright(key, 26) div 13 * 8192 + (shiftright(key, 13) & 8191)")
+    edges = keys.repartition(segment_of).sortWithinPartitions("key").mapInArrow(_links(threshold), "u long, v long").distinct()
     parts = connected_components(edges)
     named = classes.join(parts, classes.fp == parts.node).select("fp", "first_id", "component")
     named = named.join(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("fp", "component_id")
