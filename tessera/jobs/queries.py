@@ -68,20 +68,19 @@ def kmer_frequency_hamming(spark, d):
 @query("""select sequence_id, start, "end", score_q from windows""", WINDOWS)
 def window_scores(spark, d):
     """Scores of all windows of all sequences."""
-    return anchors.window_scores(src.sequences(spark, d))
+    return anchors.scanned_windows(src.sequences(spark, d)).select("sequence_id", "start", "end", "score_q")
 
 
 @query("""select sequence_id, start, score_q, plateau_id, abs(2 * start - min(start) over p - max(start) over p)::bigint as dist2_from_center from numbered window p as (partition by sequence_id, plateau_id)""", PLATEAUS)
 def score_plateaus(spark, d):
     """Plateaus of equal scores and each window's distance from its plateau's centre."""
-    found = anchors.score_plateaus(anchors.window_scores(src.sequences(spark, d)))
-    return found.select("sequence_id", "start", "score_q", "plateau_id", F.col("dist2_from_center").cast("bigint").alias("dist2_from_center"))
+    return anchors.scanned_windows(src.sequences(spark, d)).select("sequence_id", "start", "score_q", "plateau_id", "dist2_from_center")
 
 
 @query()
 def anchor_nms(spark, d):
     """Windows that greedy non-maximum suppression keeps in each sequence."""
-    return anchors.suppress(anchors.score_plateaus(anchors.window_scores(src.sequences(spark, d))))
+    return anchors.scanned_windows(src.sequences(spark, d), suppress_within=60).select("sequence_id", "start", "end", "score_q", "dist2_from_center")
 
 
 @query()
@@ -496,19 +495,6 @@ def cigar_split_long_indels(spark, d):
     return evaluation.split_at_long_indels(src.cigars(spark, d), 60)
 
 
-PAF = """select q as qname, qe - qs as span, strand, t as tname, count(*) as n from intervals group by all"""
-
-
-@query(PAF, src.INTERVALS)
-def paf_roundtrip(spark, d):
-    """Intervals written as tab-separated alignment lines and read back, counted by name, span and strand."""
-    from tessera.sources.paf import parse_lines, to_lines
-
-    rows = src.intervals(spark, d)
-    lines = to_lines(rows.select(F.col("q").alias("qname"), "qs", "qe", "strand", F.col("t").alias("tname"), "ts", "te", F.col("score").alias("matches"), F.create_map(F.lit("tp:A"), F.lit("P")).alias("tags")))
-    return parse_lines(lines).groupBy("qname", (F.col("qe") - F.col("qs")).alias("span"), "strand", "tname").agg(F.count("*").alias("n"))
-
-
 # Callsets ---------------------------------------------------------------------------------------
 
 @query("""select a.event_id as left_id, b.event_id as right_id from sv_events a join sv_events b on a.setno = 0 and b.setno = 1 and a.chrom = b.chrom and a.kind = b.kind and abs(a.pos - b.pos) <= 25 and least(a.size, b.size) >= 0.7 * greatest(a.size, b.size)""", src.SV_EVENTS)
@@ -543,13 +529,6 @@ def fp_failure_modes(spark, d):
     return evaluation.failure_modes(src.sv_events(spark, d))
 
 
-@query("""select tp, fp, fn, case when tp + fp > 0 then round(tp / (tp + fp), 9) else 0 end as precision, case when tp + fn > 0 then round(tp / (tp + fn), 9) else 0 end as recall, case when 2 * tp + fp + fn > 0 then round(2 * tp / (2 * tp + fp + fn), 9) else 0 end as f1
-  from (select count(*) filter (where quality = 1 and toxic = 0) as tp, count(*) filter (where quality = 0 and toxic = 0) as fp, count(*) filter (where quality = 1 and toxic = 1) as fn from labels)""")
-def micro_prf(spark, d):
-    """Precision, recall and F1 over all labels."""
-    return evaluation.micro_scores(src.table(spark, d, "labels"))
-
-
 # Formats, logs and the order-dependent stages -----------------------------------------------------
 
 @query("""select chrom, pos, event_id::varchar as id, kind, size, pos + case when kind = 'DEL' then size else 0 end as "end", 'true' as imprecise from sv_events""", src.SV_EVENTS)

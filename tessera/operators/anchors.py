@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -40,14 +39,19 @@ def kmer_name(code: int, k: int) -> str:
     return "".join("ACGT"[(code >> (2 * j)) & 3] for j in range(k - 1, -1, -1))
 
 
+def _counted_as_text(sequences: DataFrame, k: int) -> DataFrame:
+    places = sequences.where(F.length("seq") >= k).select("seq", F.explode(F.expr(f"sequence(1, length(seq) - {int(k) - 1})")).alias("at"))
+    return places.select(F.substring("seq", F.col("at"), F.lit(k)).alias("kmer")).where(F.col("kmer").rlike("^[ACGT]+$")).groupBy("kmer").agg(F.count("*").alias("freq"))
+
+
 def kmer_frequency(sequences: DataFrame, k: int = K) -> DataFrame:
     """(kmer, freq) of the k-mers of A, C, G and T over all sequences, forward strand.
 
     Each batch is counted into a table of 4**k entries before the shuffle, so that at most that many
-    rows leave a batch.
+    rows leave a batch; k-mers of over MOST_K letters, which have no such table, are grouped as text.
     """
     if k > MOST_K:
-        raise ValueError(f"the tables have 4**k entries: k is at most {MOST_K}")
+        return _counted_as_text(sequences, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,61 +90,97 @@ def frame_sums(seq: bytes, table: np.ndarray, k: int, frame: int) -> tuple[np.nd
     return start, total[start + frame] - total[start]
 
 
-def window_scores(sequences: DataFrame, k: int = K, length: int = LENGTH) -> DataFrame:
-    """(sequence_id, start, end, score_q): for windows of ``length`` bases the sum over their k-mers of round(1e9 * log(1 + saturated count)).
-
-    Scaled integers keep equal scores equal.  The table of counts has at most 4**k entries and goes to
-    every task; windows are then running sums within each sequence, where its row is, without a
-    shuffle.  A k-mer with another letter than A, C, G and T breaks windows.
-    """
-    frame = length - k + 1
+def score_table(sequences: DataFrame, k: int = K) -> np.ndarray:
+    """round(1e9 * log(1 + saturated count)) of each k-mer by its base-4 number; at most 4**k entries, so k is at most MOST_K."""
+    if k > MOST_K:
+        raise ValueError(f"windows are scored with k-mers of up to {MOST_K} letters")
     counted = kmer_frequency(sequences, k).select("kmer", F.round(F.log1p(F.least(F.col("freq"), F.lit(65535)).cast("double")) * 1e9).cast("bigint").alias("q"))
     table = np.zeros(4**k, dtype=np.int64)
     for row in counted.collect():
         table[int("".join(str("ACGT".index(c)) for c in row.kmer), 4)] = row.q
+    return table
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            for row, seq in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                start, score = frame_sums(seq or b"", table, k, frame)
-                for at in range(0, len(start), 1 << 20):
-                    own = pa.array(start[at : at + (1 << 20)])
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(own), row))), own, pc.add(own, length), pa.array(score[at : at + (1 << 20)])], ["sequence_id", "start", "end", "score_q"])
 
-    kind = sequences.schema["sequence_id"].dataType.simpleString()
-    return sequences.select("sequence_id", "seq").mapInArrow(run, f"sequence_id {kind}, start long, end long, score_q long")
+def plateaus(start: np.ndarray, score: np.ndarray, min_distance: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """(plateau number from 1, doubled distance from the plateau's centre) of windows in order: runs of equal score whose starts are at most ``min_distance`` apart."""
+    if not len(start):
+        return start, start
+    new = np.concatenate(([True], (score[1:] != score[:-1]) | (np.diff(start) > min_distance)))
+    number = np.cumsum(new)
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:], [len(start)])) - 1
+    return number, np.abs(2 * start - (start[first] + start[last])[number - 1])
 
 
-def score_plateaus(windows: DataFrame, min_distance: int = 20) -> DataFrame:
-    """Windows with plateau_id (runs of equal score whose starts are at most ``min_distance`` apart) and the doubled distance from the plateau's centre."""
-    over = Window.partitionBy("sequence_id").orderBy("start")
-    new = F.coalesce((F.col("score_q") != F.lag("score_q").over(over)) | (F.col("start") - F.lag("start").over(over) > min_distance), F.lit(True))
-    numbered = windows.withColumn("plateau_id", F.sum(new.cast("bigint")).over(over))
-    whole = Window.partitionBy("sequence_id", "plateau_id")
-    return numbered.withColumn("dist2_from_center", F.abs(2 * F.col("start") - F.min("start").over(whole) - F.max("start").over(whole)))
+def _window_min(values: np.ndarray, reach: int) -> np.ndarray:
+    """The smallest value within ``reach`` places of each, by doubling."""
+    width, out = 1, np.concatenate((np.full(reach, values.max(initial=0) + 1), values, np.full(reach, values.max(initial=0) + 1)))
+    while 2 * width <= 2 * reach + 1:
+        out = np.minimum(out[:-width], out[width:])
+        width *= 2
+    rest = 2 * reach + 1 - width
+    return np.minimum(out[: len(values)], out[rest : rest + len(values)])
 
 
-def suppress(windows: DataFrame, min_center_distance: int = 60) -> DataFrame:
-    """Greedy non-maximum suppression within each sequence, in the order (score_q, dist2_from_center, start).
+def suppressed(start: np.ndarray, score: np.ndarray, dist2: np.ndarray, min_center_distance: int = 60, rounds: int = 12) -> np.ndarray:
+    """Which windows greedy suppression in the order (score, dist2, start) keeps: none within ``min_center_distance`` of a better kept one.
 
-    A window goes if an accepted one of its sequence has its centre within ``min_center_distance``.
-    Order-dependent within one sequence only, so sequences are the groups.
+    All windows that are best in their reach are kept at once, and their neighbours dropped; what is
+    left after some rounds is gone through in order.
+    """
+    keep = np.zeros(len(start), dtype=bool)
+    if not len(start):
+        return keep
+    rank = np.empty(len(start), dtype=np.int64)
+    rank[np.lexsort((start, dist2, score))] = np.arange(len(start))
+    low, n = int(start[0]), len(start)
+    at = start - low
+    place = np.full(int(at[-1]) + 1, n, dtype=np.int64)  # the rank of the open window at each place
+    place[at] = rank
+    for _ in range(rounds):
+        found = np.flatnonzero((place < n) & (place == _window_min(place, min_center_distance)))
+        if not len(found):
+            break
+        keep[np.searchsorted(at, found)] = True
+        steps = np.zeros(len(place) + 1, dtype=np.int32)
+        np.add.at(steps, np.maximum(found - min_center_distance, 0), 1)
+        np.add.at(steps, np.minimum(found + min_center_distance + 1, len(place)), -1)
+        place[np.cumsum(steps[:-1]) > 0] = n
+    left = np.flatnonzero(place < n)
+    taken = np.zeros(len(place), dtype=bool)
+    for x in left[np.argsort(place[left])].tolist():
+        if not taken[x]:
+            taken[max(0, x - min_center_distance) : x + min_center_distance + 1] = True
+            keep[np.searchsorted(at, x)] = True
+    return keep
+
+
+def scanned_windows(sequences: DataFrame, k: int = K, length: int = LENGTH, min_distance: int = 20, suppress_within: int | None = None) -> DataFrame:
+    """(sequence_id, start, end, score_q, plateau_id, dist2_from_center) of windows of ``length`` bases; with ``suppress_within`` only of those that suppression keeps.
+
+    A window's score is the sum over its k-mers of round(1e9 * log(1 + saturated count)).  Scaled
+    integers keep equal scores equal.  The table of counts goes to every task; windows, plateaus and
+    suppression are then one pass over each sequence, where its row is, without a shuffle.  A k-mer with
+    another letter than A, C, G and T breaks windows.
     """
+    frame, table = length - k + 1, score_table(sequences, k)
 
-    def accept(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["score_q", "dist2_from_center", "start"], ignore_index=True)
-        starts = group["start"].to_numpy()
-        taken = np.zeros(int(starts.max()) + 2 * min_center_distance + 2, dtype=bool)
-        keep = []
-        for row, start in enumerate(starts.tolist()):
-            if not taken[start + min_center_distance]:
-                taken[start : start + 2 * min_center_distance + 1] = True
-                keep.append(row)
-        return group.loc[keep]
-
-    columns = ["sequence_id", "start", "end", "score_q", "dist2_from_center"]
-    return windows.select(columns).groupBy("sequence_id").applyInPandas(accept, windows.select(columns).schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for row, seq in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                start, score = frame_sums(seq or b"", table, k, frame)
+                number, dist2 = plateaus(start, score, min_distance)
+                columns = [start, score, number, dist2]
+                if suppress_within is not None:
+                    keep = suppressed(start, score, dist2, suppress_within)
+                    columns = [c[keep] for c in columns]
+                for at in range(0, len(columns[0]), 1 << 20):
+                    start, score, number, dist2 = (pa.array(c[at : at + (1 << 20)]) for c in columns)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(start), row))), start, pc.add(start, length), score, number, dist2], ["sequence_id", "start", "end", "score_q", "plateau_id", "dist2_from_center"])
+
+    kind = sequences.schema["sequence_id"].dataType.simpleString()
+    return sequences.select("sequence_id", "seq").mapInArrow(run, f"sequence_id {kind}, start long, end long, score_q long, plateau_id long, dist2_from_center long")
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from tessera.operators import alignment, components, trimming
+from tessera.operators import alignment, assignment, components, records, trimming
 from tessera.sources import formats
 
 
@@ -108,3 +109,61 @@ def test_formats(spark, tmp_path):
     assert lines == sorted(["H\tVN:Z:1.0", "S\ts1\tAC", "S\ts2\tG", "L\ts1\t+\ts2\t-\t0M", "P\tp\ts1+,s2-\t*", "P\tr\ts1+,s2-\t*"])
     base, new = spark.createDataFrame([(1, "a"), (2, "b")], "k long, x string"), spark.createDataFrame([(2, "c", 9)], "k long, x string, y long")
     assert sorted((r.k, r.x, r.y) for r in formats.upsert(base, new, ["k"]).collect() if r.y or True) == [(1, "a", None), (2, "c", 9)]
+
+
+def matched_by_hand(edges):
+    """Size of a largest matching, by augmenting each left end in turn."""
+    around = {}
+    for u, v in edges:
+        around.setdefault(u, set()).add(v)
+    taken = {}
+
+    def augment(u, seen):
+        for v in around[u] - seen:
+            seen.add(v)
+            if v not in taken or augment(taken[v], seen):
+                taken[v] = u
+                return True
+        return False
+
+    return sum(augment(u, set()) for u in sorted(around))
+
+
+def test_maximum_matching_against_augmenting_by_hand(spark):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in zip(rng.integers(0, 60, 150), rng.integers(0, 45, 150))] + [(100, 200), (100, 200), (101, 200), (101, 201)]
+    got = [tuple(r) for r in records.maximum_matching(spark.createDataFrame(edges, "left_id long, right_id long")).collect()]
+    assert len(got) == matched_by_hand(edges) and set(got) <= set(edges)
+    assert len({a for a, _ in got}) == len({b for _, b in got}) == len(got)
+    assert records.maximum_matching(spark.createDataFrame([], "left_id long, right_id long")).count() == 0
+
+
+def test_cigar_runs_and_fetch(spark):
+    rows = spark.createDataFrame([("3=2=1X0I4D1D2=",), ("5=",), ("",), ("2I3=",)], "c string")
+    c = F.col("c")
+    got = {r.c: (r.m, r.a, r.b, r.t) for r in rows.select("c", records.merged_runs(c).alias("m"), records.exact_flanks(c)[0].alias("a"), records.exact_flanks(c)[1].alias("b"), records.without_leading_match(c, 2).alias("t")).collect()}
+    assert got == {"3=2=1X0I4D1D2=": ("5=1X5D2=", 3, 2, "1=2=1X0I4D1D2="), "5=": ("5=", 5, 5, "3="), "": ("", 0, 0, ""), "2I3=": ("2I3=", 0, 3, "2I3=")}
+    seqs = spark.createDataFrame([(1, "acgtn" * 9), (2, "AC"), (3, "")], "sequence_id long, seq string")
+    wanted = spark.createDataFrame([(1, 3, 40, "+"), (1, 3, 40, "-"), (2, 0, 9, "+"), (2, 1, 1, "+"), (9, 0, 1, "+")], "sequence_id long, start long, end long, strand string")
+    found = {(r.sequence_id, r.strand): r.bases for r in records.fetch(records.chunked(seqs, 7), wanted, 7).collect()}
+    text = ("ACGTN" * 9)[3:40]
+    assert found == {(1, "+"): text, (1, "-"): text[::-1].translate(str.maketrans("ACGT", "TGCA")), (2, "+"): "AC"}
+
+
+def test_token_distance_and_strands(spark):
+    rng = np.random.default_rng(1)
+    rows = [([str(x) for x in rng.integers(0, 5, rng.integers(0, 7))], [str(x) for x in rng.integers(0, 5, rng.integers(0, 7))]) for _ in range(80)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    frame = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    got = frame.select("a", "b", assignment.token_distance(F.col("a"), F.col("b")).alias("d"), assignment.pair_strand(F.col("a"), F.col("b"), F.reverse("b")).alias("s")).collect()
+    for r in got:
+        assert r.d == distance(r.a, r.b)
+        assert r.s == ("." if (r.a == r.b) == (r.a == r.b[::-1]) else "+" if r.a == r.b else "-")

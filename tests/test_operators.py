@@ -15,6 +15,29 @@ def test_reverse_complement_and_orientation(spark):
     assert got == {"ARYN": ("NRYT", "+"), "ACGTAC": ("GTACGT", "+"), "GTACGT": ("ACGTAC", "-"), "ACGT": ("ACGT", "."), "": ("", ".")}
 
 
+def test_plateaus_against_a_loop():
+    rng = np.random.default_rng(5)
+    start = np.unique(rng.integers(0, 900, 400))
+    score = rng.integers(0, 3, len(start))
+    runs = [[0]]
+    for k in range(1, len(start)):
+        if score[k] != score[k - 1] or start[k] - start[k - 1] > 20:
+            runs.append([])
+        runs[-1].append(k)
+    number, dist2 = anchors.plateaus(start, score, 20)
+    for no, run in enumerate(runs, 1):
+        for k in run:
+            assert number[k] == no and dist2[k] == abs(2 * start[k] - start[run[0]] - start[run[-1]])
+
+
+def test_long_kmers_are_counted_like_short_ones(spark):
+    rows = spark.createDataFrame([("ACGTACGTACGTNACGTACGTACGT",), ("ACGTACGTACGT",), ("ACG",), (None,)], "seq string")
+    got = {r.kmer: r.freq for r in anchors.kmer_frequency(rows, 12).collect()}
+    assert got == {"ACGTACGTACGT": 3}
+    short = {r.kmer: r.freq for r in anchors.kmer_frequency(rows, 3).collect()}
+    assert short == {r.kmer: r.freq for r in anchors._counted_as_text(rows, 3).collect()}
+
+
 def test_suppression_against_all_pairs(spark):
     rng = np.random.default_rng(1)
     rows = [(s, int(a), int(a) + 50, int(rng.integers(0, 5)), int(rng.integers(0, 9))) for s in range(4) for a in np.unique(rng.integers(0, 1500, 120))]
@@ -26,8 +49,15 @@ def test_suppression_against_all_pairs(spark):
             if all(abs(r[1] - k) > 60 for k in kept):
                 kept.append(r[1])
         want |= {(s, k) for k in kept}
-    assert {(r.sequence_id, r.start) for r in anchors.suppress(frame).collect()} == want
-    chosen = anchors.select_anchors(anchors.suppress(frame), 10_000, 1000.0).collect()
+    for rounds in (12, 1, 0):
+        got = []
+        for s in range(4):
+            own = sorted(r for r in rows if r[0] == s)
+            start, score, dist2 = (np.array([r[c] for r in own]) for c in (1, 3, 4))
+            got += [own[k] for k in np.flatnonzero(anchors.suppressed(start, score, dist2, 60, rounds))]
+        assert {(r[0], r[1]) for r in got} == want
+    kept = spark.createDataFrame(got, frame.schema)
+    chosen = anchors.select_anchors(kept, 10_000, 1000.0).collect()
     assert sorted(r.anchor_id for r in chosen) == [f"anchor_{k:08d}" for k in range(10)]
     assert [(r.sequence_id, r.start) for r in sorted(chosen, key=lambda r: r.anchor_id)] == sorted((r.sequence_id, r.start) for r in chosen)
 
@@ -103,7 +133,8 @@ def test_chains_of_stretches_equal_chaining_the_rest_again():
 
 
 def test_alignment_lines_round_trip(spark):
-    rows = spark.createDataFrame([("q1", 1, 9, "+", "t1", 3, 11, 7, {"tp:A": "P", "cg:Z": "8="}), ("q2", 0, 4, "-", "t2", 5, 9, 4, {})], "qname string, qs long, qe long, strand string, tname string, ts long, te long, matches long, tags map<string,string>")
+    kinds = "qname string, qlen long, qs long, qe long, strand string, tname string, tlen long, ts long, te long, matches long, block long, mapq long, tags map<string,string>"
+    rows = spark.createDataFrame([("q1", 20, 1, 9, "+", "t1", 30, 3, 11, 7, 8, 60, {"tp:A": "P", "cg:Z": "8="}), ("q2", 4, 0, 4, "-", "t2", 9, 5, 9, 4, 4, 0, {}), ("q3", None, 0, 4, "-", "t2", 9, 5, 9, 4, 4, 0, {})], kinds)
     lines = to_lines(rows).unionByName(spark.createDataFrame([("# comment",), ("",)], "value string"))
     got = sorted(parse_lines(lines).collect(), key=lambda r: r.qname)
     assert [tuple(r) for r in got] == [tuple(r) for r in sorted(rows.collect(), key=lambda r: r.qname)]

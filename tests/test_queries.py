@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.jobs.queries import ORACLE_SQL, QUERIES
+from tessera.jobs import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 KIND = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "int": "INTEGER", "boolean": "BOOLEAN"}
