@@ -106,7 +106,7 @@ tokens as (select sample, sequence_id, (2 * r)::bigint as token_index, 'A' as to
 CONTEXTS = TOKENS + f""",
 framed as (select *, list(token) over (partition by sequence_id order by token_index rows between {tokens.RADIUS} preceding and {tokens.RADIUS} following) as ctx, max(token_index) over (partition by sequence_id) as last from tokens),
 contexts as (select anchor_id, sequence_id, sample, token_index as center_token_index, greatest(0, token_index - {tokens.RADIUS}) as context_start, least(last, token_index + {tokens.RADIUS}) as context_end,
-  sha256(array_to_string(case when ctx <= list_reverse(ctx) then ctx else list_reverse(ctx) end, '|')) as context_key, array_to_string(ctx, '|') as forward_tokens from framed where token_type = 'A')"""
+  sha256(from_hex(array_to_string(list_transform(case when ctx <= list_reverse(ctx) then ctx else list_reverse(ctx) end, lambda x: printf('%02x%02x%02x%02x', strlen(x) % 256, strlen(x) // 256 % 256, strlen(x) // 65536 % 256, strlen(x) // 16777216) || hex(encode(x))), ''))) as context_key, array_to_string(ctx, '|') as forward_tokens from framed where token_type = 'A')"""
 GRAMS = TOKENS + f""",
 ahead as (select sample, sequence_id, token_index as start, list(token) over (partition by sequence_id order by token_index rows between current row and {tokens.MOST - 1} following) as a from tokens),
 grams0 as (select sample, sequence_id, start, length, a[1:length] as gram from (select *, unnest(range(1, len(a) + 1)) as length from ahead)),

@@ -23,6 +23,16 @@ def structural_tokens(anchors: DataFrame, width: int = TOKEN_BIN) -> DataFrame:
     return rows.select("sample", "sequence_id", F.explode(F.when(F.col("r") > 0, F.array(d, a)).otherwise(F.array(a))).alias("x")).select("sample", "sequence_id", "x.*")
 
 
+def framed(tokens: Column) -> Column:
+    """Hex digits of a token array in which each token follows its length (32 bits, little-endian), so that no two arrays are written alike."""
+
+    def one(x: Column) -> Column:
+        size = F.lpad(F.hex(F.octet_length(x)), 8, "0")
+        return F.concat(*(F.substring(size, k, 2) for k in (7, 5, 3, 1)), F.hex(x.cast("binary")))
+
+    return F.array_join(F.transform(tokens, one), "")
+
+
 def anchor_contexts(tokens: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(anchor_id, sequence_id, sample, center_token_index, context_start, context_end, context_key, forward_tokens) of each anchor token."""
     over = Window.partitionBy("sequence_id").orderBy("token_index").rowsBetween(-radius, radius)
@@ -30,7 +40,7 @@ def anchor_contexts(tokens: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = tokens.select("*", F.collect_list("token").over(over).alias("context"), F.max("token_index").over(last).alias("last"))
     return rows.where("token_type = 'A'").select(
         "anchor_id", "sequence_id", "sample", F.col("token_index").alias("center_token_index"), F.greatest(F.lit(0), F.col("token_index") - radius).alias("context_start"),
-        F.least("last", F.col("token_index") + radius).alias("context_end"), F.sha2(F.array_join(canonical_array(F.col("context")), "|"), 256).alias("context_key"), F.array_join("context", "|").alias("forward_tokens"),
+        F.least("last", F.col("token_index") + radius).alias("context_end"), F.sha2(F.unhex(framed(canonical_array(F.col("context")))), 256).alias("context_key"), F.array_join("context", "|").alias("forward_tokens"),
     )
 
 
