@@ -68,9 +68,9 @@ def chain_by_hand(rows, plus, p):
         value, at = 0.0, -1
         for j in range(i - 1, max(-1, i - 1 - p.predecessors), -1):
             dr, dq = r - rows[j][0], (q - rows[j][1]) * (1 if plus else -1)
-            if 0 < dr <= p.max_gap and 0 < dq <= p.max_gap:
-                x = abs(dr - dq) / p.gap_unit
-                v = best[j] - (p.gap_weight * x + np.log2(1 + x))
+            if 0 < dr <= p.max_gap and 0 < dq <= p.max_gap and max(dr, dq) <= p.max_ratio * min(dr, dq):
+                x = abs(dr - dq) / (max(1, min(dr, dq)) if p.relative else p.gap_unit)
+                v = best[j] - (p.gap_weight * x + (np.sqrt(1 + x) - 1 if p.relative else np.log2(1 + x)))
                 if v > value:
                     value, at = v, j
         best.append(s + value)
@@ -114,17 +114,16 @@ def greedy_by_hand(rows, plus, p):
         got, total = chain_by_hand(left, plus, p)
         if total < p.min_score:
             break
-        out.append((round(total, 6), [left[k][:2] for k in got]))
+        out.append((round(float(total), 6), [left[k][:2] for k in got]))
         left = [r for k, r in enumerate(left) if k not in got]
     return out
 
 
 def test_chains_of_stretches_equal_chaining_the_rest_again():
     rng = np.random.default_rng(7)
-    p = chains.Params(predecessors=8, max_gap=60, max_ratio=4.0)
     for plus in (True, False):
         for relative in (True, False):
-            p = chains.Params(predecessors=8, max_gap=60, relative=relative)
+            p = chains.Params(predecessors=8, max_gap=60, max_ratio=4.0, relative=relative)
             rows = sorted({(int(a), int(b)): int(s) for a, b, s in rng.integers(0, 400, (60, 3))}.items(), key=lambda x: (x[0][0], x[0][1] if plus else -x[0][1]))
             rows = [(a, b, s) for (a, b), s in rows]
             ref, query, score = map(np.array, zip(*rows))
