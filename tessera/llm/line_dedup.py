@@ -72,8 +72,11 @@ def repeated_windows(slim: DataFrame) -> DataFrame:
     texts = units.select("__id", F.explode(F.expr(f"transform(__w, x -> named_struct('h', x.h, 'text', if(size(u) = 0, '', {window_text('u', 'x.at')})))")).alias("x"))
     # One row a task, hash and text goes into the shuffle; a text that two documents have stays in the first.
     same = texts.groupBy(F.col("x.h").alias("h"), F.col("x.text").alias("text")).agg(F.min("__id").alias("first_id"), F.max("__id").alias("last_id"), F.count("*").alias("n"))
-    by_hash = same.groupBy("h").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.collect_list(F.struct("text", "first_id", "last_id")).alias("all"))
-    proven = by_hash.select("h", "n", F.expr("filter(transform(all, x -> named_struct('lost', if(texts = 1, null, x.text), 'first_id', x.first_id, 'last_id', x.last_id)), x -> x.first_id < x.last_id)").alias("x")).where("size(x) > 0")
+    # Texts stay where they are unless different ones have one hash; then each is told from the others by itself.
+    by_hash = same.groupBy("h").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
+    alone = by_hash.where("texts = 1 and first_id < last_id").select("h", "n", F.expr("array(named_struct('lost', cast(null as string), 'first_id', first_id))").alias("x"))
+    several = same.join(by_hash.where("texts > 1").select("h"), "h").where("first_id < last_id").groupBy("h").agg(F.sum("n").alias("n"), F.collect_list(F.struct(F.col("text").alias("lost"), "first_id")).alias("x"))
+    proven = alone.unionByName(several)
     joined = join_by_count(found, checkpointed(proven), "h").select("__id", "__t", "at", F.explode("x").alias("x"))
     return joined.where("__id > x.first_id").select("__id", "__t", "at", F.col("x.lost").alias("lost"))
 
