@@ -70,13 +70,15 @@ def repeated_windows(slim: DataFrame) -> DataFrame:
     wanted = found.groupBy("__id", "__t").agg(F.collect_set(F.struct("at", "h")).alias("__w"))
     units = slim.join(wanted, ["__id", "__t"]).select("__id", F.expr(line_units("__text")).alias("u"), "__w")
     texts = units.select("__id", F.explode(F.expr(f"transform(__w, x -> named_struct('h', x.h, 'text', if(size(u) = 0, '', {window_text('u', 'x.at')})))")).alias("x"))
-    # One row a task, hash and text goes into the shuffle; a text that two documents have stays in the first.
-    same = texts.groupBy(F.col("x.h").alias("h"), F.col("x.text").alias("text")).agg(F.min("__id").alias("first_id"), F.max("__id").alias("last_id"), F.count("*").alias("n"))
-    # Texts stay where they are unless different ones have one hash; then each is told from the others by itself.
-    by_hash = same.groupBy("h").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
-    alone = by_hash.where("texts = 1 and first_id < last_id").select("h", "n", F.expr("array(named_struct('lost', cast(null as string), 'first_id', first_id))").alias("x"))
-    several = same.join(by_hash.where("texts > 1").select("h"), "h").where("first_id < last_id").groupBy("h").agg(F.sum("n").alias("n"), F.collect_list(F.struct(F.col("text").alias("lost"), "first_id")).alias("x"))
-    proven = alone.unionByName(several)
+    # One row a task and hash goes into the shuffle.  Texts of one hash are equal if the least and the greatest are,
+    # byte by byte; only if some hash has several is each text told from the others by itself.
+    ends = [F.min("__id").alias("first_id"), F.max("__id").alias("last_id"), F.count("*").alias("n")]
+    by_hash = checkpointed(texts.groupBy(F.col("x.h").alias("h")).agg(*ends, (F.min("x.text") != F.max("x.text")).alias("several")))
+    proven = by_hash.where("not several and first_id < last_id").select("h", "n", F.expr("array(named_struct('lost', cast(null as string), 'first_id', first_id))").alias("x"))
+    if not by_hash.where("several").isEmpty():
+        mixed = texts.select("__id", "x").join(by_hash.where("several").select("h"), F.col("x.h") == F.col("h"))
+        told = mixed.groupBy("h", F.col("x.text").alias("text")).agg(*ends).where("first_id < last_id")
+        proven = proven.unionByName(told.groupBy("h").agg(F.sum("n").alias("n"), F.collect_list(F.struct(F.col("text").alias("lost"), "first_id")).alias("x")))
     joined = join_by_count(found, checkpointed(proven), "h").select("__id", "__t", "at", F.explode("x").alias("x"))
     return joined.where("__id > x.first_id").select("__id", "__t", "at", F.col("x.lost").alias("lost"))
 
