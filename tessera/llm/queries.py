@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, media, packing, phrases, piece_codec, quality_crf, simhash, toxicity, url_rules, warc
+from tessera.llm import conversation_repair, language_id, line_dedup, media, packing, phrases, piece_codec, quality_crf, simhash, toxicity, url_rules, vector_codes, warc
 from tessera.llm.common import id_bucket, table
 from tessera.operators.lineage import checkpoint_folder
 
@@ -76,7 +76,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_quality, op4_fingerprints, op5_warc, op6_pieces, op7_url_rules, op8_toxicity, op9_media, op10_simhash)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged by a fixed rule and repaired by the cheapest edits: counts, cost, edits and a digest."""
+    return conversation_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; rows whose id's crc32 leaves 2 modulo 4 are never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs, held_out=(4, 2)))
+    return found.select("doc_id", F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors in four parts of one byte, their errors, and the digest of the codebooks."""
+    codes, model = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.concat(*[F.lpad(F.lower(F.hex(F.col("entries")[k])), 2, "0") for k in range(4)])
+    found = vector_codes.with_label_errors(codes)
+    return found.select(F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", F.lit(model.digest()).alias("codebooks_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_quality, op4_fingerprints, op5_warc, op6_pieces, op7_url_rules, op8_toxicity, op9_media, op10_simhash, op11_conversation_repair, op12_language_id, op13_vector_codes)}
 
 #: DuckDB SQL of those that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.oracle(), "op5_warc": warc.oracle()}
