@@ -158,7 +158,7 @@ def _nearest_now(shared) -> Column:
             out[at] = model.nearest(int(p), rows)[0]
         return pd.Series(out)
 
-    return find("position", "part")
+    return find.asNondeterministic()("position", "part")  # so that a filter and a projection don't each ask
 
 
 def _owner_sums(members: DataFrame, shared) -> DataFrame:
@@ -202,7 +202,7 @@ def _updated(model: Codebooks, members: DataFrame, shared) -> Codebooks:
 def _migrated(state: DataFrame, shared, n: int) -> DataFrame:
     """Members under the next codebooks: those whose entry stays keep their partition, only the others are shuffled.
 
-    Both sides of the union are partitioned alike, so that it has the same ``n`` partitions again.
+    What arrives stands in ``n`` partitions of its own beside the others', so owners have one partition for each round.
     """
     placed = state.withColumn("to", _nearest_now(shared))
     stay = placed.where(F.col("to") == F.col("entry")).select(*OWNERS, "n", "part")
