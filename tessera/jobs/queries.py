@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import sequence as fx
-from tessera.operators import alignment, anchors, assignment, chains, components, evaluation, intervals, matching, tokens, trimming
+from tessera.operators import alignment, anchors, assignment, chains, components, evaluation, intervals, matching, refinement, tokens, trimming
 from tessera.operators.lineage import checkpointed
 from tessera.sources import formats
 from tessera.sources import tables as src
@@ -569,16 +570,55 @@ def boundary_summary(spark, d):
     return truth_boundary_best(spark, d).groupBy("strand").agg(F.count("*").alias("truths"), F.count_if(o > 0).alias("found"), F.count_if(o == n).alias("covered"), F.count_if(o * 20 >= n * 19).alias("covered_95"))
 
 
+#: Steps over planted pairs; a refined chain has four anchors at least.
+PLANTED, REFINED = chains.Params(max_gap=600, max_ratio=3.0, gap_unit=10.0, gap_weight=0.1, min_anchors=6, min_both=1), refinement.Refinement(2000, 4)
+
+
+def _planted(spark, d):
+    """Primary chains of planted pairs, and what refinement may use: leftovers and ambiguous pairs."""
+    pairs = src.planted_pairs(spark, d)
+    sure = pairs.where("not ambiguous").drop("ambiguous")
+    primary = checkpointed(chains.chains_with_rows(sure, PLANTED))
+    return primary, chains.leftovers(sure, primary).unionByName(pairs.where("ambiguous").drop("ambiguous"))
+
+
+@query()
+def planted_chains(spark, d):
+    """Primary chains of line items as anchor pairs of rearranged sequences."""
+    return chains.chains(src.planted_pairs(spark, d).where("not ambiguous"), PLANTED)
+
+
+@query()
+def refined_chains(spark, d):
+    """Chains from what primary ones left over and from ambiguous pairs, around primaries and between neighbours."""
+    return refinement.refined_chains(*_planted(spark, d), dataclasses.replace(PLANTED, min_both=0), REFINED).drop("rows")
+
+
+def _trimmed(spark, d):
+    primary, rest = _planted(spark, d)
+    more = refinement.refined_chains(primary, rest, dataclasses.replace(PLANTED, min_both=0), REFINED)
+    columns = [*chains.TRACK, "chain_no", "raw_score", "chain_score", "rows"]
+    return trimming.trim_chains(primary.select(columns).unionByName(more.select(columns)), dataclasses.replace(PLANTED, min_both=0, min_anchors=4))
+
+
 @query()
 def trimmed_chains(spark, d):
-    """Chains with the decision of the overlap fold on their track."""
-    return trimming.trim_chains(chains_by_track(spark, d))
+    """Primary and refined chains cut by better ones of their track."""
+    return _trimmed(spark, d).drop("rows")
 
 
 @query()
 def chain_context(spark, d):
-    """Kept chains classified against their track's skeleton."""
-    return trimming.chain_context(trimmed_chains(spark, d).where("decision = 'kept'").drop("decision"))
+    """Trimmed chains by their place against their track's skeleton."""
+    return trimming.chain_context(trimmed_chains(spark, d))
+
+
+@query()
+def chains_in_context(spark, d):
+    """Trimmed chains that stand on their track's skeleton or may be structural: counts and anchors by track and class, and what was rejected."""
+    found = chain_context(spark, d)
+    gone = F.col("classification").isin(trimming.REJECTED)
+    return found.groupBy(*chains.TRACK).agg(*(F.count(F.when(F.col("classification") == c, 1)).alias(c) for c in ("syntenic_skeleton", "off_skeleton_retained", "off_skeleton_structural_candidate", *trimming.REJECTED)), F.sum(F.when(~gone, F.col("anchors"))).alias("kept_anchors"))
 
 
 def _turn_pairs(spark, d):

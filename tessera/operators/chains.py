@@ -82,38 +82,126 @@ def best_chain(ref: np.ndarray, query: np.ndarray, score: np.ndarray, plus: bool
     return rows[::-1], float(total[end])
 
 
+def path_value(ref: np.ndarray, query: np.ndarray, score: np.ndarray, p: Params) -> float:
+    """The scores of anchors in a chain's order less the costs of its steps."""
+    dr, dq = np.diff(ref).astype(np.float64), np.abs(np.diff(query)).astype(np.float64)
+    far = np.abs(dr - dq)
+    if p.relative:
+        x = far / np.maximum(1, np.minimum(dr, dq))
+        return float(score.sum() - (p.gap_weight * x + np.sqrt(1 + x) - 1).sum())
+    x = far / p.gap_unit
+    return float(score.sum() - (p.gap_weight * x + np.log2(1 + x)).sum())
+
+
+class _Rest:
+    """What is left of sorted rows while chains are taken out: each row's best total and step, kept up to date.
+
+    Taking rows out changes the totals behind them only: where a step led to one of them, or where the window of
+    ``predecessors`` rows now reaches further back.  Rows are settled again from the first one that is missing until, beyond
+    the last, as many rows as a window has come out as they were; then all later ones would too.
+    """
+
+    STEP = 64
+
+    def __init__(self, ref: np.ndarray, query: np.ndarray, score: np.ndarray, plus: bool, p: Params):
+        self.ref, self.query, self.score, self.plus, self.p = ref, query, score.astype(np.float64), plus, p
+        n = len(ref)
+        self.row = np.arange(n)
+        self.total, self.back, self.gone = np.full(n, np.nan), np.full(n, -1), np.zeros(n, dtype=bool)
+        self.heap: list[tuple[float, int]] = []
+        self._settle(0, n, BLOCK)
+
+    def _settle(self, begin: int, sure: int, size: int) -> None:
+        """Totals of the rows at places from ``begin`` on, as far as they can have changed; those before ``sure`` have to be looked at."""
+        alike, k, most = 0, begin, self.p.predecessors
+        while k < len(self.row):
+            end = min(len(self.row), k + size)
+            first = max(0, k - most)
+            rows = self.row[first:end]
+            gains = step_gains(self.ref[rows], self.query[rows], k - first, end - first, self.plus, self.p)
+            steps = (gains > -np.inf).any(axis=1)
+            for i in range(k, end):
+                row = self.row[i]
+                total, back = self.score[row], -1
+                if steps[i - k]:
+                    before = self.row[max(0, i - most) : i][::-1]
+                    value = self.total[before] + gains[i - k, : len(before)]
+                    at = int(value.argmax())
+                    if value[at] > 0:
+                        total, back = total + value[at], before[at]
+                if total == self.total[row] and back == self.back[row]:
+                    alike = alike + 1 if i >= sure else 0
+                    if alike >= most:
+                        return
+                else:
+                    alike = 0
+                    self.total[row], self.back[row] = total, back
+                    heapq.heappush(self.heap, (-total, int(row)))
+            k = end
+
+    def best(self) -> tuple[np.ndarray, float] | None:
+        """The rows of the best chain (that which ends first of equal ones) and its score."""
+        while self.heap and (self.gone[self.heap[0][1]] or -self.heap[0][0] != self.total[self.heap[0][1]]):
+            heapq.heappop(self.heap)
+        if not self.heap:
+            return None
+        total, k = self.heap[0]
+        rows = []
+        while k >= 0:
+            rows.append(k)
+            k = int(self.back[k])
+        return np.array(rows[::-1]), -total
+
+    def take(self, rows: np.ndarray) -> None:
+        """Take rows out."""
+        at = np.searchsorted(self.row, rows)
+        self.gone[rows] = True
+        self.row = np.delete(self.row, at)
+        self._settle(int(at[0]), int(at[-1]) - len(rows) + 1, self.STEP)
+
+
 def extract(ref: np.ndarray, query: np.ndarray, score: np.ndarray, plus: bool, p: Params) -> list[tuple[np.ndarray, float]]:
     """(rows, score) of the chains of a track's sorted rows, best first, down to ``min_score``; short ones too.
 
-    After a chain is taken out, only the stretch that it was in is chained again, and no stretch
-    crosses a gap that no step can: the chains are those of chaining all the rest again.
+    The chains are those of taking out the best one and chaining all the rest again.
     """
-    heap: list[tuple] = []
-
-    def add(rows: np.ndarray) -> None:
-        for part in np.split(rows, np.flatnonzero(np.diff(ref[rows]) > p.max_gap) + 1):
-            if len(part):
-                own, total = best_chain(ref[part], query[part], score[part], plus, p)
-                heapq.heappush(heap, (-total, int(part[own[-1]]), part, own))
-
-    add(np.arange(len(ref)))
-    out = []
-    while heap and -heap[0][0] >= p.min_score:
-        total, _, part, own = heapq.heappop(heap)
-        out.append((part[own], -total))
-        add(np.delete(part, own))
+    out, rest = [], _Rest(ref, query, score, plus, p)
+    while (found := rest.best()) and found[1] >= p.min_score:
+        out.append(found)
+        rest.take(found[0])
     return out
 
 
 #: A chain: its track and stretch, place among the stretch's chains, sums, bounds, and its rows in order.
 _FIELDS = (
     "q string, t string, strand string, stretch long, place long, anchors long, both long, raw_score double, ref_start long, ref_end long, query_start long, query_end long, "
-    "rows array<struct<ts: bigint, qs: bigint, score: double, both: boolean>>, kept boolean"
+    "rows array<struct<ts: bigint, qs: bigint, score: double, both: boolean>>"
 )
 
 
+def distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """One row for each track and pair of places, with the best score and whether any row is supported both ways."""
+    both = F.col("both") if "both" in pairs.columns else F.lit(False)
+    return pairs.groupBy(*TRACK, "qs", "ts").agg(F.max("score").cast("double").alias("score"), F.max(both).alias("both"))
+
+
+def _with_stretch(rows: DataFrame, p: Params) -> DataFrame:
+    """Rows with the stretch of their track between gaps that no step crosses.
+
+    Only the cells of ``max_gap`` that have rows are put in order, with their first and last row, so no
+    task sorts the rows of a track.
+    """
+    cell = F.expr(f"ts div {int(p.max_gap)}")
+    celled = rows.withColumn("cell", cell)
+    over = Window.partitionBy(*TRACK).orderBy("cell")
+    cells = celled.groupBy(*TRACK, "cell").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    far = F.coalesce(F.col("first") - F.lag("last").over(over) > p.max_gap, F.lit(False)).cast("bigint")
+    numbered = cells.withColumn("far", far).withColumn("stretch", F.sum("far").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    return celled.join(numbered.select(*TRACK, "cell", "stretch"), [*TRACK, "cell"]).drop("cell")
+
+
 def _stretches(pairs: DataFrame, p: Params) -> DataFrame:
-    """All chains of distinct anchor pairs, also those that are too short, by stretches of tracks between gaps that no step crosses."""
+    """All chains of distinct anchor pairs that are long enough, by stretches of tracks."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         plus = group["strand"].iloc[0] == "+"
@@ -122,22 +210,18 @@ def _stretches(pairs: DataFrame, p: Params) -> DataFrame:
         head, out = tuple(group[c].iloc[0] for c in (*TRACK, "stretch")), []
         for place, (own, total) in enumerate(extract(ref, query, score, plus, p)):
             n = int(both[own].sum())
-            rows = [{"ts": int(ref[k]), "qs": int(query[k]), "score": float(score[k]), "both": bool(both[k])} for k in own.tolist()]
-            out.append((*head, place, len(own), n, total, ref[own].min(), ref[own].max(), query[own].min(), query[own].max(), rows, len(own) >= p.min_anchors and n >= p.min_both))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in _FIELDS.split("rows")[0].rstrip(", ").split(", ")] + ["rows", "kept"])
+            if len(own) >= p.min_anchors and n >= p.min_both:
+                rows = [{"ts": int(ref[k]), "qs": int(query[k]), "score": float(score[k]), "both": bool(both[k])} for k in own.tolist()]
+                out.append((*head, place, len(own), n, total, ref[own].min(), ref[own].max(), query[own].min(), query[own].max(), rows))
+        return pd.DataFrame(out, columns=[f.split()[0] for f in _FIELDS.split("rows")[0].rstrip(", ").split(", ")] + ["rows"])
 
-    both = F.col("both") if "both" in pairs.columns else F.lit(False)
-    rows = pairs.groupBy(*TRACK, "qs", "ts").agg(F.max("score").cast("double").alias("score"), F.max(both).alias("both"))
-    over = Window.partitionBy(*TRACK).orderBy("ts")
-    far = F.coalesce(F.col("ts") - F.lag("ts").over(over) > p.max_gap, F.lit(False))
-    cut = rows.withColumn("far", far.cast("bigint")).withColumn("stretch", F.sum("far").over(over.rangeBetween(Window.unboundedPreceding, 0))).drop("far")
-    return cut.groupBy(*TRACK, "stretch").applyInPandas(run, _FIELDS)
+    return _with_stretch(distinct_pairs(pairs), p).groupBy(*TRACK, "stretch").applyInPandas(run, _FIELDS)
 
 
 def chains_with_rows(pairs: DataFrame, p: Params = Params()) -> DataFrame:
     """chains() with ``rows`` (ts, qs, score, both) of each chain in order."""
     best_first = Window.partitionBy(*TRACK).orderBy(F.desc("raw_score"), "stretch", "place")
-    found = _stretches(pairs, p).where("kept").withColumn("chain_no", (F.row_number().over(best_first) - 1).cast("bigint"))
+    found = _stretches(pairs, p).withColumn("chain_no", (F.row_number().over(best_first) - 1).cast("bigint"))
     share = F.col("both") / F.col("anchors")
     scored = found.withColumn("both_rate", share).withColumn("chain_score", F.col("raw_score") * ((1 - p.both_weight) + p.both_weight * share))
     return scored.select(*TRACK, "chain_no", "anchors", "both", "both_rate", "raw_score", "chain_score", "ref_start", "ref_end", "query_start", "query_end", "rows")

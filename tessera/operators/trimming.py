@@ -1,107 +1,300 @@
-"""Chains against each other on one track: overlap trimming, skeletons, and what stands off the skeleton."""
+"""Chains against each other on one track: trimming of overlaps, the skeleton, and what stands off it."""
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-TRACK = ["q", "t", "strand"]
+from tessera.operators import chains as chaining
+from tessera.operators.chains import TRACK
 
 
 @dataclass(frozen=True)
 class Params:
-    """Overlaps that drop or cut a chain, and the spread at which an off-skeleton chain is an orphan."""
+    """Overlaps, as shares of the shorter interval, that cut a chain on both axes or drop it on one."""
 
-    trim_overlap: float = 0.5
-    multimap_overlap: float = 0.9
-    orphan_violation: float = 0.5
-    boundary: int = 5000
+    trim_overlap: float = 0.01
+    multimap_overlap: float = 0.5
 
 
-def overlap_share(a0: np.ndarray, a1: np.ndarray, b0: float, b1: float) -> np.ndarray:
-    """Overlap of closed intervals over the shorter one's length."""
-    shared = np.minimum(a1, b1) - np.maximum(a0, b0) + 1
-    return np.maximum(shared, 0) / np.maximum(np.minimum(a1 - a0, b1 - b0) + 1, 1)
+#: Fixed values of the context test: a diagonal excursion's least bases and share of its span and greatest return
+#: ratio, the scale and weight of a skeleton step's gap penalty, the share of its span by which a chain must leave its bracket to
+#: be rejected, and the slack of a bracket's boundary (bases, and one part of the span).
+EXCURSION_BASES, EXCURSION_SHARE, RETURN_RATIO = 2000, 0.5, 0.25
+GAP_SCALE, GAP_WEIGHT = 1000.0, 1600.0
+REJECT_SHARE, SLACK_BASES, SLACK_PART = 0.5, 500, 10
 
 
-def keep_by_priority(group: pd.DataFrame, p: Params) -> pd.DataFrame:
-    """Chains best first; one goes if an accepted one covers it on one axis but not the other, or overlaps it on both."""
-    group = group.sort_values(["raw_score", "anchors", "ref_start", "ref_end", "query_start", "query_end"], ascending=[False, False, True, True, True, True], ignore_index=True)
-    kept: list[int] = []
-    r0, r1, q0, q1 = (group[c].to_numpy(dtype=np.float64) for c in ("ref_start", "ref_end", "query_start", "query_end"))
-    why = []
-    for k in range(len(group)):
-        on_ref, on_query = overlap_share(r0[kept], r1[kept], r0[k], r1[k]), overlap_share(q0[kept], q1[kept], q0[k], q1[k])
-        multimap = ((on_ref >= p.multimap_overlap) & (on_query < p.trim_overlap)) | ((on_query >= p.multimap_overlap) & (on_ref < p.trim_overlap))
-        both = (on_ref >= p.trim_overlap) & (on_query >= p.trim_overlap)
-        why.append("one_sided_multimap" if multimap.any() else "overlaps_better" if both.any() else "kept")
-        if why[-1] == "kept":
-            kept.append(k)
-    return group.assign(decision=why)
+class Overlaps:
+    """Intervals in classes of length by powers of two, each class sorted by start.
+
+    An interval of a class that overlaps [a, b) starts less than the class's length before a, so a lookup is
+    one slice a class; at most half of a slice misses in the mean.
+    """
+
+    def __init__(self):
+        self.classes: dict[int, tuple[list[int], list[tuple[int, int]]]] = {}
+
+    def add(self, start: int, end: int, name: int) -> None:
+        starts, rows = self.classes.setdefault((end - start).bit_length(), ([], []))
+        at = bisect_right(starts, start)
+        starts.insert(at, start)
+        rows.insert(at, (end, name))
+
+    def find(self, start: int, end: int) -> list[int]:
+        found = []
+        for size, (starts, rows) in self.classes.items():
+            for stop, name in rows[bisect_right(starts, start - (1 << size)) : bisect_left(starts, end)]:
+                if stop > start:
+                    found.append(name)
+        return found
+
+
+@dataclass
+class Part:
+    """A chain or what is left of it: its anchors in order, bounds and scores."""
+
+    source: int
+    number: int
+    ts: np.ndarray
+    qs: np.ndarray
+    score: np.ndarray
+    two: np.ndarray
+    raw: float
+    total: float
+
+    def __post_init__(self):
+        self.both = int(self.two.sum())
+        self.bounds = int(self.ts[0]), int(self.ts[-1]), int(self.qs.min()), int(self.qs.max())
+
+    def priority(self) -> tuple:
+        n = len(self.ts)
+        return (-self.total, -self.both / n, -self.both, -n, *self.bounds, self.source)
+
+    def cut(self, rows: np.ndarray, number: int, p: chaining.Params) -> Part:
+        """The part of some of its rows, scored anew."""
+        ts, qs, score, two = self.ts[rows], self.qs[rows], self.score[rows], self.two[rows]
+        raw = chaining.path_value(ts, qs, score, p)
+        return Part(self.source, number, ts, qs, score, two, raw, raw * ((1 - p.both_weight) + p.both_weight * float(two.mean())))
+
+
+def shares(a: tuple[int, int, int, int], b: tuple[int, int, int, int]) -> tuple[float, float]:
+    """Overlap of two boxes on either axis over the shorter side's length (1 at least)."""
+    out = []
+    for k in (0, 2):
+        shared = max(0, min(a[k + 1], b[k + 1]) - max(a[k], b[k]))
+        out.append(shared / min(max(a[k + 1] - a[k], 1), max(b[k + 1] - b[k], 1)))
+    return out[0], out[1]
+
+
+def trim_track(parts: list[Part], filters: chaining.Params, p: Params) -> list[Part]:
+    """What is left of a track's chains, best first: each is cut by all that were accepted before it.
+
+    A chain that a better one covers on one axis but hardly meets on the other goes.  Where they meet on both axes,
+    its anchors inside the better one's box that only one direction supports go, and what lies
+    between them is a part of its own.  Only accepted chains that share a stretch of an axis are looked at, in the order
+    in which they were accepted.
+    """
+    if p.trim_overlap <= 0:
+        return parts
+    accepted: list[Part] = []
+    on_ref, on_query = Overlaps(), Overlaps()
+    for chain in sorted(parts, key=Part.priority):
+        r0, r1, q0, q1 = chain.bounds
+        pieces = [chain]
+        for k in sorted({*on_ref.find(r0, r1), *on_query.find(q0, q1)}):
+            high, rest = accepted[k].bounds, []
+            for piece in pieces:
+                ref, query = shares(piece.bounds, high)
+                if p.multimap_overlap > 0 and ((ref >= p.multimap_overlap and query < p.trim_overlap) or (query >= p.multimap_overlap and ref < p.trim_overlap)):
+                    continue
+                if ref >= p.trim_overlap and query >= p.trim_overlap:
+                    stays = piece.two | (piece.ts < high[0]) | (piece.ts > high[1]) | (piece.qs < high[2]) | (piece.qs > high[3])
+                    kept = np.flatnonzero(stays)
+                    rest += [piece.cut(rows, 0, filters) for rows in np.split(kept, np.flatnonzero(np.diff(kept) > 1) + 1) if len(rows)]
+                else:
+                    rest.append(piece)
+            pieces = rest
+            if not pieces:
+                break
+        good = [x for x in pieces if len(x.ts) >= filters.min_anchors and x.both >= filters.min_both and x.total >= filters.min_score]
+        for number, piece in enumerate(good):
+            piece.number = number
+            on_ref.add(*piece.bounds[:2], len(accepted))
+            on_query.add(*piece.bounds[2:], len(accepted))
+            accepted.append(piece)
+    return accepted
 
 
 def skeleton(r0: np.ndarray, r1: np.ndarray, q0: np.ndarray, q1: np.ndarray, weight: np.ndarray) -> list[int]:
-    """Indices of the heaviest sequence of chains in which each ends before the next starts on both axes; of equal ones the first found."""
-    order = np.lexsort((q0, r0))
-    total, back = weight[order].astype(np.float64), np.full(len(order), -1)
-    for i in range(1, len(order)):
-        before = np.flatnonzero((r1[order[:i]] < r0[order[i]]) & (q1[order[:i]] < q0[order[i]]))
-        if len(before):
-            j = before[np.argmax(total[before])]
-            if total[j] > 0:
-                total[i] += total[j]
-                back[i] = j
-    k, out = int(np.argmax(total)) if len(order) else -1, []
+    """Indices of the heaviest sequence of chains in which none ends behind the next one's start on either axis; the first found of equal ones.
+
+    Chains are taken by start on the reference; those that ended by then stand in a tree of maxima over ends on the
+    query, so each finds its best predecessor in logarithmic time.
+    """
+    order = np.lexsort((r1, q0, r0))
+    n = len(order)
+    ends = np.unique(q1)
+    best: list[tuple[float, int]] = [(0.0, 1)] * (len(ends) + 1)  # prefix maxima: (total, minus the place)
+    total, back, waiting = [0.0] * n, [-1] * n, []
+    for i, k in enumerate(order.tolist()):
+        while waiting and waiting[0][0] <= r0[k]:
+            _, j = heapq.heappop(waiting)
+            at, value = int(np.searchsorted(ends, q1[order[j]])) + 1, (total[j], -j)
+            while at <= len(ends):
+                if best[at] < value:
+                    best[at] = value
+                at += at & -at
+        at, found = int(np.searchsorted(ends, q0[k], "right")), (0.0, 1)
+        while at:
+            found = max(found, best[at])
+            at -= at & -at
+        total[i] = float(weight[k])
+        if found[1] <= 0:
+            total[i] += found[0]
+            back[i] = -found[1]
+        heapq.heappush(waiting, (r1[k], i))
+    k, out = max(range(n), key=lambda i: (total[i], -i)) if n else -1, []
     while k >= 0:
         out.append(int(order[k]))
-        k = int(back[k])
+        k = back[k]
     return out[::-1]
 
 
-def classify(group: pd.DataFrame, p: Params) -> pd.DataFrame:
-    """Each chain as on the skeleton, near a skeleton boundary, or an orphan by how far it leaves its bracket on the query axis.
+#: What the context test says about a chain beside its class.
+CONTEXT = {
+    "left_no": "bigint", "right_no": "bigint", "bracket_axis": "string", "violation": "bigint", "normalized_violation": "double", "left_gap": "bigint", "right_gap": "bigint", "boundary_supported": "boolean",
+    "left_jump": "bigint", "right_jump": "bigint", "net_shift": "bigint", "excursion": "bigint", "normalized_excursion": "double", "return_ratio": "double", "local_gain": "double",
+}
+_NOTHING = {c: {"bigint": 0, "double": 0.0, "boolean": False, "string": None}[k] for c, k in CONTEXT.items()} | {"left_no": None, "right_no": None}
 
-    On the minus strand the query axis is turned round.  A chain's bracket is the skeleton chain that
-    ends last before it and the one that starts first after it on the reference.
+
+class Track:
+    """Chains of a track as boxes, the query axis turned round on the minus strand."""
+
+    def __init__(self, r0, r1, q0, q1, score, plus: bool):
+        self.r0, self.r1 = np.asarray(r0), np.asarray(r1)
+        q0, q1 = np.asarray(q0), np.asarray(q1)
+        self.q0, self.q1 = (q0, q1) if plus else (-q1, -q0)
+        self.span = np.minimum(np.maximum(self.r1 - self.r0, 1), np.maximum(self.q1 - self.q0, 1))
+        self.weight = np.maximum(np.asarray(score, dtype=np.float64), 0) + self.span
+        self.diagonal = [int(a) + int(b - a) // 2 - int(c) - int(d - c) // 2 for a, b, c, d in zip(self.q0, self.q1, self.r0, self.r1)]
+
+    def penalty(self, left: int, right: int) -> float:
+        """The cost of a skeleton step: how much its gaps on both axes differ."""
+        differ = abs((self.r0[right] - self.r1[left]) - (self.q0[right] - self.q1[left]))
+        return GAP_WEIGHT * float(np.log1p(differ / GAP_SCALE))
+
+    def bones(self, without: np.ndarray) -> list[int]:
+        rows = np.flatnonzero(~without)
+        return rows[skeleton(self.r0[rows], self.r1[rows], self.q0[rows], self.q1[rows], self.weight[rows])].tolist() if len(rows) else []
+
+    def excursion(self, path: list[int]) -> tuple[int, dict] | None:
+        """The chain of a skeleton that leaves the diagonal and comes back, whose place in it costs most (the first of equal ones)."""
+        worst = None
+        for left, k, right in zip(path, path[1:], path[2:]):
+            out, home = self.diagonal[k] - self.diagonal[left], self.diagonal[right] - self.diagonal[k]
+            net, less = abs(self.diagonal[right] - self.diagonal[left]), min(abs(out), abs(home))
+            if out * home >= 0 or less - net < EXCURSION_BASES or net / less > RETURN_RATIO or (less - net) / self.span[k] < EXCURSION_SHARE:
+                continue
+            gain = float(self.weight[k]) - self.penalty(left, k) - self.penalty(k, right) + self.penalty(left, right)
+            if gain < 0 and (worst is None or gain < worst[1]["local_gain"]):
+                found = {"left_jump": abs(out), "right_jump": abs(home), "net_shift": net, "excursion": less - net, "normalized_excursion": (less - net) / float(self.span[k]), "return_ratio": net / less, "local_gain": gain}
+                worst = k, {"left_no": left, "right_no": right, "bracket_axis": "diagonal"} | found
+        return worst
+
+    def bracket(self, k: int, path: np.ndarray, on_query: bool) -> dict | None:
+        """How far a chain lies outside of what its neighbours on one axis leave between them on the other.
+
+        ``path`` is a skeleton, which is in order on both axes, so neighbours are found by bisection.
+        """
+        a0, a1, b0, b1 = (self.q0, self.q1, self.r0, self.r1) if on_query else (self.r0, self.r1, self.q0, self.q1)
+        left, right = np.searchsorted(a1[path], a0[k], "right") - 1, np.searchsorted(a0[path], a1[k], "left")
+        if left < 0 or right >= len(path):
+            return None
+        left = np.searchsorted(a1[path], a1[path[left]], "left")  # the first of those that end alike
+        low, high = path[left], path[right]
+        violation = int(max(0, b1[low] - b0[k], b1[k] - b0[high]))
+        if b1[low] > b0[high] or not violation:
+            return None
+        span = int(max(1, self.r1[k] - self.r0[k], self.q1[k] - self.q0[k]))
+        gaps, slack = (int(a0[k] - a1[low]), int(a0[high] - a1[k])), max(SLACK_BASES, span // SLACK_PART)
+        return {"left_no": int(low), "right_no": int(high), "bracket_axis": "query" if on_query else "ref", "violation": violation, "normalized_violation": violation / span, "left_gap": gaps[0], "right_gap": gaps[1], "boundary_supported": max(gaps) <= slack}
+
+    def classes(self) -> list[tuple[str, dict]]:
+        """Each chain's class and what decided it; the chain of the worst excursion leaves the skeleton until there is none."""
+        out, away = {}, np.zeros(len(self.r0), dtype=bool)
+        while (found := self.excursion(path := self.bones(away))) is not None:
+            away[found[0]] = True
+            out[found[0]] = "off_skeleton_excursion", found[1]
+        on, bones = set(path), np.array(path, dtype=np.int64)
+        for k in range(len(self.r0)):
+            if k in out:
+                continue
+            if k in on:
+                out[k] = "syntenic_skeleton", {}
+                continue
+            found, other = self.bracket(k, bones, True), self.bracket(k, bones, False)
+            if found is None or (other is not None and other["normalized_violation"] > found["normalized_violation"]):
+                found = other
+            supported = found is not None and found["boundary_supported"]
+            rejected = found is not None and found["normalized_violation"] >= REJECT_SHARE
+            out[k] = ("off_skeleton_structural_candidate" if supported else "orphan_gap_cross_copy_rejected" if rejected else "off_skeleton_retained"), found or {}
+        return [out[k] for k in range(len(self.r0))]
+
+
+#: Classes whose chains go.
+REJECTED = ["off_skeleton_excursion", "orphan_gap_cross_copy_rejected"]
+_LISTS = ("ts", "qs", "score", "both")
+_TRIMMED = (
+    "q string, t string, strand string, chain_no long, source_no long, part long, anchors long, both long, both_rate double, raw_score double, chain_score double, "
+    "ref_start long, ref_end long, query_start long, query_end long, ts_list array<bigint>, qs_list array<bigint>, score_list array<double>, both_list array<boolean>"
+)
+
+
+def trim_chains(found: DataFrame, filters: chaining.Params = chaining.Params(), p: Params = Params()) -> DataFrame:
+    """Parts of chains (see trim_track) with their rows, numbered by place on their track; ``source_no`` is the chain they were.
+
+    ``found`` has TRACK, chain_no, raw_score, chain_score and rows, as chains_with_rows() and refined_chains() return
+    them.  A track's chains, not its anchors' other pairs, are one group: their order decides what is left.
     """
-    group = group.sort_values(["ref_start", "ref_end", "query_start", "query_end", "raw_score"], ignore_index=True)
-    plus = group["strand"].iloc[0] == "+"
-    r0, r1 = group["ref_start"].to_numpy(), group["ref_end"].to_numpy()
-    q0, q1 = (group["query_start"].to_numpy(), group["query_end"].to_numpy()) if plus else (-group["query_end"].to_numpy(), -group["query_start"].to_numpy())
-    span = np.minimum(r1 - r0, q1 - q0) + 1
-    bones = skeleton(r0, r1, q0, q1, np.maximum(group["raw_score"].to_numpy(), 0) + span)
-    on = np.zeros(len(group), dtype=bool)
-    on[bones] = True
-    bones = np.array(bones, dtype=np.int64)
-    kinds, violations = [], []
-    for k in range(len(group)):
-        if on[k]:
-            kinds.append("syntenic_skeleton")
-            violations.append(0)
-            continue
-        left, right = bones[r1[bones] <= r0[k]], bones[r0[bones] >= r1[k]]
-        low = q1[left[np.argmax(r1[left])]] if len(left) else None
-        high = q0[right[np.argmin(r0[right])]] if len(right) else None
-        out = int(max(0, low - q0[k] if low is not None else 0, q1[k] - high if high is not None else 0))
-        near = any(abs(x) <= p.boundary for x in ([q0[k] - low] if low is not None else []) + ([high - q1[k]] if high is not None else []))
-        room = (high - low) if low is not None and high is not None and high > low else span[k]
-        kinds.append("off_skeleton_structural_candidate" if near else "orphan_gap_cross_copy_rejected" if out / max(1, room) >= p.orphan_violation else "off_skeleton_retained")
-        violations.append(out)
-    return group.assign(classification=kinds, violation=violations)
-
-
-def trim_chains(chains: DataFrame, p: Params = Params()) -> DataFrame:
-    """Chains with the ``decision`` of the overlap fold on their track."""
-    columns = chains.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chains.schema)
-    return chains.groupBy(*TRACK).applyInPandas(lambda g: keep_by_priority(g, p)[[*columns, "decision"]], fields + ", decision string")
-
-
-def chain_context(chains: DataFrame, p: Params = Params()) -> DataFrame:
-    """Chains with their ``classification`` against their track's skeleton and their ``violation`` in bases."""
-    columns = chains.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chains.schema)
-    return chains.groupBy(*TRACK).applyInPandas(lambda g: classify(g, p)[[*columns, "classification", "violation"]], fields + ", classification string, violation long")
+    columns = [f.split()[0] for f in _TRIMMED.split(", ")]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        kinds = (np.int64, np.int64, np.float64, bool)
+        parts = [Part(no, 0, *(np.asarray(x, dtype=kind) for x, kind in zip(lists, kinds)), raw, total) for no, raw, total, *lists in group[["chain_no", "raw_score", "chain_score", *(f"{c}_list" for c in _LISTS)]].itertuples(index=False)]
+        kept = sorted(trim_track(parts, filters, p), key=lambda x: (x.bounds[0], x.bounds[2], x.bounds[1], x.bounds[3], x.source, x.number))
+        head = tuple(group[c].iloc[0] for c in TRACK)
+        rows = [(*head, k, x.source, x.number, len(x.ts), x.both, x.both / len(x.ts), x.raw, x.total, *x.bounds, x.ts, x.qs, x.score, x.two) for k, x in enumerate(kept)]
+        return pd.DataFrame(rows, columns=columns)
+
+    lists = found.select(*TRACK, "chain_no", "raw_score", "chain_score", *(F.col(f"rows.{c}").alias(f"{c}_list") for c in _LISTS))
+    trimmed = lists.groupBy(*TRACK).applyInPandas(run, _TRIMMED)
+    zipped = F.arrays_zip(*(F.col(f"{c}_list").alias(c) for c in _LISTS))
+    return trimmed.withColumn("rows", zipped).drop(*(f"{c}_list" for c in _LISTS))
+
+
+def chain_context(found: DataFrame) -> DataFrame:
+    """Chains (TRACK, chain_no, chain_score, bounds and any other columns) with their ``classification`` on their track and what decided it."""
+    columns = [c for c in found.columns if c not in CONTEXT]
+    bounds = ["chain_no", "chain_score", "ref_start", "ref_end", "query_start", "query_end"]
+    fields = "q string, t string, strand string, chain_no long, classification string, " + ", ".join(f"{c} {k}" for c, k in CONTEXT.items())
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(bounds[2:] + ["chain_no"], ignore_index=True)
+        track = Track(*(group[c].to_numpy() for c in bounds[2:]), group["chain_score"].to_numpy(), group["strand"].iloc[0] == "+")
+        number, out = group["chain_no"].tolist(), []
+        for no, (kind, why) in zip(number, track.classes()):
+            named = {c: number[why[c]] for c in ("left_no", "right_no") if c in why}
+            out.append(dict(zip(TRACK, group[TRACK].iloc[0])) | {"chain_no": no, "classification": kind} | _NOTHING | why | named)
+        made = pd.DataFrame(out)
+        return made.astype({"left_no": "Int64", "right_no": "Int64"})
+
+    said = found.select(*TRACK, *bounds).groupBy(*TRACK).applyInPandas(run, fields)
+    return found.select(*columns).join(said, [*TRACK, "chain_no"])

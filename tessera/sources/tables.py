@@ -55,6 +55,21 @@ INTERVALS = """intervals as (select 'q' || l_suppkey as q, 't' || (l_partkey % 5
   round(l_extendedprice)::bigint as score from lineitem)"""
 
 
+def planted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q, t, strand, qs, ts, score, both, ambiguous): line items as anchor pairs of sequence pairs with rearrangements.
+
+    The reference place is the order's key.  Blocks of 4,000 are shifted against each other, every fifth is turned
+    round, some lie a block ahead; of seven line numbers two are noise, and one, ambiguous, lies 700 beside its block.
+    """
+    block, at, turned = "(l_orderkey div 4000)", "(l_orderkey % 4000)", "(l_orderkey div 4000) % 5 = 3"
+    shift = f"({block} * 7919 % 13 - 6) * 400 + if({block} % 11 = 7, 9000, 0) + if(l_linenumber = 5, 700, 0)"
+    true = f"40000 + {block} * 4000 + if({turned}, 4000 - {at}, {at}) + {shift} + cast(l_quantity as bigint) % 3"
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('q', l_partkey % 7) as q", "concat('t', l_suppkey % 5) as t", f"if({turned}, '-', '+') as strand", f"if(l_linenumber >= 6, 40000 + l_partkey * 7919 % 60000, {true}) as qs", "l_orderkey as ts",
+        "1 + cast(l_quantity as bigint) % 20 as score", "l_linestatus = 'O' and l_linenumber < 5 as both", "l_linenumber = 5 as ambiguous",
+    )
+
+
 def cigars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(q, strand, ts, cigar): an alignment of each line item's two intervals."""
     return table(spark, sf_dir, "lineitem").selectExpr(
