@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.jobs.queries import GAPS, TOKENS, _tokens, query, sv_band_match_edges, truth_boundary_best
-from tessera.operators import intervals, records
+from tessera.operators import intervals, records, stitching, truth
 from tessera.operators.evaluation import failure_modes
 from tessera.sources import formats, paf
 from tessera.sources import tables as src
@@ -75,10 +75,17 @@ def reference_oriented(spark, d):
     return records.towards_reference(src.intervals(spark, d), F.col("q").isin("q1", "q2", "q3"), F.col("t") == "t0")
 
 
-@query("select q, t, forward, reverse, 0::bigint as other, case when reverse > forward then '-' else '+' end as strand from (select q, t, count(*) filter (where strand = '+') as forward, count(*) filter (where strand = '-') as reverse from intervals group by 1, 2)", src.INTERVALS)
+@query(f"""select pair_id, forward, reverse, incompatible, case when reverse > forward then '-' else '+' end as effective from (select pair_id, count(*) filter (where a = b) as forward, count(*) filter (where a <> b and a = reverse(translate(b, 'ACGT', 'TGCA'))) as reverse,
+  count(*) filter (where a <> b and a <> reverse(translate(b, 'ACGT', 'TGCA'))) as incompatible from (select g.pair_id, substr(p.ref, p + 1, {src.ANCHOR}) as a, substr(p.query, s + 1, {src.ANCHOR}) as b from guided g left join places p using (pair_id)) group by pair_id)""", src.SEQUENCES + ",\n" + src.GUIDED)
 def strand_vote(spark, d):
-    """Strand votes of every pair of sequences, and the majority."""
-    return records.strand_votes(src.intervals(spark, d))
+    """Votes of every pair's anchors by their bases, and the strand of the majority."""
+    return stitching.strand_votes(src.guided_pairs(spark, d)).select("pair_id", "forward", "reverse", "incompatible", "effective")
+
+
+@query()
+def anchor_guided_align(spark, d):
+    """Sequences and their altered copies aligned between equal anchors and put together."""
+    return stitching.anchor_guided(src.guided_pairs(spark, d))
 
 
 @query("""select q, t, strand, case when strand = '+' then qs + head else qs + tail end as qs, case when strand = '+' then qe - tail else qe - head end as qe, a as ts, b as te from (select *, ((a - ts) * (qe - qs)) // (te - ts) as head, ((te - b) * (qe - qs)) // (te - ts) as tail
@@ -97,13 +104,44 @@ def locus_names(spark, d):
     return rows.groupBy("name", records.safe_name(F.col("name")).alias("safe"), "start", "end").agg(F.count("*").alias("n"))
 
 
-@query("""select chrom, from_ as ref_start, pos as ref_end, from_ + shift as query_start, pos + shift as query_end from (
-  select *, coalesce(lag(stop) over (partition by chrom order by pos), 0) as from_, coalesce(sum(case when kind = 'DEL' then -size else size end) over (partition by chrom order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as shift from (
-    select * from (select *, coalesce(max(stop) over (partition by chrom order by pos rows between unbounded preceding and 1 preceding), 0) as reached from (select *, pos + case when kind = 'DEL' then size else 0 end as stop from (
-      select chrom, pos, (max({'size': size, 'kind': kind})).kind as kind, max(size) as size from sv_events where setno = 0 group by 1, 2))) where pos >= reached)) where pos > from_""", src.SV_EVENTS)
+TRUTH_RULE = "recursive " + src.TRUTH_EVENTS + """,
+sized as (select *, greatest(ref_end - ref_start, 0) as span, case when ref_end > ref_start then ref_end - ref_start else query_delta end as len from truth_events),
+reach as (select *, case when kind in ('INV', 'DUP') then ref_start + len when kind = 'DEL' or (kind = 'BND' and span > 0) then ref_end else ref_start end as stop from sized),
+ranked as (select *, row_number() over (partition by chrom order by ref_start, ref_end, event_id) as k from reach),
+walk as (select distinct chrom, 0::bigint as k, 0::bigint as cursor, 0::bigint as q from truth_events
+  union all select w.chrom, e.k, greatest(w.cursor, e.stop), w.q + greatest(e.ref_start - w.cursor, 0) + case e.kind when 'DEL' then 0 when 'INV' then e.len when 'DUP' then 2 * e.len else e.query_delta end from walk w join ranked e on e.chrom = w.chrom and e.k = w.k + 1),
+placed as (select e.*, w.cursor, w.q, greatest(e.ref_start - w.cursor, 0) as flank from ranked e join walk w on w.chrom = e.chrom and w.k = e.k - 1),
+ends as (select chrom, max(cursor) as cursor, max(q) as q, (select max(ref_end) + 10000 from truth_events e where e.chrom = walk.chrom) as tlen from walk group by chrom),
+blocks as (
+  select chrom, event_id, 'flank' as block, '+' as strand, q as query_start, q + flank as query_end, chrom as target, cursor as ref_start, cursor + flank as ref_end from placed
+  union all select chrom, event_id, 'INV', '-', q + flank, q + flank + len, chrom, ref_start, ref_start + len from placed where kind = 'INV'
+  union all select chrom, event_id, 'DUP_original', '+', q + flank, q + flank + len, chrom, ref_start, ref_start + len from placed where kind = 'DUP'
+  union all select chrom, event_id, 'DUP_extra_copy', '+', q + flank + len, q + flank + 2 * len, chrom, ref_start, ref_start + len from placed where kind = 'DUP'
+  union all select chrom, event_id, kind || '_source', '+', q + flank, q + flank + n, source_chrom, source_start, source_start + n from (select *, case when source_end > source_start then least(query_delta, source_end - source_start) else query_delta end as n from placed where kind in ('INS', 'BND') and source_chrom is not null)
+  union all select chrom, null, 'flank', '+', q, q + tlen - cursor, chrom, cursor, tlen from ends)"""
+
+
+def _truth(spark, d):
+    events = src.truth_events(spark, d)
+    return events, events.groupBy("chrom").agg((F.max("ref_end") + 10_000).alias("length"))
+
+
+@query("select *, least(query_end - query_start, ref_end - ref_start) as matches, greatest(query_end - query_start, ref_end - ref_start) as bases from blocks where query_end > query_start and ref_end > ref_start", TRUTH_RULE)
 def truth_blocks(spark, d):
-    """Stretches between the truth set's variants, in coordinates of the reference and of the changed sequence."""
-    return records.cursor_blocks(src.sv_events(spark, d).where("setno = 0"))
+    """Alignment blocks of the changed sequences that the truth's variants make, with those of inversions, duplications and sources."""
+    return truth.truth_blocks(*_truth(spark, d))
+
+
+@query()
+def truth_graph_steps(spark, d):
+    """Paths of the reference and of the changed sequences through the segments between the truth's breakpoints."""
+    return truth.graph_steps(*_truth(spark, d))
+
+
+@query()
+def truth_graph_links(spark, d):
+    """How often each pair of neighbouring segments follows one another in the paths."""
+    return truth.graph_links(truth.graph_steps(*_truth(spark, d)))
 
 
 @query("""select c.event_id, count(t.event_id) as near, min(abs(t.pos - c.pos)) as nearest, coalesce(string_agg(t.event_id::varchar, ',' order by t.event_id), '') as ids from sv_events c left join sv_events t on t.setno = 0 and t.chrom = c.chrom and abs(t.pos - c.pos) <= 40 where c.setno = 2 group by c.event_id""", src.SV_EVENTS)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.wavefront import wave_alignment
+
 
 def global_alignment(ref: str, query: str) -> tuple[str, int, int]:
     """(CIGAR of =, X, I, D; score; matches) of a unit-cost global alignment: match +1, mismatch and gap -1.
@@ -49,13 +51,17 @@ def global_alignment(ref: str, query: str) -> tuple[str, int, int]:
     return "".join(out), int(rows[n, m]), matches
 
 
-def align_pairs(pairs: DataFrame, most_cells: int = 25_000_000) -> DataFrame:
-    """(pair_id, cigar, score, matches) of rows (pair_id, ref, query); pairs with more cells than ``most_cells`` get nulls, as a report of what was not aligned."""
+def align_pairs(pairs: DataFrame, most_cells: int = 1_000_000) -> DataFrame:
+    """(pair_id, cigar, score, matches) of rows (pair_id, ref, query).
+
+    Pairs of up to ``most_cells`` cells fill the whole table; longer ones are aligned by wavefronts, with the same score
+    in memory that doesn't grow with the product of their lengths (of equal alignments another may be returned).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = [global_alignment(a, b) if (len(a) + 1) * (len(b) + 1) <= most_cells else (None, None, None) for a, b in zip(batch["ref"], batch["query"])]
-            out = pd.DataFrame(done, columns=["cigar", "score", "matches"]).astype({"score": "Int64", "matches": "Int64"})
+            done = [global_alignment(a, b) if (len(a) + 1) * (len(b) + 1) <= most_cells else wave_alignment(a, b) for a, b in zip(batch["ref"], batch["query"])]
+            out = pd.DataFrame(done, columns=["cigar", "score", "matches"])
             yield out.assign(pair_id=batch["pair_id"].to_numpy())[["pair_id", "cigar", "score", "matches"]]
 
     return pairs.select("pair_id", "ref", "query").mapInPandas(run, "pair_id long, cigar string, score long, matches long")

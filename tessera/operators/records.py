@@ -64,12 +64,6 @@ def towards_reference(rows: DataFrame, query_reference: Column, target_reference
     return kept.select(pick("q", "t").alias("q"), pick("qs", "ts").alias("qs"), pick("qe", "te").alias("qe"), "strand", pick("t", "q").alias("t"), pick("ts", "qs").alias("ts"), pick("te", "qe").alias("te"), "score")
 
 
-def strand_votes(rows: DataFrame) -> DataFrame:
-    """(q, t, forward, reverse, other, strand): votes of each pair of sequences, and the strand of the majority (``+`` on ties)."""
-    votes = rows.groupBy("q", "t").agg(F.count_if(F.col("strand") == "+").alias("forward"), F.count_if(F.col("strand") == "-").alias("reverse"), F.count_if(~F.col("strand").isin("+", "-")).alias("other"))
-    return votes.withColumn("strand", F.when(F.col("reverse") > F.col("forward"), "-").otherwise("+"))
-
-
 def clipped(rows: DataFrame, low: int, high: int) -> DataFrame:
     """Intervals cut to [low, high) of the target; the query side is cut in proportion, from the other end on the minus strand."""
     a, b = F.greatest("ts", F.lit(low)), F.least("te", F.lit(high))
@@ -90,22 +84,6 @@ def safe_name(text: Column) -> Column:
     return F.regexp_replace(text, "[^A-Za-z0-9._-]", "_")
 
 
-def cursor_blocks(events: DataFrame) -> DataFrame:
-    """(chrom, ref_start, ref_end, query_start, query_end) of the stretches between variants (chrom, pos, kind, size), with both coordinates.
-
-    Variants are taken in order; one that starts before an earlier one's end is left out, and of
-    several at one place the largest stays.  Insertions move the query on, deletions the reference.
-    """
-    best = events.groupBy("chrom", "pos").agg(F.max(F.struct("size", "kind")).alias("x")).select("chrom", "pos", "x.kind", "x.size")
-    ends = best.withColumn("ref_stop", F.col("pos") + F.when(F.col("kind") == "DEL", F.col("size")).otherwise(0))
-    over = Window.partitionBy("chrom").orderBy("pos")
-    before = over.rowsBetween(Window.unboundedPreceding, -1)
-    kept = ends.withColumn("reached", F.coalesce(F.max("ref_stop").over(before), F.lit(0))).where("pos >= reached")
-    shift = F.when(F.col("kind") == "DEL", -F.col("size")).otherwise(F.col("size"))
-    moved = kept.withColumn("shift", F.coalesce(F.sum(shift).over(before), F.lit(0))).withColumn("from", F.coalesce(F.lag("ref_stop").over(over), F.lit(0)))
-    return moved.where("pos > `from`").select("chrom", F.col("from").alias("ref_start"), F.col("pos").alias("ref_end"), (F.col("from") + F.col("shift")).alias("query_start"), (F.col("pos") + F.col("shift")).alias("query_end"))
-
-
 def nearby(calls: DataFrame, truth: DataFrame, distance: int) -> DataFrame:
     """(event_id, near, nearest, ids): for every call the places of ``truth`` on its chromosome within ``distance``: their number, the smallest distance, and their ids in order.
 

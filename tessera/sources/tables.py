@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.sequence import reverse_complement
+
 #: Milliseconds in a distance bin of the event token streams.
 TOKEN_BIN = 21_600_000
 
@@ -70,6 +72,48 @@ def planted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bases of a planted anchor, and between two of them.
+ANCHOR, ANCHOR_STEP = 40, 300
+
+
+def guided_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pair_id, ref, query, strand, anchors): sequences and altered copies, every third turned round, with where pieces of the first stand in the other.
+
+    Copies lack 30 bases and have substitutions, deletions and insertions at certain words; a piece's place is the
+    first where the copy has it, so some anchors are wrong.  The strand that is claimed is always +.
+    """
+    altered = F.concat(F.expr("substr(seq, 1, length(seq) div 3)"), F.expr("substr(seq, length(seq) div 3 + 31)"))
+    for word, other in (("ACGTA", "ACTTA"), ("GGATC", "GGTC"), ("TTGCA", "TTGGGCA")):
+        altered = F.regexp_replace(altered, word, other)
+    rows = sequences(spark, sf_dir).where("length(seq) >= 400").select(F.col("sequence_id").alias("pair_id"), F.col("seq").alias("ref"), altered.alias("copy"))
+    turned = F.col("pair_id") % 3 == 0
+    at = f"transform(sequence(0, length(ref) - {ANCHOR}, {ANCHOR_STEP}), p -> named_struct('p', cast(p as bigint), 'c', cast(locate(substr(ref, p + 1, {ANCHOR}), copy) - 1 as bigint)))"
+    start = f"if(pair_id % 3 = 0, length(copy) - x.c - {ANCHOR}, x.c)"
+    places = f"transform(filter({at}, x -> x.c >= 0), x -> named_struct('ref_start', x.p, 'ref_end', x.p + {ANCHOR}, 'query_start', cast({start} as bigint), 'query_end', cast({start} + {ANCHOR} as bigint)))"
+    return rows.select("pair_id", "ref", F.when(turned, reverse_complement(F.col("copy"))).otherwise(F.col("copy")).alias("query"), F.lit("+").alias("strand"), F.expr(places).alias("anchors"))
+
+
+GUIDED = f"""guided as (select pair_id, ref, case when pair_id % 3 = 0 then reverse(translate(copy, 'ACGT', 'TGCA')) else copy end as query, copy from (
+  select sequence_id as pair_id, seq as ref, regexp_replace(regexp_replace(regexp_replace(substr(seq, 1, length(seq) // 3) || substr(seq, length(seq) // 3 + 31), 'ACGTA', 'ACTTA', 'g'), 'GGATC', 'GGTC', 'g'), 'TTGCA', 'TTGGGCA', 'g') as copy from sequences where length(seq) >= 400)),
+places as (select pair_id, p, case when pair_id % 3 = 0 then length(copy) - c - {ANCHOR} else c end as s, ref, query from (select *, instr(copy, substr(ref, p + 1, {ANCHOR})) - 1 as c from (select *, unnest(generate_series(0, length(ref) - {ANCHOR}, {ANCHOR_STEP}))::bigint as p from guided)) where c >= 0)"""
+
+
+def truth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chrom, event_id, kind, ref_start, ref_end, query_delta, source_chrom, source_start, source_end): orders as variants of five kinds along five chromosomes."""
+    kind = "element_at(array('DEL', 'INS', 'INV', 'DUP', 'BND'), cast(o_orderkey % 5 + 1 as int))"
+    size = "50 + cast(floor(o_totalprice) as bigint) % 2000"
+    span = f"case o_orderkey % 5 when 1 then 0 when 4 then if(o_custkey % 4 = 0, 30, 0) when 3 then if(o_custkey % 7 = 0, 0, {size}) else {size} end"
+    from_ = "o_orderkey % 5 in (1, 4) and o_custkey % 2 = 0"
+    rows = table(spark, sf_dir, "orders").selectExpr("concat('chr', o_custkey % 5) as chrom", "o_orderkey as event_id", f"{kind} as kind", "o_orderkey * 97 as ref_start", f"o_orderkey * 97 + {span} as ref_end", f"{size} as query_delta",
+        f"if({from_}, concat('chr', o_custkey % 3), null) as source_chrom", f"if({from_}, o_custkey * 31, null) as source_start", f"if({from_}, o_custkey * 31 + o_custkey % 1500, null) as source_end")
+    return rows
+
+
+TRUTH_EVENTS = """truth_events as (select chrom, event_id, kind, ref_start, ref_start + case event_id % 5 when 1 then 0 when 4 then case when cust % 4 = 0 then 30 else 0 end when 3 then case when cust % 7 = 0 then 0 else size end else size end as ref_end, size as query_delta,
+  case when src then 'chr' || (cust % 3) end as source_chrom, case when src then cust * 31 end as source_start, case when src then cust * 31 + cust % 1500 end as source_end from (
+  select 'chr' || (o_custkey % 5) as chrom, o_orderkey as event_id, ['DEL', 'INS', 'INV', 'DUP', 'BND'][o_orderkey % 5 + 1] as kind, o_orderkey * 97 as ref_start, 50 + floor(o_totalprice)::bigint % 2000 as size, o_custkey as cust, o_orderkey % 5 in (1, 4) and o_custkey % 2 = 0 as src from orders))"""
+
+
 def cigars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(q, strand, ts, cigar): an alignment of each line item's two intervals."""
     return table(spark, sf_dir, "lineitem").selectExpr(
