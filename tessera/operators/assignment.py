@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import checkpointed
+
 
 @dataclass(frozen=True)
 class Params:
@@ -22,15 +24,25 @@ PAIR = ["query_anchor_id", "query_sample", "target_sample"]
 COLUMNS = [*PAIR, "target_anchor_id", "status", "method", "score", "edit_distance", "strand", "q_alpha", "r_alpha", "margin", "candidates"]
 
 
-def token_distance(left: Column, right: Column, most: int = 64) -> Column:
-    """Edit distance of two token arrays with at most ``most`` different tokens together.
+#: Different tokens of a pair that have a letter.
+LETTERS = 4096
+
+
+def token_distance(left: Column, right: Column, most: int = LETTERS) -> Column:
+    """Edit distance of two token arrays; over ``most`` different tokens together are an error.
 
     Each different token of the pair becomes one character, so the built-in string distance does the rest.
     """
-    letters = "".join(chr(0x4E00 + k) for k in range(most))
     words = F.array_distinct(F.concat(left, right))
-    spell = lambda side: F.array_join(F.transform(side, lambda x: F.substring(F.lit(letters), F.array_position(words, x).cast("int"), F.lit(1))), "")
-    return F.levenshtein(spell(left), spell(right)).cast("bigint")
+
+    def over(letters: str) -> Column:
+        spell = lambda side: F.array_join(F.transform(side, lambda x: F.substring(F.lit(letters), F.array_position(words, x).cast("int"), F.lit(1))), "")
+        return F.levenshtein(spell(left), spell(right)).cast("bigint")
+
+    # Looking up a letter takes as long as there are letters, so few tokens take them from few.
+    few, all_ = ("".join(chr(0x4E00 + k) for k in range(n)) for n in (min(24, most), most))
+    too_many = F.raise_error(F.lit(f"over {most} different tokens in a pair")).cast("bigint")
+    return F.when(F.size(words) <= len(few), over(few)).when(F.size(words) <= most, over(all_)).otherwise(too_many)
 
 
 def queries(anchors: DataFrame, alpha: DataFrame, samples: DataFrame) -> DataFrame:
@@ -69,22 +81,53 @@ def by_shared_substrings(asked: DataFrame, shared: DataFrame, alpha: DataFrame,
     return _primary(best.where("n = 1"), "shared_tmus")
 
 
-def scored_candidates(asked: DataFrame, anchors: DataFrame, alpha: DataFrame, p: Params = Params(), most: int = 64) -> DataFrame:
+def rarest_first(anchors: DataFrame) -> DataFrame:
+    """(anchor_id, terms): each anchor's tokens, the rarest of all anchors' first; a token's second occurrence is a term of its own."""
+    counted = F.transform("tokens", lambda x, k: F.struct(x.alias("token"), F.size(F.filter(F.slice("tokens", F.lit(1), k), lambda y: y == x)).alias("again")))
+    words = anchors.select("anchor_id", F.explode(counted).alias("x")).select("anchor_id", "x.*")
+    rows = words.join(words.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token")
+    return rows.groupBy("anchor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token", "again"))), lambda x: F.concat_ws("#", x.again.cast("string"), x.token)).alias("terms"))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, levels: DataFrame, p: Params) -> DataFrame:
+    """Pairs of ``left`` (with q_alpha, tokens, terms) and ``right`` (with r_alpha, far, far_terms) of one group and sample pair that can be near enough.
+
+    A score over ``min_score`` needs a distance of at most d = q_alpha + r_alpha - min_score - 1.  Then, of a side's tokens,
+    all but d stand in the other too, so the d + 1 rarest of both have one in common: rows meet by these, once for each
+    alpha of the other side.  A pair stays where they have met by the first of their common terms and have enough of them.  A side
+    of d tokens or fewer need share nothing; it meets all rows of its group and alphas.
+    """
+    keys = ["group_id", "query_sample", "target_sample", "q_alpha", "r_alpha"]
+    room = F.col("q_alpha") + F.col("r_alpha") - F.lit(p.min_score + 1)
+    leveled = lambda rows, other: rows.join(F.broadcast(levels)).withColumn(other, F.explode("levels")).drop("levels").withColumn("room", room).where("room >= 0")
+    ask, have = leveled(left, "r_alpha"), leveled(right, "q_alpha").drop("room")
+    first = lambda terms: F.slice(terms, F.lit(1), (room + 1).cast("int"))
+    long_ask, long_have = F.size("terms") > room, F.size("far_terms") > room
+    one = ask.where(long_ask).withColumn("rarest", first("terms")).withColumn("term", F.explode("rarest"))
+    other = have.where(long_have).withColumn("far_rarest", first("far_terms")).withColumn("term", F.explode("far_rarest"))
+    met = one.join(other, [*keys, "term"]).where(F.element_at(F.array_intersect("rarest", "far_rarest"), 1) == F.col("term")).drop("term", "rarest", "far_rarest")
+    met = met.where(F.size(F.array_intersect("terms", "far_terms")) >= F.greatest(F.size("terms"), F.size("far_terms")) - F.col("room"))
+    short = ask.where(~long_ask).join(have, keys).unionByName(ask.where(long_ask).join(have.where(~long_have), keys))
+    return met.unionByName(short).drop("terms", "far_terms").where(F.abs(F.size("tokens") - F.size("far")) <= F.col("room")).drop("room")
+
+
+def scored_candidates(asked: DataFrame, anchors: DataFrame, alpha: DataFrame, p: Params = Params(), most: int = LETTERS) -> DataFrame:
     """``asked`` with targets of the same group whose ``q_alpha + r_alpha - distance`` is over ``min_score``; the distance is the smaller of the forward and the reversed one.
 
-    Only rows whose alphas leave room for a distance of their difference in length are measured; queries
-    and targets meet by group and sample pair, never across groups.
+    Only pairs that share enough tokens for it are measured (see near_pairs).
     """
-    far = alpha.join(anchors.select("anchor_id", F.col("sample").alias("target_sample"), "group_id", F.col("tokens").alias("far")), "anchor_id")
-    far = far.select(F.col("anchor_id").alias("target_anchor_id"), "target_sample", F.col("of_sample").alias("query_sample"), "group_id", "far", F.col("alpha").alias("r_alpha"))
-    room = F.col("q_alpha") + F.col("r_alpha") - F.abs(F.size("tokens") - F.size("far")) > p.min_score
-    met = asked.where("q_alpha > 0").join(far, ["group_id", "query_sample", "target_sample"]).where(room)
+    terms = checkpointed(rarest_first(anchors))
+    far = alpha.join(anchors.select("anchor_id", F.col("sample").alias("target_sample"), "group_id", F.col("tokens").alias("far")), "anchor_id").join(terms.withColumnRenamed("terms", "far_terms"), "anchor_id")
+    far = far.select(F.col("anchor_id").alias("target_anchor_id"), "target_sample", F.col("of_sample").alias("query_sample"), "group_id", "far", "far_terms", F.col("alpha").alias("r_alpha"))
+    levels = alpha.agg(F.array_sort(F.collect_set("alpha")).alias("levels"))
+    left = asked.where("q_alpha > 0").join(terms.withColumnRenamed("anchor_id", "query_anchor_id"), "query_anchor_id")
+    met = near_pairs(left, far, levels, p)
     ways = met.withColumn("plus", token_distance(F.col("tokens"), F.col("far"), most)).withColumn("minus", token_distance(F.reverse("tokens"), F.col("far"), most))
     scored = ways.withColumn("edit_distance", F.least("plus", "minus")).withColumn("strand", F.when(F.col("minus") < F.col("plus"), "-").otherwise("+"))
     return scored.withColumn("score", F.col("q_alpha") + F.col("r_alpha") - F.col("edit_distance")).where(F.col("score") > p.min_score)
 
 
-def by_edit_distance(asked: DataFrame, anchors: DataFrame, alpha: DataFrame, p: Params = Params(), most: int = 64) -> DataFrame:
+def by_edit_distance(asked: DataFrame, anchors: DataFrame, alpha: DataFrame, p: Params = Params(), most: int = LETTERS) -> DataFrame:
     """The best candidate as primary if it leads by ``margin`` or is alone, else all within ``margin`` of it as ambiguous."""
     over = Window.partitionBy(*PAIR)
     order = over.orderBy(F.desc("score"), "edit_distance", "target_anchor_id")
