@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import sequence as fx
-from tessera.operators import alignment, anchors, assignment, chains, components, evaluation, intervals, matching, refinement, tokens, trimming
+from tessera.operators import alignment, anchors, assignment, chains, components, evaluation, extension, intervals, matching, patching, refinement, tokens, trimming
 from tessera.operators.lineage import checkpointed
 from tessera.sources import formats
 from tessera.sources import tables as src
@@ -613,6 +613,27 @@ def chain_context(spark, d):
     return trimming.chain_context(trimmed_chains(spark, d))
 
 
+#: Extensions over planted pairs.
+EXTENSION = extension.Extension(dataclasses.replace(PLANTED, max_gap=20_000), min_anchors=3, min_score=20.0)
+
+
+def _extension(spark, d):
+    bundles = checkpointed(_trimmed(spark, d).where("anchors >= 12").select(*chains.TRACK, "chain_no", "ref_start", "ref_end", "query_start", "query_end", F.col("chain_score").alias("score")))
+    return bundles, extension.extension_attempts(bundles, src.planted_pairs(spark, d), EXTENSION)
+
+
+@query()
+def extension_attempts(spark, d):
+    """Gaps between neighbouring bundles: whether the left one extends into them, what they are, and why they stay open."""
+    return _extension(spark, d)[1]
+
+
+@query()
+def extended_bundles(spark, d):
+    """Bundles with their bounds and scores after extension."""
+    return extension.extended(*_extension(spark, d))
+
+
 @query()
 def chains_in_context(spark, d):
     """Trimmed chains that stand on their track's skeleton or may be structural: counts and anchors by track and class, and what was rejected."""
@@ -629,6 +650,28 @@ def _turn_pairs(spark, d):
     return rows.withColumn("pair_id", F.xxhash64("conv_id", "turn"))
 
 
+#: Thresholds that the line items' short alignments are on both sides of.
+PATCHES = patching.Quality(window=25, long_indel=60, flank=20, extra_indel=10, error_density=0.2, endpoint_identity=0.9)
+PATCHED = src.CIGARS + """,
+ops as (select cigar, k, regexp_extract_all(cigar, '([0-9]+)([=XID])', 1)[k]::bigint as n, regexp_extract_all(cigar, '([0-9]+)([=XID])', 2)[k] as op from (select cigar, unnest(generate_series(1, len(regexp_extract_all(cigar, '[=XID]')))) as k from (select distinct cigar from cigars))),
+parts as (select *, op in ('I', 'D') and n >= 60 as far, sum(case when op in ('I', 'D') and n >= 60 then 1 else 0 end) over (partition by cigar order by k) as seg from ops),
+bases as (select cigar, seg, (op <> '=')::int as wrong, row_number() over (partition by cigar order by k, i) as ahead, row_number() over (partition by cigar order by k desc, i desc) as back, count(*) over (partition by cigar, seg) as size,
+  row_number() over (partition by cigar, seg order by k, i) as own from (select *, unnest(generate_series(1, n)) as i from parts where not far)),
+dens as (select cigar, max(w) as density from (select cigar, own, size, sum(wrong) over (partition by cigar, seg order by own rows between 24 preceding and current row) / least(size, 25) as w from bases) where own >= least(size, 25) group by cigar),
+edge as (select cigar, 1 - sum(wrong) filter (where ahead <= 25) / count(*) filter (where ahead <= 25) as l, 1 - sum(wrong) filter (where back <= 25) / count(*) filter (where back <= 25) as r from bases group by cigar),
+seg as (select cigar, seg, sum(n) filter (where op in ('=', 'X') and not far) as a, sum(n) filter (where op = '=') as e from parts group by 1, 2),
+segs as (select cigar, bool_and(coalesce(a, 0) >= 20 and coalesce(e, 0) / a >= 0.95) as flanks, bool_and(coalesce(a, 0) >= 20 and coalesce(e, 0) / a >= 0.99) as very from seg group by cigar),
+sums as (select cigar, sum(n) filter (where op = '=') / sum(n) as identity, count(*) filter (where far) as long_indels, coalesce(sum(n) filter (where op in ('I', 'D') and not far), 0) as extra, count(distinct op) filter (where far) as kinds from parts group by cigar)"""
+
+
+@query("""select cigar, identity, l as left_identity, r as right_identity, density as error_density, long_indels, l < 0.9 or r < 0.9 or density > 0.2 as low_quality, case when long_indels > 0 then extra else 0 end::bigint as extra_indel,
+  case when long_indels = 1 and flanks and extra <= 10 then 'long_indel' when long_indels > 1 and kinds = 1 and very and extra <= 100 and density <= 0.15 and l >= 0.9 and r >= 0.9 then 'multi_event' else 'none' end as rescue
+  from sums join dens using (cigar) join edge using (cigar) join segs using (cigar)""", PATCHED)
+def patch_quality(spark, d):
+    """Quality of the line items' alignments as patches of gaps."""
+    return patching.patch_quality(src.cigars(spark, d), PATCHES)
+
+
 @query()
 def fallback_align(spark, d):
     """Unit-cost global alignments of each conversation turn's letters with the next turn's."""
