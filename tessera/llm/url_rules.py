@@ -98,17 +98,20 @@ def mine_rules(labelled: DataFrame, p: Params = Params()) -> DataFrame:
     is what a URL of many tokens needs: parts of one URL alone are no rules, and parts that go
     together are one item.  ``key`` is the rule's rarest token among labelled rows, for the index.
     """
-    sizes = labelled.agg(F.count("*").alias("rows"), F.coalesce(F.count_if("bad"), F.lit(0)).alias("bad_rows")).first()
+    sizes = labelled.agg(F.count("*").alias("rows")).first()
     least = max(p.min_rows, math.ceil(p.min_support * sizes["rows"]), 1)
     items = checkpointed(useful_items(labelled, least))
     sure = items.where("hits = bads").select(F.array("item").alias("tokens"), F.col("item").alias("key"), F.lit(1.0).alias("confidence"), (F.col("bads") / F.lit(float(max(sizes["rows"], 1)))).alias("support"))
     mixed = items.where("hits > bads").select("item", "hits")
     rows = labelled.select("row", "bad", F.explode("tokens").alias("item")).join(mixed, "item")
     baskets = checkpointed(rows.groupBy("row", "bad").agg(F.collect_list("item").alias("items")))
-    if not sizes["bad_rows"]:
+    # Bad rows without a mixed item are no baskets, so the share is of the baskets.
+    bad_baskets = baskets.where("bad").select("items")
+    n = bad_baskets.count()
+    if n < least:
         return sure
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / sizes["bad_rows"])).fit(baskets.where("bad").select("items"))
-    found = model.freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bads"))
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n).fit(bad_baskets)
+    found = model.freqItemsets.where(F.col("freq") >= least).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bads"))
     # Good rows of each combination: its rarest token finds it, as in matching.
     rarest = found.select("tokens", "bads", F.explode("tokens").alias("item")).join(mixed, "item").groupBy("tokens").agg(F.first("bads").alias("bads"), F.min(F.struct("hits", "item")).alias("least"))
     found = checkpointed(rarest.select("tokens", "bads", F.col("least.item").alias("key")))

@@ -204,6 +204,13 @@ def test_mined_rules_against_all_token_sets(spark):
     assert all(got[k] == pytest.approx(sure[k]) for k in sure)
 
 
+def test_rules_hold_the_least_support_where_most_bad_rows_have_sure_tokens_only(spark):
+    rows = [(k, ["sure"], True) for k in range(300)] + [(300 + k, ["p", "q", "sure"], True) for k in range(3)] + [(310 + k, ["p", f"r{k}"], k < 9) for k in range(40)] + [(360 + k, ["q", f"r{k}"], k < 9) for k in range(40)]
+    p = url_rules.Params(min_support=0.02, min_confidence=0.2)  # eight rows at least
+    got = {tuple(r.tokens) for r in url_rules.mine_rules(spark.createDataFrame(rows, "row long, tokens array<string>, bad boolean"), p).collect()}
+    assert ("sure",) in got and ("p", "q") not in got and ("p",) in got
+
+
 def test_long_urls_end(spark):
     long = ["http://h.net/" + "/".join(f"p{k}" for k in range(200)) + "?" + "&".join(f"k{k}=1" for k in range(200)), "http://h.net/" + "/".join(f"p{k}" for k in range(200)) + "/more"]
     rows = [(k, long[k] if k < 2 else f"http://h.net/x{k}", None) for k in range(51)]
