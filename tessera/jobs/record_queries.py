@@ -176,7 +176,7 @@ def sv_maximum_matching(spark, d):
     return records.maximum_matching(sv_band_match_edges(spark, d))
 
 
-@query("select chrom, least(n, 9) as ac, count(*) as alleles from (select chrom, pos, kind, size, count(*) as n from sv_events group by all) group by 1, 2", src.SV_EVENTS)
+@query("select chrom, n as ac, count(*) as alleles from (select chrom, pos, kind, size, count(*) as n from sv_events group by all) group by 1, 2", src.SV_EVENTS)
 def allele_count_distribution(spark, d):
     """Alleles of every chromosome by the number of records that have them."""
     return records.allele_counts(src.sv_events(spark, d))

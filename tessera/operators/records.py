@@ -51,10 +51,11 @@ def bed_lines(anchors: DataFrame) -> DataFrame:
 
 
 def parse_bed(lines: DataFrame) -> DataFrame:
-    """(sequence_id, start, end, anchor_id, score) of BED lines of four columns or more, split at white space; comments and blank lines are left out."""
+    """(sequence_id, start, end, anchor_id, score) of BED lines, split at white space; comments and blank lines are left out, a line of under four columns is an error."""
     c = F.split(F.trim("value"), r"\s+")
-    kept = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "") & (F.size(c) >= 4))
-    return kept.select(c[0].alias("sequence_id"), c[1].cast("bigint").alias("start"), c[2].cast("bigint").alias("end"), c[3].alias("anchor_id"), F.get(c, F.lit(4)).cast("double").alias("score"))
+    kept = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    name = F.when(F.size(c) >= 4, c[0]).otherwise(F.raise_error(F.concat(F.lit("BED line of under four columns: "), "value")).cast("string"))
+    return kept.select(name.alias("sequence_id"), F.get(c, F.lit(1)).cast("bigint").alias("start"), F.get(c, F.lit(2)).cast("bigint").alias("end"), F.get(c, F.lit(3)).alias("anchor_id"), F.get(c, F.lit(4)).cast("double").alias("score"))
 
 
 def towards_reference(rows: DataFrame, query_reference: Column, target_reference: Column) -> DataFrame:
@@ -176,9 +177,9 @@ def without_leading_match(cigar: Column, bases: int) -> Column:
 
 
 def allele_counts(events: DataFrame) -> DataFrame:
-    """(chrom, ac, alleles): distinct alleles by how many records have them, nine and more together."""
+    """(chrom, ac, alleles): distinct alleles by how many records have them."""
     per = events.groupBy("chrom", "pos", "kind", "size").agg(F.count("*").alias("n"))
-    return per.groupBy("chrom", F.least("n", F.lit(9).cast("bigint")).alias("ac")).agg(F.count("*").alias("alleles"))
+    return per.groupBy("chrom", F.col("n").alias("ac")).agg(F.count("*").alias("alleles"))
 
 
 def delta_summary(rows: DataFrame, limits: tuple[int, ...] = (10, 50, 100, 500, 1000)) -> DataFrame:

@@ -26,9 +26,9 @@ def parse_fasta(records: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(sample, sequence_id, seq, valid) of FASTA files, plain or compressed; one row a record, split at ``>``."""
-    rows = spark.read.option("lineSep", ">").text(path).withColumn("sample", sample_name(F.input_file_name()))
-    return parse_fasta(rows)
+    """(sample, sequence_id, seq, valid) of FASTA files, plain or compressed; one row a record, split where a line begins with ``>``."""
+    rows = spark.read.option("lineSep", "\n>").text(path).withColumn("sample", sample_name(F.input_file_name()))
+    return parse_fasta(rows.withColumn("value", F.regexp_replace("value", r"\A>", "")))  # that of the file's first line
 
 
 def fasta_records(sequences: DataFrame, width: int = 80) -> DataFrame:

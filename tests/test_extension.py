@@ -32,7 +32,7 @@ def test_outcomes(spark):
     assert said[("+", 3)] == ("query_deletion", "single_axis_reached", 0, 0)
     assert said[("+", 4)] == ("partial_extension", "best_partial_path", 2, 2)
     assert said[("+", 5)] == ("unresolved_gap", "below_threshold", 1, 1) and ("+", 6) not in said  # the last two cross on the query axis
-    assert said[("-", 0)][0] == "partial_extension" and got[("-", 0)].anchors >= 4
+    assert said[("-", 0)] == ("partial_extension", "best_partial_path_overlap_clipped", 3, 2)
     after = {(r.strand, r.chain_no): r for r in extension.extended(made, attempts).collect()}
     assert len(after) == len(bundles) and after["+", 0].extended and after["+", 0].ref_end == 290 and after["+", 0].score > 9 and not after["+", 1].extended
     assert after["-", 0].query_start < 900 and after["-", 0].query_end == 1000
@@ -58,7 +58,7 @@ def attempt_by_hand(gap, rows, e):
 
 
 def test_paths_against_loops():
-    rng = np.random.default_rng(1)
+    rng, found = np.random.default_rng(1), 0
     e = extension.Extension(chains.Params(predecessors=5, max_gap=300, max_ratio=2.5, gap_unit=10.0, gap_weight=0.1), min_anchors=1, min_score=-1e9, half=0)
     for plus in (True, False):
         for _ in range(40):
@@ -69,7 +69,12 @@ def test_paths_against_loops():
             rows = [(a, b, s) for (a, b), s in rows]
             got = extension.attempt(gap, *(np.array(x) for x in zip(*rows)), e)
             want = attempt_by_hand(gap, rows, e)
-            assert want and (got["extension_score"], got["anchors"]) == (pytest.approx(want[0]), want[1])
+            if want is None:
+                assert got["stop_reason"] == "no_reachable_candidate"
+                continue
+            found += 1
+            assert (got["extension_score"], got["anchors"]) == (pytest.approx(want[0]), want[1])
+    assert found > 40
 
 
 def quality_by_hand(cigar, p):
