@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import sequence as fx
 from tessera.jobs.queries import GAPS, TOKENS, _tokens, query, sv_band_match_edges, truth_boundary_best
 from tessera.operators import intervals, records, stitching, truth
 from tessera.operators.evaluation import failure_modes
@@ -104,6 +105,19 @@ def locus_names(spark, d):
     return rows.groupBy("name", records.safe_name(F.col("name")).alias("safe"), "start", "end").agg(F.count("*").alias("n"))
 
 
+@query("""select pair_id, sum(case when a = b then 1 else 0 end)::bigint as matches, count(*)::bigint as columns, sum(case when (a = b) is distinct from before then 1 else 0 end)::bigint as runs from (select *, lag(a = b) over (partition by pair_id order by i) as before from (
+  select pair_id, i, substr(ref, i, 1) as a, substr(copy, i, 1) as b from (select *, unnest(generate_series(1, least(length(ref), length(copy)))) as i from guided))) group by pair_id""", src.SEQUENCES + ",\n" + src.GUIDED)
+def matches_expanded(spark, d):
+    """The columns that sequences and their altered copies both have as one M operation, told apart by letters."""
+    rows = src.guided_pairs(spark, d)
+    query = F.when(F.col("pair_id") % 3 == 0, fx.reverse_complement(F.col("query"))).otherwise(F.col("query"))
+    n = F.least(F.length("ref"), F.length(query))
+    pairs = rows.select("pair_id", F.substring("ref", F.lit(1), n).alias("ref"), F.substring(query, F.lit(1), n).alias("query"), F.concat(n.cast("string"), F.lit("M")).alias("cigar"))
+    done = stitching.expand_matches(pairs)
+    ops = fx.cigar_ops(F.col("cigar"))
+    return done.select("pair_id", "matches", fx.consumed(ops, "=X").alias("columns"), F.size(ops).cast("bigint").alias("runs"))
+
+
 TRUTH_RULE = "recursive " + src.TRUTH_EVENTS + """,
 sized as (select *, greatest(ref_end - ref_start, 0) as span, case when ref_end > ref_start then ref_end - ref_start else query_delta end as len from truth_events),
 reach as (select *, case when kind in ('INV', 'DUP') then ref_start + len when kind = 'DEL' or (kind = 'BND' and span > 0) then ref_end else ref_start end as stop from sized),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,3 +132,36 @@ def anchor_guided(pairs: DataFrame) -> DataFrame:
     bases = F.aggregate(F.transform(F.regexp_extract_all("cigar", F.lit("([0-9]+)"), F.lit(1)), lambda x: x.cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
     said = voted.select("pair_id", F.col("effective").alias("strand")).join(done.withColumn("block_length", bases), "pair_id", "left")
     return said.select("pair_id", "strand", "cigar", "score", "matches", "block_length", F.coalesce("guides", F.lit(0).cast("bigint")).alias("guides"))
+
+
+def expanded(cigar: str, ref: str, query: str) -> str:
+    """A CIGAR with its M operations as runs of = and X by the texts' letters; one that doesn't consume both texts is an error."""
+    r, q = (np.frombuffer(x.upper().encode(), dtype=np.uint8) for x in (ref, query))
+    i = j = 0
+    out = []
+    for n, op in _RUN.findall(cigar):
+        n = int(n)
+        if op == "M":
+            if i + n > len(r) or j + n > len(q):
+                break
+            same = r[i : i + n] == q[j : j + n]
+            edges = np.flatnonzero(np.diff(same)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), n]):
+                out.append(f"{b - a}{'=' if same[a] else 'X'}" if b > a else "")
+        else:
+            out.append(f"{n}{op}")
+        i, j = i + n * (op != "I"), j + n * (op != "D")
+    if (i, j) != (len(r), len(q)) or _RUN.sub("", cigar):
+        raise ValueError(f"the CIGAR doesn't fit texts of {len(r)} and {len(q)} letters: {cigar[:80]}")
+    return merged("".join(out))
+
+
+def expand_matches(rows: DataFrame) -> DataFrame:
+    """(pair_id, cigar, matches) of rows (pair_id, ref, query, cigar) with M operations told apart."""
+
+    def run(batches):
+        for batch in batches:
+            done = [expanded(c, a, b) for c, a, b in zip(batch["cigar"], batch["ref"], batch["query"])]
+            yield pd.DataFrame({"pair_id": batch["pair_id"], "cigar": done, "matches": [sum(int(n) for n, op in _RUN.findall(c) if op == "=") for c in done]})
+
+    return rows.select("pair_id", "ref", "query", "cigar").mapInPandas(run, f"pair_id {dict(rows.dtypes)['pair_id']}, cigar string, matches long")

@@ -182,3 +182,13 @@ def test_graph_paths_spell_the_changed_sequence(spark):
 @pytest.mark.parametrize("text,want", [("", ""), ("3=4=", "7="), ("0X3=0I2X1X", "3=3X")])
 def test_merged_runs(text, want):
     assert stitching.merged(text) == want
+
+
+def test_expanded_matches(spark):
+    assert stitching.expanded("4M", "ACGT", "aCcT") == "2=1X1=" and stitching.expanded("2M1D1M2I1=", "ACGTA", "ATTGGA") == "1=1X1D1=2I1="
+    assert stitching.expanded("", "", "") == "" and stitching.expanded("0M2=", "AC", "AC") == "2="
+    for cigar in ("3M", "5M", "4", "4M1S"):
+        with pytest.raises(ValueError):
+            stitching.expanded(cigar, "ACGT", "ACGT")
+    rows = spark.createDataFrame([(7, "ACGT", "ACCT", "4M")], "pair_id long, ref string, query string, cigar string")
+    assert [tuple(r) for r in stitching.expand_matches(rows).collect()] == [(7, "2=1X1=", 3)]
