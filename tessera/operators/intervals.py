@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.dyadic import overlap_pairs
+
 
 def islands(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """(keys, start, end) of merged overlapping or touching intervals.
@@ -75,12 +77,11 @@ def top_gaps(gaps: DataFrame, n: int = 3) -> DataFrame:
 def best_overlap(truth: DataFrame, calls: DataFrame, width: int = 64) -> DataFrame:
     """(q, strand, qs, qe, best_overlap, best_qs, best_qe) of each distinct truth interval: its call of the largest query overlap on its query and strand.
 
-    Calls are looked up by cells of ``width`` positions; per cell and call start only the furthest end
-    stays, which is the best of those for any truth interval.
+    Calls are met through blocks of cells of ``width`` positions; per call start only the furthest end stays, which is the
+    best of those for any truth interval.
     """
-    cells = lambda a, b: F.explode(F.sequence(F.expr(f"{a} div {width}"), F.expr(f"({b} - 1) div {width}"))).alias("cell")
     t = truth.select("q", "strand", "qs", "qe").where("qe > qs").distinct()
     c = calls.where("qe > qs").groupBy("q", "strand", F.col("qs").alias("cs")).agg(F.max("qe").alias("ce")).select("q", "strand", "cs", "ce")
-    met = t.select("*", cells("qs", "qe")).join(c.select("*", cells("cs", "ce")), ["q", "strand", "cell"]).withColumn("overlap", F.least("qe", "ce") - F.greatest("qs", "cs")).where("overlap > 0")
+    met = overlap_pairs(t, c, ["q", "strand"], ("qs", "qe"), ("cs", "ce"), width).withColumn("overlap", F.least("qe", "ce") - F.greatest("qs", "cs"))
     best = met.groupBy("q", "strand", "qs", "qe").agg(F.max(F.struct("overlap", (-F.col("cs")).alias("a"), (-F.col("ce")).alias("b"))).alias("x"))
     return t.join(best, ["q", "strand", "qs", "qe"], "left").select("q", "strand", "qs", "qe", F.coalesce("x.overlap", F.lit(0).cast("bigint")).alias("best_overlap"), (-F.col("x.a")).alias("best_qs"), (-F.col("x.b")).alias("best_qe"))
