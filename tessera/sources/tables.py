@@ -6,7 +6,7 @@ that queries and their SQL start from equal rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.sequence import reverse_complement
@@ -136,3 +136,99 @@ def sv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SV_EVENTS = """sv_events as (select o_orderkey as event_id, o_orderkey % 3 as setno, 'chr' || (o_custkey % 5) as chrom, (o_custkey * 13) % 100000 as pos,
   case when o_orderstatus = 'F' then 'DEL' else 'INS' end as kind, 50 + floor(o_totalprice)::bigint % 2000 as size from orders)"""
+
+
+#: The copy of planted duplications that a place of the reference has on the query axis.
+_MIRROR = "{0} + 40000 + (({0} {1} 4000) * 7919 % 13 - 6) * 400"
+#: Hexadecimal digits and the bases that stand for them.
+_HEX, _BASES = "0123456789abcdef", "ACGTACGTACGTACGT"
+
+
+def dup_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(truth_id, q, t, ref_start, ref_end, query_start, query_end, pct_sequence, pct_size, source): orders as duplications that were missed, with the bases of one copy."""
+    size = "20 + cast(floor(o_totalprice) as bigint) % 300"
+    start = _MIRROR.format("o_orderkey", "div")
+    return table(spark, sf_dir, "orders").where("o_orderkey % 5 = 3").selectExpr(
+        "o_orderkey as truth_id", "concat('q', (o_orderkey div 5) % 7) as q", "concat('t', (o_orderkey div 5) % 5) as t", "o_orderkey as ref_start", f"o_orderkey + {size} as ref_end", f"{start} as query_start",
+        f"{start} + 2 * ({size}) + o_custkey % 2 as query_end", "if(o_custkey % 3 <> 1, null, cast(o_custkey % 10 as double) / 10) as pct_sequence", "if(o_custkey % 3 <> 1, null, cast(o_custkey % 7 as double) / 7) as pct_size",
+        f"translate(md5(cast(o_orderkey as string)), '{_HEX}', '{_BASES}') as source",
+    )
+
+
+def dup_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(call_id, q, t, pos, call_size, genotype, ref, alt): orders as insertion calls; some hold most of a neighbouring duplication's bases."""
+    alt = f"concat('A', substr(translate(md5(cast(o_orderkey - o_orderkey % 5 + 3 as string)), '{_HEX}', '{_BASES}'), cast(1 + o_custkey % 9 as int)))"
+    return table(spark, sf_dir, "orders").where("o_orderkey % 5 in (1, 2) and o_custkey % 7 = 0").selectExpr(
+        "o_orderkey as call_id", "concat('q', (o_orderkey div 5) % 7) as q", "concat('t', (o_orderkey div 5) % 5) as t", "o_orderkey + o_custkey % 1200 - 600 as pos", "10 + cast(floor(o_totalprice) as bigint) % 600 as call_size",
+        "if(o_orderstatus = 'F', '0/1:9', '0/0:3') as genotype", "'A' as ref", f"if(o_custkey % 4 = 0, '<DUP>', {alt}) as alt",
+    )
+
+
+def dup_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q, t, ts, te, qs, qe, cigar): line items as alignment records along the planted copies, some with an insertion in the middle."""
+    half, grown = "cast(l_quantity as bigint) * 4", "if(l_linenumber % 3 = 0, cast(l_quantity as bigint) * 5, 0)"
+    at = _MIRROR.format("l_orderkey", "div")
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('q', l_partkey % 7) as q", "concat('t', l_suppkey % 5) as t", "l_orderkey as ts", f"l_orderkey + 2 * {half} as te", f"{at} as qs", f"{at} + 2 * {half} + {grown} as qe",
+        f"concat({half}, '=', if({grown} > 0, concat({grown}, 'I'), ''), {half}, '=') as cigar",
+    )
+
+
+DUPLICATIONS = f"""planted as (select 'q' || (l_partkey % 7) as q, 't' || (l_suppkey % 5) as t, l_orderkey as ts, case when l_linenumber >= 6 then 40000 + l_partkey * 7919 % 60000 else 40000 + l_orderkey // 4000 * 4000
+  + case when l_orderkey // 4000 % 5 = 3 then 4000 - l_orderkey % 4000 else l_orderkey % 4000 end + (l_orderkey // 4000 * 7919 % 13 - 6) * 400 + case when l_orderkey // 4000 % 11 = 7 then 9000 else 0 end + case when l_linenumber = 5 then 700 else 0 end
+  + l_quantity::bigint % 3 end as qs, l_linestatus = 'O' and l_linenumber < 5 as both from lineitem),
+dup_truths as (select o_orderkey as truth_id, 'q' || (o_orderkey // 5 % 7) as q, 't' || (o_orderkey // 5 % 5) as t, o_orderkey as ref_start, o_orderkey + 20 + floor(o_totalprice)::bigint % 300 as ref_end, {_MIRROR.format("o_orderkey", "//")} as query_start,
+  {_MIRROR.format("o_orderkey", "//")} + 2 * (20 + floor(o_totalprice)::bigint % 300) + o_custkey % 2 as query_end, 20 + floor(o_totalprice)::bigint % 300 as size, case when o_custkey % 3 = 1 then (o_custkey % 10)::double / 10 end as pct_sequence,
+  case when o_custkey % 3 = 1 then (o_custkey % 7)::double / 7 end as pct_size, translate(md5(o_orderkey::varchar), '{_HEX}', '{_BASES}') as source from orders where o_orderkey % 5 = 3),
+dup_calls as (select o_orderkey as call_id, 'q' || (o_orderkey // 5 % 7) as q, 't' || (o_orderkey // 5 % 5) as t, o_orderkey + o_custkey % 1200 - 600 as pos, 10 + floor(o_totalprice)::bigint % 600 as call_size,
+  case when o_custkey % 4 > 0 then substr(translate(md5((o_orderkey - o_orderkey % 5 + 3)::varchar), '{_HEX}', '{_BASES}'), 1 + o_custkey % 9) else '' end as inserted from orders where o_orderkey % 5 in (1, 2) and o_custkey % 7 = 0 and o_orderstatus = 'F'),
+dup_records as (select 'q' || (l_partkey % 7) as q, 't' || (l_suppkey % 5) as t, l_orderkey as ts, l_orderkey + 8 * l_quantity::bigint as te, {_MIRROR.format("l_orderkey", "//")} as qs, l_quantity::bigint * 4 as half,
+  case when l_linenumber % 3 = 0 then l_quantity::bigint * 5 else 0 end as grown from lineitem)"""
+
+
+def decided_gaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(gaps, extensions, patches) of orders as chains along four samples: every third chain is lost in the end, half of those by merging into the one before."""
+    rows = table(spark, sf_dir, "orders").selectExpr("concat('s', o_custkey % 4) as sample", "o_orderkey as no", "o_orderkey * 50 as ref_start", "30 + cast(floor(o_totalprice) as bigint) % 100 as size")
+
+    def neighbours(chains: DataFrame) -> DataFrame:
+        over = Window.partitionBy("sample").orderBy("no")
+        pairs = chains.withColumns({"right_no": F.lead("no").over(over), "right_ref": F.lead("ref_start").over(over)}).where("right_no is not null")
+        return pairs.selectExpr("sample", "no as left_no", "right_no", "right_ref - ref_start - size as ref_gap", "right_ref - ref_start - size + right_no % 7 as query_gap", "right_ref", "right_ref + 17 as right_query")
+
+    every = neighbours(rows)
+    extensions = every.where("left_no % 4 <> 1").withColumn("stop_reason", F.expr("if(right_no % 6 = 0, 'gap_too_large', 'best_partial_path')"))
+    status = "element_at(array('patched', 'patch_interval_low_identity', 'patch_zdrop_reject', 'patch_too_short'), cast(right_no % 4 as int) + 1)"
+    patches = every.where("right_no % 5 < 3").withColumns({"status": F.expr(status), "merge": F.expr("right_no % 6 = 0")})
+    return neighbours(rows.where("no % 3 <> 0")), extensions, patches
+
+
+def _neighbours(rows: str) -> str:
+    return f"""select sample, left_no, right_no, ref_gap, ref_gap + right_no % 7 as query_gap, right_ref, right_ref + 17 as right_query from (
+  select sample, no as left_no, lead(no) over w as right_no, lead(ref_start) over w - ref_start - size as ref_gap, lead(ref_start) over w as right_ref from {rows} window w as (partition by sample order by no)) where right_no is not null"""
+
+
+DECIDED_GAPS = f"""recursive chain as (select 's' || (o_custkey % 4) as sample, o_orderkey as no, o_orderkey * 50 as ref_start, 30 + floor(o_totalprice)::bigint % 100 as size from orders),
+every as ({_neighbours("chain")}), gaps as ({_neighbours("(select * from chain where no % 3 <> 0)")}),
+extensions as (select *, case when right_no % 6 = 0 then 'gap_too_large' else 'best_partial_path' end as stop_reason from every where left_no % 4 <> 1),
+patches as (select *, ['patched', 'patch_interval_low_identity', 'patch_zdrop_reject', 'patch_too_short'][right_no % 4 + 1] as status, right_no % 6 = 0 as merge from every where right_no % 5 < 3),
+root as (select no, no as m from chain where no not in (select right_no from patches where merge) union all select p.right_no, r.m from root r join patches p on p.left_no = r.no and p.merge)"""
+
+
+def track_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as alignment records along tracks of both strands; many overlap their neighbour on one axis or both."""
+    arm, grown = "(300 + cast(l_quantity as bigint) * 10)", "if(l_discount >= 0.05, cast(round(l_discount * 1000) as bigint), 0)"
+    inserted = "l_returnflag = 'A'"
+    query_bases = f"(2 * {arm} + 10 + if({inserted}, {grown}, 0))"
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('q', l_partkey % 7) as q", "1000000000L as qlen", f"if(l_returnflag = 'R', 1000000000 - l_orderkey * 80 - 500 - {query_bases}, l_orderkey * 80 + 500) as qs", f"{query_bases} as n", "if(l_returnflag = 'R', '-', '+') as strand",
+        "concat('t', l_suppkey % 5) as t", "l_orderkey * 70 as ts", f"l_orderkey * 70 + 2 * {arm} + 10 + if({inserted}, 0, {grown}) as te", "l_orderkey * 10 + l_linenumber as chain_no",
+        f"concat({arm}, '=10X', if({grown} > 0, concat({grown}, if({inserted}, 'I', 'D')), ''), {arm}, '=') as cigar", f"2 * {arm} as matches", f"2 * {arm} + 10 + {grown} as block", f"2 * {arm} - 10 - {grown} as score",
+    )
+    return rows.selectExpr("q", "qlen", "qs", "qs + n as qe", "strand", "t", "ts", "te", "chain_no", "cigar", "matches", "block", "score", "'raw' as source", "'direct' as mode", "0L as patches")
+
+
+TRACK_RECORDS = """parts as (select 'q' || (l_partkey % 7) as q, 't' || (l_suppkey % 5) as t, case when l_returnflag = 'R' then '-' else '+' end as strand, l_orderkey as k, l_orderkey * 10 + l_linenumber as chain_no, 300 + l_quantity::bigint * 10 as arm,
+  case when l_discount >= 0.05 then round(l_discount * 1000)::bigint else 0 end as grown, l_returnflag = 'A' as ins from lineitem),
+sized as (select *, k * 80 + 500 as o_start, k * 80 + 510 + 2 * arm + case when ins then grown else 0 end as o_end, k * 70 as ts, k * 70 + 2 * arm + 10 + case when ins then 0 else grown end as te,
+  '10X' || case when grown > 0 then grown || case when ins then 'I' else 'D' end else '' end || arm || '=' as rest from parts),
+placed as (select *, row_number() over (partition by t, q, strand order by ts, case when strand = '+' then o_start else 1000000000 - o_end end, te, chain_no) as place from sized)"""
