@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.jobs.queries import query
 from tessera.operators import evidence, normalising, records
+from tessera.operators.lineage import checkpointed
 from tessera.sources import tables as src
 
 #: Bases around a variant in which evidence is counted.
@@ -126,16 +127,20 @@ def records_normalised(spark, d):
     return normalising.normalised(src.track_records(spark, d), NORMALISING)
 
 
-def _cut_pairs(spark, d):
-    """Two records of each sequence and its altered copy that overlap by one anchor on the reference; chunks of both."""
-    pairs = src.guided_pairs(spark, d).select("pair_id", "ref", "query", F.expr("cast(length(ref) div 2 as bigint)").alias("h"), F.expr("cast(length(query) div 2 as bigint)").alias("c"), F.length("ref").cast("bigint").alias("m"), F.length("query").cast("bigint").alias("n"))
-    turned = F.col("pair_id") % 3 == 0
-    first = F.struct((F.col("pair_id") * 2).alias("chain_no"), F.lit(0).cast("bigint").alias("ts"), (F.col("h") + src.ANCHOR).alias("te"), F.when(turned, F.col("n") - F.col("c")).otherwise(0).alias("qs"), F.when(turned, F.col("n")).otherwise(F.col("c")).alias("qe"))
-    second = F.struct((F.col("pair_id") * 2 + 1).alias("chain_no"), F.col("h").alias("ts"), F.col("m").alias("te"), F.when(turned, 0).otherwise(F.col("c")).alias("qs"), F.when(turned, F.col("n") - F.col("c")).otherwise(F.col("n")).alias("qe"))
+def _anchor_records(spark, d):
+    """Records from each anchor of a sequence and its altered copy to the end of the next one, as far as both sides are about as long; chunks of both.
+
+    On the reference each overlaps the next by one anchor, on the query it ends where that begins.
+    """
+    pairs = checkpointed(src.guided_pairs(spark, d))
+    steps = F.arrays_zip(F.col("anchors").alias("a"), F.expr("slice(anchors, 2, greatest(size(anchors) - 1, 0))").alias("b"))
+    rows = pairs.select("pair_id", F.length("query").cast("bigint").alias("n"), (F.col("pair_id") % 3 == 0).alias("turned"), F.posexplode(steps).alias("k", "x")).where("x.b is not null")
+    rows = rows.select("*", F.expr("if(turned, x.b.query_end, x.a.query_start)").alias("qs"), F.expr("if(turned, x.a.query_end, x.b.query_start)").alias("qe"), F.col("x.a.ref_start").alias("ts"), F.col("x.b.ref_end").alias("te"))
     zero = F.lit(0).cast("bigint")
-    rows = pairs.select("pair_id", "n", F.when(turned, "-").otherwise("+").alias("strand"), F.explode(F.array(first, second)).alias("x")).select(
-        F.col("pair_id").alias("q"), F.col("n").alias("qlen"), "x.qs", "x.qe", "strand", F.col("pair_id").alias("t"), "x.ts", "x.te", "x.chain_no", F.concat((F.col("x.te") - F.col("x.ts")).cast("string"), F.lit("D"), (F.col("x.qe") - F.col("x.qs")).cast("string"), F.lit("I")).alias("cigar"),
-        zero.alias("matches"), zero.alias("block"), zero.alias("score"), F.lit("raw").alias("source"), F.lit("direct").alias("mode"), zero.alias("patches"),
+    rows = rows.where("qe > qs and abs(qe - qs - (te - ts)) <= 300").select(
+        F.col("pair_id").alias("q"), F.col("n").alias("qlen"), "qs", "qe", F.when(F.col("turned"), "-").otherwise("+").alias("strand"), F.col("pair_id").alias("t"), "ts", "te", (F.col("pair_id") * 1_000_000 + F.col("k")).alias("chain_no"),
+        F.concat((F.col("te") - F.col("ts")).cast("string"), F.lit("D"), (F.col("qe") - F.col("qs")).cast("string"), F.lit("I")).alias("cigar"), zero.alias("matches"), zero.alias("block"), zero.alias("score"),
+        F.lit("raw").alias("source"), F.lit("direct").alias("mode"), zero.alias("patches"),
     )
     chunks = lambda c: records.chunked(pairs.select(F.col("pair_id").alias("sequence_id"), F.col(c).alias("seq")), 4096)
     return rows, chunks("ref"), chunks("query")
@@ -143,8 +148,8 @@ def _cut_pairs(spark, d):
 
 @query()
 def records_realigned(spark, d):
-    """Halves of sequences whose overlap is clipped, aligned again from the bases that stay."""
-    rows, targets, queries = _cut_pairs(spark, d)
+    """Records between neighbouring anchors, clipped where they overlap by one, and aligned again from the bases that stay."""
+    rows, targets, queries = _anchor_records(spark, d)
     return normalising.realigned(normalising.normalised(rows, NORMALISING), targets, queries, 4096).drop("realign")
 
 

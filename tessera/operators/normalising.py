@@ -7,6 +7,8 @@ that runs along the target.  The query runs along it too once it is turned (``o_
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,13 +42,13 @@ def oriented(rows: DataFrame) -> DataFrame:
 def _decided(records: DataFrame, p: Normalising) -> DataFrame:
     """Records with their left neighbour ``l``, both overlaps with it, and the ``action`` that this makes on it.
 
-    Neighbours follow each other by (ts, qs, te, chain_no) on a track; what a record's action changes is only its left
+    Neighbours follow each other by (ts, qs, te, chain_no, qe, cigar) on a track; what a record's action changes is only its left
     neighbour or itself, so each is decided from the records as they came, but for one whose left neighbour was stitched
     away: of records that could all be stitched to the one before, every second is.
     """
     lead, tail = rec.exact_flanks(F.col("cigar"))
     rows = oriented(records).withColumns({"lead": lead, "tail": tail, "whole": (F.col("te") > F.col("ts")) & (F.col("qe") > F.col("qs"))})
-    over = Window.partitionBy("t", "q", "strand").orderBy("ts", "qs", "te", "chain_no")
+    over = Window.partitionBy("t", "q", "strand").orderBy("ts", "qs", "te", "chain_no", "qe", "cigar")
     left = F.lag(F.struct(*(c for c in rows.columns if c not in ("t", "q", "strand")))).over(over)
     rows = rows.withColumn("l", left).withColumn("place", F.row_number().over(over))
     above = lambda a, b: F.greatest(F.col(a) - F.col(b), F.lit(0))
@@ -126,13 +128,13 @@ def realigned(rows: DataFrame, targets: DataFrame, queries: DataFrame, size: int
     ref = named(rec.fetch(targets, wanted("t", "ts", "te", F.lit("+")), size), "t", "ts", "te", "ref").drop("ref_strand")
     query = named(rec.fetch(queries, wanted("q", "qs", "qe", F.col("strand")), size), "q", "qs", "qe", "bases").withColumnRenamed("bases_strand", "strand")
     both = asked.join(ref, ["t", "ts", "te"]).join(query, ["q", "qs", "qe", "strand"]).select(*rows.columns, "ref", "bases")
-    fields = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
+    fields, columns = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes), rows.columns
 
     def run(batches):
         for batch in batches:
             done = [segment_alignment(a, b) for a, b in zip(batch["ref"], batch["bases"])]
             batch["cigar"], batch["score"], batch["matches"] = [merged(c) for c, _, _ in done], [s for _, s, _ in done], [m for _, _, m in done]
-            yield batch[rows.columns]
+            yield batch[columns]
 
     new = both.repartition(*TRACK, "ts").mapInPandas(run, fields)
     ops = cigar_ops(F.col("cigar"))
@@ -194,7 +196,7 @@ def final_trimmed(bundles: DataFrame, overlap: float = 0.5, least: int = 40) ->
     """(TRACK, chain_no, box, score, part, cut): bundles (TRACK, chain_no, box, score) after better ones of their track took their place.
 
     The higher score is better, then the larger sum of both spans, then the smaller place and number.  Bundles that no
-    chain of overlaps on the reference joins can't cut each other, so each such island is a group of its own.
+    chain of overlaps on the reference joins can't cut each other, so each such island is settled on its own.
     """
     if overlap <= 0:
         raise ValueError("overlap must be above 0")
@@ -202,15 +204,22 @@ def final_trimmed(bundles: DataFrame, overlap: float = 0.5, least: int = 40) ->
     reach = F.max("ref_end").over(over.rowsBetween(Window.unboundedPreceding, -1))
     new = (reach.isNull() | (F.col("ref_start") >= reach)).cast("bigint")
     rows = bundles.select(*TRACK, "chain_no", *_BOX, F.col("score").cast("double").alias("score")).withColumn("new", new).withColumn("island", F.sum("new").over(over.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
-    kinds = dict(rows.dtypes)
-    fields = ", ".join([*(f"{c} {kinds[c]}" for c in [*TRACK, "chain_no", *_BOX, "score"]), "part bigint", "cut boolean"])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(span=group["ref_end"] - group["ref_start"] + group["query_end"] - group["query_start"])
-        group = group.sort_values(["score", "span", "ref_start", "query_start", "chain_no"], ascending=[False, False, True, True, True], kind="stable")
-        boxes = list(group[_BOX].itertuples(index=False, name=None))
-        kept = trimmed_boxes([tuple(map(int, b)) for b in boxes], group["strand"].iloc[0] == "+", overlap, least)
-        made = [(*row, *part, score, k, part != tuple(box)) for row, score, box, parts in zip(group[[*TRACK, "chain_no"]].itertuples(index=False, name=None), group["score"], boxes, kept) for k, part in enumerate(parts)]
-        return pd.DataFrame(made, columns=[*TRACK, "chain_no", *_BOX, "score", "part", "cut"])
-
-    return rows.groupBy(*TRACK, "island").applyInPandas(run, fields)
+    kinds, columns = dict(rows.dtypes), [*TRACK, "chain_no", *_BOX, "score"]
+    fields = ", ".join([*(f"{c} {kinds[c]}" for c in columns), "part bigint", "cut boolean"])
+    span = F.expr("ref_end - ref_start + query_end - query_start")
+    best_first = rows.repartition(*TRACK, "island").sortWithinPartitions(*TRACK, "island", F.desc("score"), span.desc(), "ref_start", "query_start", "chain_no").select("island", *columns)
+
+    def run(batches):
+        made = []
+        every = (row for batch in batches for row in batch.itertuples(index=False, name=None))
+        for (_, *track), group in groupby(every, key=itemgetter(0, 1, 2, 3)):
+            group = list(group)
+            for row, parts in zip(group, trimmed_boxes([tuple(map(int, r[5:9])) for r in group], track[2] == "+", overlap, least)):
+                made += [(*row[1:5], *part, row[9], k, part != tuple(row[5:9])) for k, part in enumerate(parts)]
+            if len(made) >= 10_000:
+                yield pd.DataFrame(made, columns=[*columns, "part", "cut"])
+                made = []
+        if made:
+            yield pd.DataFrame(made, columns=[*columns, "part", "cut"])
+
+    return best_first.mapInPandas(run, fields)

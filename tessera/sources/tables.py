@@ -231,4 +231,4 @@ TRACK_RECORDS = """parts as (select 'q' || (l_partkey % 7) as q, 't' || (l_suppk
   case when l_discount >= 0.05 then round(l_discount * 1000)::bigint else 0 end as grown, l_returnflag = 'A' as ins from lineitem),
 sized as (select *, k * 80 + 500 as o_start, k * 80 + 510 + 2 * arm + case when ins then grown else 0 end as o_end, k * 70 as ts, k * 70 + 2 * arm + 10 + case when ins then 0 else grown end as te,
   '10X' || case when grown > 0 then grown || case when ins then 'I' else 'D' end else '' end || arm || '=' as rest from parts),
-placed as (select *, row_number() over (partition by t, q, strand order by ts, case when strand = '+' then o_start else 1000000000 - o_end end, te, chain_no) as place from sized)"""
+placed as (select *, row_number() over (partition by t, q, strand order by ts, case when strand = '+' then o_start else 1000000000 - o_end end, te, chain_no, case when strand = '+' then o_end else 1000000000 - o_start end, arm || '=' || rest) as place from sized)"""
