@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tessera.jobs.queries import query
+from tessera.jobs.queries import ALPHA, alpha_prime, query
 from tessera.operators import evidence, normalising, records
-from tessera.operators.lineage import checkpointed
+from tessera.operators.lineage import checkpoint_folder, checkpointed
+from tessera.sources import staged
 from tessera.sources import tables as src
 
 #: Bases around a variant in which evidence is counted.
@@ -164,3 +167,36 @@ def final_bundles(spark, d):
     """Bundles after better ones of their track took their place."""
     rows = src.track_records(spark, d).select("q", "t", "strand", "chain_no", F.col("ts").alias("ref_start"), F.col("te").alias("ref_end"), F.col("qs").alias("query_start"), F.col("qe").alias("query_end"), "score")
     return normalising.final_trimmed(rows, 0.3, 40)
+
+
+# Tables between stages ------------------------------------------------------------------------------
+
+#: The sample columns that a stage table of anchors has.
+SAMPLES = [f"s{k}" for k in range(4)]
+STAGED = ALPHA + """,
+staged as (select e.anchor_id, e.sequence_id, e.center, e.group_id, e.groupable, e.anchor_id % 97 = 0 as odd, e.anchor_id % 89 = 0 as unlike from event_anchors e)"""
+
+
+def _stage_table(spark, d):
+    """Anchors with their counts by sample written as a stage's table and read back; some lines have a signed start or a flag in capitals."""
+    counts = alpha_prime(spark, d).groupBy("anchor_id").pivot("of_sample", SAMPLES).agg(F.first("alpha"))
+    rows = src.event_anchors(spark, d).join(counts, "anchor_id", "left").na.fill(0, SAMPLES)
+    start = F.when(F.col("anchor_id") % 97 == 0, F.concat(F.lit("+"), F.col("center").cast("string"))).otherwise(F.col("center").cast("string"))
+    flag = F.when(F.col("anchor_id") % 89 == 0, F.upper(F.col("groupable").cast("string"))).otherwise(F.col("groupable").cast("string"))
+    table = rows.select(F.col("group_id").alias("anchor_group_id"), start.alias("start"), (F.col("center") + 50).alias("end"), F.col("anchor_id").cast("string").alias("anchor_id"), F.col("sequence_id").cast("string").alias("sequence_id"), flag.alias("groupable"), *(F.col(s).alias(f"{s}_alpha_prime") for s in SAMPLES))
+    path = f"{checkpoint_folder(spark)}/stage-{uuid.uuid4().hex}"
+    staged.write_stage(table, path)
+    return staged.read_stage(spark, path, staged.GROUPED_ANCHORS, block=("alpha", "_alpha_prime"))
+
+
+@query("""select s.anchor_id::varchar as anchor_id, s.sequence_id::varchar as sequence_id, center as start, center + 50 as "end", group_id as anchor_group_id, groupable, 's' || k as of_sample, coalesce(alpha, 0)::bigint as alpha
+  from staged s cross join range(4) r(k) left join alpha a on a.anchor_id = s.anchor_id and a.of_sample = 's' || k where not odd and not unlike""", STAGED)
+def stage_table_rows(spark, d):
+    """The rows of a stage's table of anchors, a row a sample."""
+    return _stage_table(spark, d)[0].select("anchor_id", "sequence_id", "start", "end", "anchor_group_id", "groupable", F.explode("alpha").alias("of_sample", "alpha"))
+
+
+@query("""select case when odd then 'invalid integer in start: +' || center else 'invalid flag in groupable: ' || upper(groupable::varchar) end as reason, count(*) as n from staged where odd or unlike group by 1""", STAGED)
+def stage_table_rejects(spark, d):
+    """Why lines of a stage's table of anchors are left out."""
+    return _stage_table(spark, d)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
