@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -107,38 +109,54 @@ def maximum_matching(edges: DataFrame) -> DataFrame:
     """(left_id, right_id): a largest set of edges (left_id, right_id) without a common end.
 
     Components are matched one by one by augmenting paths, ends of few edges first; the number of pairs
-    is the only thing that all largest matchings share.
+    is the only thing that all largest matchings share.  A task goes through its components in turn and holds
+    the edges of one.
     """
     ends = edges.select((F.col("left_id") * 2).alias("u"), (F.col("right_id") * 2 + 1).alias("v")).distinct()
     named = ends.join(connected_components(ends), F.col("u") == F.col("node")).select("component", "u", "v")
 
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        around: dict[int, list[int]] = {}
-        for u, v in sorted(zip(group["u"].tolist(), group["v"].tolist())):
-            around.setdefault(u, []).append(v)
-        taken: dict[int, int] = {}
-        for root in sorted(around, key=lambda u: (len(around[u]), u)):
-            came, queue, free = {}, [root], None  # breadth first: v -> the u it was reached from
-            while queue and free is None:
-                grown = []
-                for u in queue:
-                    for v in around[u]:
-                        if v not in came:
-                            came[v] = u
-                            if v not in taken:
-                                free = v
-                                break
-                            grown.append(taken[v])
-                    if free is not None:
-                        break
-                queue = grown
-            while free is not None:
-                u = came[free]
-                before = next((v for v, x in taken.items() if x == u), None) if u != root else None
-                taken[free], free = u, before
-        return pd.DataFrame([(u // 2, v // 2) for v, u in sorted(taken.items())], columns=["left_id", "right_id"])
-
-    return named.groupBy("component").applyInPandas(match, "left_id long, right_id long")
+    def run(batches):
+        made = []
+        every = (row for batch in batches for row in batch.itertuples(index=False, name=None))
+        for _, group in groupby(every, key=itemgetter(0)):
+            made += largest_matching([(u, v) for _, u, v in group])
+            if len(made) >= 10_000:
+                yield pd.DataFrame(made, columns=["u", "v"])
+                made = []
+        if made:
+            yield pd.DataFrame(made, columns=["u", "v"])
+
+    ordered = named.repartition("component").sortWithinPartitions("component", "u", "v")
+    return ordered.mapInPandas(run, "u long, v long").select(F.expr("u div 2").alias("left_id"), F.expr("(v - 1) div 2").alias("right_id"))
+
+
+def largest_matching(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A largest set of the edges (u, v) of one component without a common end."""
+    around: dict[int, list[int]] = {}
+    for u, v in edges:
+        around.setdefault(u, []).append(v)
+    of_u: dict[int, int] = {}
+    of_v: dict[int, int] = {}
+    for root in sorted(around, key=lambda u: (len(around[u]), u)):
+        came, queue, free = {}, [root], None  # breadth first: v -> the u it was reached from
+        while queue and free is None:
+            grown = []
+            for u in queue:
+                for v in around[u]:
+                    if v not in came:
+                        came[v] = u
+                        if v not in of_v:
+                            free = v
+                            break
+                        grown.append(of_v[v])
+                if free is not None:
+                    break
+            queue = grown
+        while free is not None:
+            u = came[free]
+            before = of_u.get(u)
+            of_u[u], of_v[free], free = free, u, before
+    return sorted(of_u.items())
 
 
 def micro_scores(counts: DataFrame) -> DataFrame:
