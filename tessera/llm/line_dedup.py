@@ -19,6 +19,9 @@ from tessera.operators.lineage import checkpointed
 #: Multipliers and moduli of the two halves of the rolling hash.
 ROLL = (8191, 131071)
 MODULUS = 2147483647
+#: Words of the bitmap that tells which documents are joined (8 bytes each, a power of two), and SQL of a document's word and bit in it.
+WORDS = 1 << 19
+WORD, BIT = f"pmod(xxhash64(__id, __t), {WORDS}L)", f"cast(pmod(shiftright(xxhash64(__id, __t), 40), 64L) as int)"
 #: A line of more words than this is a chunk by itself, like the lines that it could be wrapped to.
 LONG_LINE = 50
 
@@ -58,6 +61,21 @@ def window_text(units: str, at: str) -> str:
     return f"if({at} % 2 = 0, concat({units}[{k}], '\\n', {core(f'{units}[{k} + 1]')}), {core(f'{units}[{k}]')})"
 
 
+def marks(keys: DataFrame) -> DataFrame:
+    """(__word, __mask): a bitmap of the rows (__id, __t), at most WORDS rows of 64 bits whatever their number."""
+    return keys.select(F.expr(WORD).alias("__word"), F.expr(f"shiftleft(1L, {BIT})").alias("__bits")).groupBy("__word").agg(F.bit_or("__bits").alias("__mask"))
+
+
+def marked(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
+    """``rows`` with ``__marked``: false only where (__id, __t) isn't among the keys of the bitmap.
+
+    So rows that nothing is joined to stay where they were read.  With many more keys than bits more
+    rows are marked than need be; the join that follows decides, and results don't change.
+    """
+    found = rows.withColumn("__word", F.expr(WORD)).join(F.broadcast(bitmap), "__word", "left")
+    return found.withColumn("__marked", F.expr(f"coalesce(getbit(__mask, {BIT}) = 1, false)")).drop("__word", "__mask")
+
+
 def repeated_windows(slim: DataFrame) -> DataFrame:
     """(__id, __t, at, lost) of windows of (__id, __t, __text) that an earlier document has; ``lost`` is null, or the window's text if others have its hash.
 
@@ -68,7 +86,7 @@ def repeated_windows(slim: DataFrame) -> DataFrame:
     shared = checkpointed(w.groupBy("h").agg(F.min("__id").alias("first_id"), F.max("__id").alias("last_id"), F.count("*").alias("n")).where("first_id < last_id").select("h", "n"))
     found = checkpointed(join_by_count(w, shared, "h"))
     wanted = found.groupBy("__id", "__t").agg(F.collect_set(F.struct("at", "h")).alias("__w"))
-    units = slim.join(wanted, ["__id", "__t"]).select("__id", F.expr(line_units("__text")).alias("u"), "__w")
+    units = marked(slim, marks(found)).where("__marked").join(wanted, ["__id", "__t"]).select("__id", F.expr(line_units("__text")).alias("u"), "__w")
     texts = units.select("__id", F.explode(F.expr(f"transform(__w, x -> named_struct('h', x.h, 'text', if(size(u) = 0, '', {window_text('u', 'x.at')})))")).alias("x"))
     # One row a task and hash goes into the shuffle.  Texts of one hash are equal if the least and the greatest are,
     # byte by byte; only if some hash has several is each text told from the others by itself.
@@ -94,8 +112,11 @@ def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     removed_lines and removed_chunks; other columns are kept.
     """
     slim = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("__id"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("__t"), F.col(text_column).alias("__text"))
-    lost = repeated_windows(slim).groupBy(F.col("__id").alias("__lost_id"), F.col("__t").alias("__lost_t")).agg(F.collect_set(F.struct("at", "lost")).alias("__lost"))
-    joined = docs.join(lost, (docs[id_column] == lost["__lost_id"]) & (F.xxhash64(F.coalesce(docs[text_column], F.lit(""))) == lost["__lost_t"]), "left").drop("__lost_id", "__lost_t")
+    gone = checkpointed(repeated_windows(slim).select("__id", "__t", "at", "lost"))
+    lost = gone.groupBy("__id", "__t").agg(F.collect_set(F.struct("at", "lost")).alias("__lost"))
+    keyed = marked(docs.withColumn("__id", F.col(id_column)).withColumn("__t", F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))), marks(gone))
+    whole = keyed.where("not __marked").withColumn("__lost", F.lit(None).cast(lost.schema["__lost"].dataType))
+    joined = keyed.where("__marked").join(lost, ["__id", "__t"], "left").unionByName(whole).drop("__id", "__t", "__marked")
     cut = joined.withColumn("__units", F.expr(line_units(f"`{text_column}`")))
     # size(...) names the column twice, so that the optimizer does not compute it again for each element.
     sure = f"filter(__lost, x -> x.lost is null or (size(__units) > 0 and x.lost = {window_text('__units', 'x.at')}))"

@@ -373,3 +373,12 @@ def test_equal_substrings_share_interior_phrases():
         names[key] = [set(n.tolist()) for _, _, n in phrases.text_names([text])]
     for a, b in zip(names["a"][:4], names["b"][:4]):
         assert len(a & b) > 0.7 * min(len(a), len(b))
+
+
+def test_line_dedup_bitmap_marks_all_keys(spark):
+    keys = spark.range(0, 3000, 3).selectExpr("id as __id", "xxhash64(id, 'x') as __t")
+    rows = spark.range(0, 3000).selectExpr("id as __id", "xxhash64(id, 'x') as __t").unionByName(spark.sql("select cast(null as bigint) as __id, 5L as __t"))
+    found = {r["__id"]: r["__marked"] for r in line_dedup.marked(rows, line_dedup.marks(keys)).collect()}
+    assert len(found) == 3001 and all(found[k] for k in range(0, 3000, 3)) and sum(found.values()) < 1010
+    nothing = line_dedup.marked(rows, line_dedup.marks(keys.limit(0)))
+    assert nothing.count() == 3001 and nothing.where("__marked").isEmpty()
