@@ -159,6 +159,14 @@ def token_ngrams(spark, d):
     return tokens.token_ngrams(_tokens(spark, d)).groupBy("sample", tokens.key("gram").alias("gram_key")).agg(F.count("*").alias("n"))
 
 
+@query("""select sha256(from_hex(array_to_string(list_transform(case when gram <= list_reverse(gram) then gram else list_reverse(gram) end, lambda x: printf('%02x%02x%02x%02x', strlen(x) % 256, strlen(x) // 256 % 256, strlen(x) // 65536 % 256, strlen(x) // 16777216) || hex(encode(x))), '')))[1:32] || ':' || len(gram) as fingerprint,
+  count(*) as n, count(distinct sample) as samples from grams group by 1""", GRAMS)
+def gram_fingerprints(spark, d):
+    """Token n-grams with an anchor by their fingerprint of fixed width: how often they stand, and in how many samples."""
+    by_sample = tokens.token_ngrams(_tokens(spark, d)).groupBy("sample", tokens.fingerprint("gram").alias("fingerprint")).agg(F.count("*").alias("n"))
+    return by_sample.groupBy("fingerprint").agg(F.sum("n").alias("n"), F.count("*").alias("samples"))
+
+
 @query("select sample, gram_key, length::bigint as length, sequence_id, start from minimal", GRAMS)
 def tmus(spark, d):
     """Minimal unique token substrings of every sample."""

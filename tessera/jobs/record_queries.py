@@ -118,6 +118,26 @@ def matches_expanded(spark, d):
     return done.select("pair_id", "matches", fx.consumed(ops, "=X").alias("columns"), F.size(ops).cast("bigint").alias("runs"))
 
 
+CIGAR_TEXTS = src.SEQUENCES + ",\n" + src.GUIDED + """,
+letters as (select pair_id, i, if(substr(ref, i, 1) = substr(copy, i, 1), '=', 'X') as op from (select *, unnest(generate_series(1, least(length(ref), length(copy)))) as i from guided)),
+runs as (select pair_id, op, min(i) as i, count(*) as n from (select *, i - row_number() over (partition by pair_id, op order by i) as island from letters) group by pair_id, op, island),
+texts as (select pair_id, string_agg(n || op, '' order by i) as cg, sum(n) filter (where op = '=') as matches from runs group by pair_id),
+sides as (select pair_id, length(ref)::bigint as tlen, length(copy)::bigint as qlen from guided)"""
+
+
+@query("""select 'q' || pair_id as qname, qlen, 0::bigint as qs, qlen as qe, '+' as strand, 't' || pair_id as tname, tlen, 0::bigint as ts, tlen as te, coalesce(matches, 0)::bigint as matches, greatest(tlen, qlen) as block, 255::bigint as mapq,
+  coalesce(cg, '') || case when tlen > qlen then (tlen - qlen) || 'D' when qlen > tlen then (qlen - tlen) || 'I' else '' end as cg from sides left join texts using (pair_id)""", CIGAR_TEXTS)
+def cigar_file_records(spark, d):
+    """Records of whole sequences, their altered copies and a CIGAR of one M and the rest, written as lines and read back."""
+    rows = src.guided_pairs(spark, d)
+    query = F.when(F.col("pair_id") % 3 == 0, fx.reverse_complement(F.col("query"))).otherwise(F.col("query"))
+    pairs = rows.select(F.concat(F.lit("q"), "pair_id").alias("qname"), query.alias("query"), F.concat(F.lit("t"), "pair_id").alias("tname"), F.col("ref").alias("target"))
+    n, m = F.length("query"), F.length("target")
+    rest = F.when(m > n, F.concat((m - n).cast("string"), F.lit("D"))).when(n > m, F.concat((n - m).cast("string"), F.lit("I"))).otherwise("")
+    found = stitching.cigar_records(pairs.withColumn("cigar", F.concat(F.least(m, n).cast("string"), F.lit("M"), rest)))
+    return paf.parse_lines(paf.to_lines(found)).select(*paf.COLUMNS, F.col("tags")["cg:Z"].alias("cg"))
+
+
 TRUTH_RULE = "recursive " + src.TRUTH_EVENTS + """,
 sized as (select *, greatest(ref_end - ref_start, 0) as span, case when ref_end > ref_start then ref_end - ref_start else query_delta end as len from truth_events),
 reach as (select *, case when kind in ('INV', 'DUP') then ref_start + len when kind = 'DEL' or (kind = 'BND' and span > 0) then ref_end else ref_start end as stop from sized),

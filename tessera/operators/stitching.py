@@ -165,3 +165,28 @@ def expand_matches(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame({"pair_id": batch["pair_id"], "cigar": done, "matches": [sum(int(n) for n, op in _RUN.findall(c) if op == "=") for c in done]})
 
     return rows.select("pair_id", "ref", "query", "cigar").mapInPandas(run, f"pair_id {dict(rows.dtypes)['pair_id']}, cigar string, matches long")
+
+
+def cigar_records(rows: DataFrame) -> DataFrame:
+    """Alignment records (``paf.COLUMNS`` and ``tags``) of whole texts (qname, query, tname, target) and the CIGAR between them.
+
+    M operations are told apart by letters and stand as the tag cg:Z; a block counts all operations, the
+    quality is 255.  Nulls are empty texts; a CIGAR that doesn't consume both texts is an error.
+    """
+
+    def run(batches):
+        for batch in batches:
+            done = [expanded(c, t, q) for c, t, q in zip(batch["cigar"], batch["target"], batch["query"])]
+            runs = [[(int(n), op) for n, op in _RUN.findall(c)] for c in done]
+            yield pd.DataFrame({
+                "qname": batch["qname"], "qlen": batch["query"].str.len(), "tname": batch["tname"], "tlen": batch["target"].str.len(), "cigar": done,
+                "matches": [sum(n for n, op in x if op == "=") for x in runs], "block": [sum(n for n, _ in x) for x in runs],
+            })
+
+    texts = rows.select("qname", "tname", *(F.coalesce(c, F.lit("")).alias(c) for c in ("query", "target", "cigar")))
+    found = texts.mapInPandas(run, "qname string, qlen long, tname string, tlen long, cigar string, matches long, block long")
+    zero = F.lit(0).cast("bigint")
+    return found.select(
+        "qname", "qlen", zero.alias("qs"), F.col("qlen").alias("qe"), F.lit("+").alias("strand"), "tname", "tlen", zero.alias("ts"), F.col("tlen").alias("te"), "matches", "block", F.lit(255).cast("bigint").alias("mapq"),
+        F.create_map(F.lit("cg:Z"), F.col("cigar")).alias("tags"),
+    )

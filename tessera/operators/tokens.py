@@ -57,6 +57,15 @@ def key(gram: str) -> Column:
     return F.array_join(canonical_array(F.col(gram)), ",")
 
 
+def fingerprint(gram: str) -> Column:
+    """A strand-free name of fixed width: 128 bits of the framed n-gram's SHA-256 as hex digits, a colon and its number of tokens.
+
+    As a key it takes the same room in a shuffle for tokens of any length.
+    """
+    digest = F.sha2(F.unhex(framed(canonical_array(F.col(gram)))), 256)
+    return F.concat(F.substring(digest, 1, 32), F.lit(":"), F.size(gram).cast("string"))
+
+
 def minimal_unique(grams: DataFrame) -> DataFrame:
     """(sample, gram_key, length, sequence_id, start): n-grams that occur once in their sample while neither trim by one token that holds an anchor does."""
     keyed = grams.withColumn("gram_key", key("gram"))

@@ -14,6 +14,13 @@ def sample_name(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.gz$", ""), r"\.(fasta|fna|fas|fa)$", "")
 
 
+def read_cigars(spark: SparkSession, path: str) -> DataFrame:
+    """(name, cigar) of files that hold one CIGAR each, plain or compressed; the name is the file's, without ``.gz`` and its suffix, and white space goes."""
+    rows = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+    name = F.regexp_replace(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.gz$", ""), r"\.[^.]*$", "")
+    return rows.select(name.alias("name"), F.regexp_replace("value", r"\s", "").alias("cigar"))
+
+
 def parse_fasta(records: DataFrame) -> DataFrame:
     """(sequence_id, seq, valid) of rows (value) that each hold the text after one ``>``: the header's first word, and the bases without white space, upper-cased.
 

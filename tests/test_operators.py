@@ -1,10 +1,12 @@
 """Order-dependent operators against brute force, and the published fixtures of scalar functions."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import sequence as fx
-from tessera.operators import anchors, chains
+from tessera.operators import anchors, chains, tokens
 from tessera.sources.paf import parse_lines, to_lines
 
 
@@ -137,3 +139,11 @@ def test_alignment_lines_round_trip(spark):
     lines = to_lines(rows).unionByName(spark.createDataFrame([("# comment",), ("",)], "value string"))
     got = sorted(parse_lines(lines).collect(), key=lambda r: r.qname)
     assert [tuple(r) for r in got] == [tuple(r) for r in sorted(rows.collect(), key=lambda r: r.qname)]
+
+
+def test_fingerprints_of_fixed_width(spark):
+    grams = [["A:x", "D:1"], ["D:1", "A:x"], ["A:x,D:1"], ["A:x"], ["A:" + "y" * 300, "D:2", "A:z"]]
+    rows = spark.createDataFrame([(g,) for g in grams], "gram array<string>")
+    got = [r[0] for r in rows.select(tokens.fingerprint("gram")).collect()]
+    want = [hashlib.sha256(b"".join(len(x.encode()).to_bytes(4, "little") + x.encode() for x in min(g, g[::-1]))).hexdigest()[:32] + f":{len(g)}" for g in grams]
+    assert got == want and got[0] == got[1] and len(set(got)) == 4
