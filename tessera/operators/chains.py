@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,11 +174,167 @@ def extract(ref: np.ndarray, query: np.ndarray, score: np.ndarray, plus: bool, p
     return out
 
 
+#: Stretches of up to LARGE rows are chained side by side, as many as have CELLS rows together.
+LARGE, CELLS = 8192, 1 << 15
+
+
+def _side_by_side(ref: np.ndarray, query: np.ndarray, score: np.ndarray, p: Params, width: int) -> list[list[tuple[np.ndarray, float]]]:
+    """``extract`` of many stretches at once, rows of matrices (padded with scores of -inf; query places grow along the strand).
+
+    No row has more than ``width`` rows within ``max_gap`` before it.  When rows go, others are looked at again, wave by
+    wave, for all stretches together: where a step led to a row that went or fell, where a row in the window rose, and where
+    a row that came into the window (which are ``predecessors`` of those left) would be a better step.
+    """
+    n, most = ref.shape
+    bound = width > p.predecessors
+    wide = most + width
+    gains = np.full((n, wide, width), -np.inf)
+    for k in range(1, min(width, most - 1) + 1):
+        dr, dq = ref[:, k:] - ref[:, :-k], query[:, k:] - query[:, :-k]
+        low, high = np.minimum(dr, dq), np.maximum(dr, dq)
+        ok = (low > 0) & (high <= p.max_gap)
+        if np.isfinite(p.max_ratio):
+            ok &= high <= p.max_ratio * low
+        at = np.nonzero(ok)
+        low, high = low[at], high[at]
+        if p.relative:
+            x = (high - low) / np.maximum(low, 1)
+            cost = p.gap_weight * x + np.sqrt(1 + x) - 1
+        else:
+            x = (high - low) / p.gap_unit
+            cost = p.gap_weight * x + np.log2(1 + x)
+        gains[at[0], at[1] + width + k, k - 1] = -cost
+    gains = gains.reshape(n * wide, width)
+    # A stretch's rows follow ``width`` empty places, which are those behind the stretch before, too.
+    own = np.full((n + 1, wide), -np.inf)
+    own[:n, width:] = score
+    own = own.ravel()
+    total, back, gain = own.copy(), np.full(len(own), -1), np.zeros(len(own))
+    steps = np.arange(1, width + 1)
+    window = np.full(len(own), min(width, p.predecessors))  # places before a row that it may step from
+
+    def settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Totals and steps of rows anew; the rows that fell and those that rose."""
+        if not width:
+            return rows[:0], rows[:0]
+        value = total[rows[:, None] - steps] + gains[rows]
+        if bound:
+            value[steps > window[rows][:, None]] = -np.inf
+        at = value.argmax(axis=1)
+        best = value[np.arange(len(rows)), at]
+        gain[rows] = np.maximum(best, 0)
+        new = np.where(best > 0, own[rows] + best, own[rows])
+        back[rows] = np.where(best > 0, rows - 1 - at, -1)
+        old, total[rows] = total[rows], new
+        return rows[new < old], rows[new > old]
+
+    def widened(lines: np.ndarray) -> np.ndarray:
+        """Rows of stretches for which one that came into their window is a better step."""
+        rows = np.flatnonzero((total[: n * wide].reshape(n, wide)[lines] > -np.inf).ravel())
+        rows += (begins[lines] - np.arange(len(lines)) * wide)[rows // wide]
+        line = rows // wide
+        first = np.searchsorted(line, line)
+        new = np.minimum(rows - rows[np.maximum(np.arange(len(rows)) - p.predecessors, first)], width)
+        full = np.arange(len(rows)) - first >= p.predecessors
+        new = np.where(full, new, width)
+        more = new > window[rows]
+        rows, new, old = rows[more], new[more], window[rows[more]]
+        window[rows] = new
+        better = np.zeros(len(rows), dtype=bool)
+        for e in range(1, int((new - old).max(initial=0)) + 1):
+            some = np.flatnonzero(new - old >= e)
+            at = old[some] + e
+            better[some] |= total[rows[some] - at] + gains[rows[some], at - 1] > gain[rows[some]]
+        return rows[better]
+
+    begins = np.arange(n) * wide
+    for k in range(most):
+        rows = begins + width + k
+        settle(rows[own[rows] > -np.inf])
+    out: list[list[tuple[np.ndarray, float]]] = [[] for _ in range(n)]
+    none = np.empty(0, dtype=np.int64)
+    fallen, risen, others, active = none, none, none, np.arange(n)
+    while len(active) or len(fallen) or len(risen):
+        if len(fallen) or len(risen) or len(others):
+            after = fallen[:, None] + steps
+            again = [after[back[after] == fallen[:, None]], others]
+            if len(risen):
+                after = (risen[:, None] + steps).ravel()
+                again.append(after[total[after] > -np.inf])
+            fallen, risen = settle(np.unique(np.concatenate(again)) if len(risen) or len(others) else again[0])
+            others = none
+        ready = np.setdiff1d(active, np.concatenate([fallen, risen]) // wide) if len(fallen) or len(risen) else active
+        if not len(ready):
+            continue
+        lines = total[: n * wide].reshape(n, wide)[ready]
+        end = lines.argmax(axis=1)
+        best = lines[np.arange(len(ready)), end]
+        good = (best >= p.min_score) & (best > -np.inf)
+        if not good.all():
+            active = np.setdiff1d(active, ready[~good])
+        taken, at, who = [], begins[ready[good]] + end[good], ready[good]
+        chain: dict[int, list[int]] = {g: [] for g in who.tolist()}
+        for g, value in zip(who.tolist(), best[good].tolist()):
+            out[g].append((chain[g], value))
+        while len(at):
+            for g, k in zip(who.tolist(), (at - begins[who] - width).tolist()):
+                chain[g].append(k)
+            taken.append(at)
+            at = back[at]
+            on = at >= 0
+            at, who = at[on], who[on]
+        if taken:
+            gone = np.concatenate(taken)
+            total[gone], back[gone] = -np.inf, -2
+            fallen = np.concatenate([fallen, gone])
+            others = widened(ready[good]) if bound else none
+    return [[(np.array(rows[::-1]), value) for rows, value in found] for found in out]
+
+
+def extract_all(bounds: np.ndarray, ref: np.ndarray, query: np.ndarray, score: np.ndarray, plus: np.ndarray, p: Params) -> list[list[tuple[np.ndarray, float]]]:
+    """``extract`` of each of the stretches that begin and end at ``bounds``; ``plus`` has a flag a stretch.
+
+    Those of about equal size go side by side.  Large ones, and those where more than three times as many rows as
+    ``predecessors`` stand within ``max_gap`` of another, go one by one.
+    """
+    size, begins = np.diff(bounds), bounds[:-1]
+    along = np.where(np.repeat(plus, size), query, -query)
+    out: list[list[tuple[np.ndarray, float]]] = [[] for _ in size]
+    reach = np.zeros(len(size), dtype=np.int64)
+    for g in np.flatnonzero(size > 1).tolist():
+        own = ref[bounds[g] : bounds[g + 1]]
+        reach[g] = (np.arange(len(own)) - np.searchsorted(own, own - p.max_gap)).max()
+    alone = (size > LARGE) | (reach > 3 * p.predecessors)
+    for g in np.flatnonzero(alone).tolist():
+        own = slice(bounds[g], bounds[g + 1])
+        out[g] = extract(ref[own], query[own], score[own], bool(plus[g]), p)
+    rest = np.flatnonzero(~alone & (size > 0))
+    rest = rest[np.lexsort((reach[rest], size[rest]))]
+    at = 0
+    while at < len(rest):
+        most, few = size[rest[at : at + CELLS]], at + 1
+        few = at + int(np.searchsorted(np.maximum(most, 1) * np.arange(1, len(most) + 1), CELLS, side="right"))
+        few = min(max(few, at + 1), at + int(np.searchsorted(most, 2 * most[0], side="right")))
+        these = rest[at:few]
+        most = int(size[these].max())
+        place = begins[these][:, None] + np.minimum(np.arange(most), size[these][:, None] - 1)
+        there = np.arange(most) < size[these][:, None]
+        # Padded rows stand too far off for any step.
+        far = np.where(there, 0, 2 * int(p.max_gap) + 2)
+        found = _side_by_side(ref[place] + far, along[place] + far, np.where(there, score[place], -np.inf), p, int(reach[these].max()))
+        for g, x in zip(these.tolist(), found):
+            out[g] = x
+        at = few
+    return out
+
+
 #: A chain: its track and stretch, place among the stretch's chains, sums, bounds, and its rows in order.
 _FIELDS = (
     "q string, t string, strand string, stretch long, place long, anchors long, both long, raw_score double, ref_start long, ref_end long, query_start long, query_end long, "
     "rows array<struct<ts: bigint, qs: bigint, score: double, both: boolean>>"
 )
+#: Rows of a task that are chained at once, and at least, unless it ends.
+TOGETHER = 1 << 17
 
 
 def distinct_pairs(pairs: DataFrame) -> DataFrame:
@@ -200,22 +358,68 @@ def _with_stretch(rows: DataFrame, p: Params) -> DataFrame:
     return celled.join(numbered.select(*TRACK, "cell", "stretch"), [*TRACK, "cell"]).drop("cell")
 
 
+def _chained(table: pa.Table, p: Params) -> pa.RecordBatch | None:
+    """Chains of whole stretches, sorted rows (q, t, strand, stretch, ts, qs, score, both)."""
+    track = [table.column(c).combine_chunks() for c in (*TRACK, "stretch")]
+    n = table.num_rows
+    begins = np.zeros(n, dtype=bool)
+    begins[:1] = True
+    for column in track:
+        codes = column.dictionary_encode().indices.to_numpy(zero_copy_only=False) if pa.types.is_string(column.type) else column.to_numpy(zero_copy_only=False)
+        begins[1:] |= codes[1:] != codes[:-1]
+    bounds = np.append(np.flatnonzero(begins), n)
+    ref, query, score, both = (table.column(c).to_numpy() for c in ("ts", "qs", "score", "both"))
+    plus = pc.equal(track[2].take(pa.array(bounds[:-1])), "+").to_numpy(zero_copy_only=False)
+    heads, places, totals, rows = [], [], [], []
+    for head, found in zip(bounds[:-1].tolist(), extract_all(bounds, ref, query, score, plus, p)):
+        for place, (own, total) in enumerate(found):
+            if len(own) >= p.min_anchors:
+                heads.append(head)
+                places.append(place)
+                totals.append(total)
+                rows.append(own + head)
+    if not rows:
+        return None
+    flat = np.concatenate(rows)
+    ends = np.cumsum([len(x) for x in rows])
+    first = np.concatenate(([0], ends[:-1]))
+    supported = np.add.reduceat(both[flat].astype(np.int64), first)
+    least = [f.reduceat(x[flat], first) for x in (ref, query) for f in (np.minimum, np.maximum)]
+    anchors = pa.StructArray.from_arrays([pa.array(x[flat]) for x in (ref, query, score, both)], ["ts", "qs", "score", "both"])
+    columns = [c.take(pa.array(heads)) for c in track] + [pa.array(places, pa.int64()), pa.array(ends - first), pa.array(supported), pa.array(totals, pa.float64()), *map(pa.array, least)]
+    out = pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(np.append(first, ends[-1:]).astype(np.int32)), anchors)], [f.split()[0] for f in _FIELDS.split("rows")[0].rstrip(", ").split(", ")] + ["rows"])
+    return out.filter(pa.array(supported >= p.min_both))
+
+
 def _stretches(pairs: DataFrame, p: Params) -> DataFrame:
-    """All chains of distinct anchor pairs that are long enough, by stretches of tracks."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        plus = group["strand"].iloc[0] == "+"
-        group = group.sort_values(["ts", "qs"], ascending=[True, plus], ignore_index=True)
-        ref, query, score, both = (group[c].to_numpy() for c in ("ts", "qs", "score", "both"))
-        head, out = tuple(group[c].iloc[0] for c in (*TRACK, "stretch")), []
-        for place, (own, total) in enumerate(extract(ref, query, score, plus, p)):
-            n = int(both[own].sum())
-            if len(own) >= p.min_anchors and n >= p.min_both:
-                rows = [{"ts": int(ref[k]), "qs": int(query[k]), "score": float(score[k]), "both": bool(both[k])} for k in own.tolist()]
-                out.append((*head, place, len(own), n, total, ref[own].min(), ref[own].max(), query[own].min(), query[own].max(), rows))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in _FIELDS.split("rows")[0].rstrip(", ").split(", ")] + ["rows"])
-
-    return _with_stretch(distinct_pairs(pairs), p).groupBy(*TRACK, "stretch").applyInPandas(run, _FIELDS)
+    """All chains of distinct anchor pairs that are long enough, by stretches of tracks.
+
+    Stretches are dealt to tasks by number, not by bytes, as chaining takes long for few bytes; a task holds the
+    rows of some stretches at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < TOGETHER:
+                continue
+            table = pa.Table.from_batches(held)
+            last = table.slice(table.num_rows - 1)
+            same = np.logical_and.reduce([pc.equal(table.column(c), last.column(c)[0]).to_numpy() for c in (*TRACK, "stretch")])
+            at = table.num_rows - int(same.sum())
+            held = table.slice(at).to_batches()
+            if at and (found := _chained(table.slice(0, at), p)):
+                yield found
+        if held and sum(b.num_rows for b in held) and (found := _chained(pa.Table.from_batches(held), p)):
+            yield found
+
+    spark = pairs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    keys = [*TRACK, "stretch"]
+    rows = _with_stretch(distinct_pairs(pairs), p).select(*keys, F.col("ts").cast("bigint"), F.col("qs").cast("bigint"), "score", F.col("both").cast("boolean"))
+    ordered = rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "ts", F.when(F.col("strand") == "+", F.col("qs")).otherwise(-F.col("qs")))
+    return ordered.mapInArrow(run, _FIELDS)
 
 
 def chains_with_rows(pairs: DataFrame, p: Params = Params()) -> DataFrame:
