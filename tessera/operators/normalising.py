@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions.sequence import cigar_ops, consumed
 from tessera.operators import records as rec
 from tessera.operators.chains import TRACK
-from tessera.operators.stitching import merged, segment_alignment
+from tessera.operators.stitching import merged, segment_alignments
 
 
 @dataclass(frozen=True)
@@ -132,7 +132,7 @@ def realigned(rows: DataFrame, targets: DataFrame, queries: DataFrame, size: int
 
     def run(batches):
         for batch in batches:
-            done = [segment_alignment(a, b) for a, b in zip(batch["ref"], batch["bases"])]
+            done = segment_alignments(batch["ref"].tolist(), batch["bases"].tolist())
             batch["cigar"], batch["score"], batch["matches"] = [merged(c) for c, _, _ in done], [s for _, s, _ in done], [m for _, _, m in done]
             yield batch[columns]
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.sequence import CODES, COMPLEMENTS, reverse_complement
 from tessera.operators.alignment import global_alignment
+from tessera.operators.batched import global_alignments, near_alignments
 from tessera.operators.wavefront import GAP, near_alignment, wave_alignment
 
 #: Segments whose alignment costs more than a fifth of the table's rows fill it, if it has so many cells at most; all others are aligned by wavefronts.
@@ -91,6 +92,25 @@ def segment_alignment(ref: str, query: str) -> tuple[str, int, int]:
     return (near_alignment(ref, query, most) if GAP * abs(len(ref) - len(query)) <= most else None) or global_alignment(ref, query)
 
 
+def segment_alignments(refs: list[str], queries: list[str]) -> list[tuple[str, int, int]]:
+    """``segment_alignment`` of every pair, with those that take the same way done together."""
+    out: list[tuple[str, int, int] | None] = [None] * len(refs)
+    rest = []
+    for at, (ref, query) in enumerate(zip(refs, queries)):
+        if not ref or not query or (len(ref) + 1) * (len(query) + 1) > MOST_CELLS:
+            out[at] = segment_alignment(ref, query)
+        elif ref == query:
+            out[at] = f"{len(ref)}=", len(ref), len(ref)
+        else:
+            rest.append(at)
+    for at, x in zip(rest, near_alignments([refs[at] for at in rest], [queries[at] for at in rest], [len(refs[at]) // 5 for at in rest])):
+        out[at] = x
+    rest = [at for at in rest if out[at] is None]
+    for at, x in zip(rest, global_alignments([refs[at] for at in rest], [queries[at] for at in rest])):
+        out[at] = x
+    return out
+
+
 _RUN = re.compile(r"([0-9]+)([=XIDM])")
 
 
@@ -115,7 +135,7 @@ def anchor_guided(pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            done = pd.DataFrame([segment_alignment(a, b) for a, b in zip(batch["ref"], batch["query"])], columns=["cigar", "score", "matches"])
+            done = pd.DataFrame(segment_alignments(batch["ref"].tolist(), batch["query"].tolist()), columns=["cigar", "score", "matches"])
             yield pd.concat([batch[["pair_id", "no", "anchor"]].reset_index(drop=True), done], axis=1)
 
     kind = dict(pairs.dtypes)["pair_id"]
