@@ -87,17 +87,27 @@ def safe_name(text: Column) -> Column:
     return F.regexp_replace(text, "[^A-Za-z0-9._-]", "_")
 
 
-def nearby(calls: DataFrame, truth: DataFrame, distance: int) -> DataFrame:
-    """(event_id, near, nearest, ids): for every call the places of ``truth`` on its chromosome within ``distance``: their number, the smallest distance, and their ids in order.
+def near_places(places: DataFrame, truth: DataFrame, distance: int) -> DataFrame:
+    """(chrom, pos, near, nearest, ids): for every different place the rows of ``truth`` on its chromosome within ``distance``.
 
-    Both sides are dealt by cells of the distance, so a call meets three cells.
+    Both sides are dealt by cells of the distance, so a place meets three cells; the ids at one place of ``truth`` move as one
+    list, so what moves grows with places times lists, not with pairs of rows.
     """
     cell = F.expr(f"pos div {distance + 1}")
-    left = calls.select("event_id", "chrom", "pos", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    right = truth.select(F.col("event_id").alias("other"), "chrom", F.col("pos").alias("at"), cell.alias("cell"))
+    left = places.select("chrom", "pos").distinct().select("chrom", "pos", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    right = truth.groupBy("chrom", "pos").agg(F.collect_list("event_id").alias("others")).select("chrom", F.col("pos").alias("at"), cell.alias("cell"), "others")
     met = left.join(right, ["chrom", "cell"]).withColumn("far", F.abs(F.col("pos") - F.col("at"))).where(F.col("far") <= distance)
-    found = met.groupBy("event_id").agg(F.count("*").alias("near"), F.min("far").alias("nearest"), F.array_join(F.array_sort(F.collect_list("other")), ",").alias("ids"))
-    return calls.select("event_id").join(found, "event_id", "left").select("event_id", F.coalesce("near", F.lit(0)).alias("near"), "nearest", F.coalesce("ids", F.lit("")).alias("ids"))
+    ids = F.array_join(F.array_sort(F.flatten(F.collect_list("others"))), ",")
+    return met.groupBy("chrom", "pos").agg(F.sum(F.size("others")).alias("near"), F.min("far").alias("nearest"), ids.alias("ids"))
+
+
+def nearby(calls: DataFrame, truth: DataFrame, distance: int) -> DataFrame:
+    """(event_id, near, nearest, ids): for every call the places of ``truth`` on its chromosome within ``distance``: their number, the smallest distance, and their ids in order.
+
+    Calls at one place have the same answer, which is made once and then joined to them.
+    """
+    found = near_places(calls, truth, distance)
+    return calls.select("event_id", "chrom", "pos").join(found, ["chrom", "pos"], "left").select("event_id", F.coalesce("near", F.lit(0)).alias("near"), "nearest", F.coalesce("ids", F.lit("")).alias("ids"))
 
 
 def flagged(calls: DataFrame, raw: DataFrame, keys: list[str], name: str = "in_raw") -> DataFrame:
