@@ -114,9 +114,10 @@ def near_pairs(left: DataFrame, right: DataFrame, levels: DataFrame, p: Params)
 def scored_candidates(asked: DataFrame, anchors: DataFrame, alpha: DataFrame, p: Params = Params(), most: int = LETTERS) -> DataFrame:
     """``asked`` with targets of the same group whose ``q_alpha + r_alpha - distance`` is over ``min_score``; the distance is the smaller of the forward and the reversed one.
 
-    Only pairs that share enough tokens for it are measured (see near_pairs).
+    Only pairs that share enough tokens for it are measured (see near_pairs).  Neither side of a pair has an alpha of 0, so
+    only anchors in ``alpha`` are put in order.
     """
-    terms = checkpointed(rarest_first(anchors))
+    terms = checkpointed(rarest_first(anchors.join(alpha.select("anchor_id"), "anchor_id", "left_semi")))
     far = alpha.join(anchors.select("anchor_id", F.col("sample").alias("target_sample"), "group_id", F.col("tokens").alias("far")), "anchor_id").join(terms.withColumnRenamed("terms", "far_terms"), "anchor_id")
     far = far.select(F.col("anchor_id").alias("target_anchor_id"), "target_sample", F.col("of_sample").alias("query_sample"), "group_id", "far", "far_terms", F.col("alpha").alias("r_alpha"))
     levels = alpha.agg(F.array_sort(F.collect_set("alpha")).alias("levels"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.sequence import canonical_array
+from tessera.operators.lineage import checkpointed
 from tessera.sources.tables import TOKEN_BIN
 
 #: Tokens on each side of a context, and the longest substring: a whole context.
@@ -66,16 +67,30 @@ def fingerprint(gram: str) -> Column:
     return F.concat(F.substring(digest, 1, 32), F.lit(":"), F.size(gram).cast("string"))
 
 
+#: Where an n-gram stands.
+PLACE = ["sequence_id", "start", "length"]
+
+
+def unique_grams(grams: DataFrame) -> DataFrame:
+    """(sample, gram_key, sequence_id, start, length): n-grams that occur once in their sample, with their place.
+
+    Where the count is one, the least of each column is that of the one occurrence; sums of fixed width need no sort.
+    """
+    keyed = grams.select("sample", key("gram").alias("gram_key"), *PLACE)
+    counts = keyed.groupBy("sample", "gram_key").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in PLACE))
+    return counts.where("n = 1").drop("n")
+
+
 def minimal_unique(grams: DataFrame) -> DataFrame:
-    """(sample, gram_key, length, sequence_id, start): n-grams that occur once in their sample while neither trim by one token that holds an anchor does."""
-    keyed = grams.withColumn("gram_key", key("gram"))
-    counts = keyed.groupBy("sample", "gram_key").agg(F.count("*").alias("n"), F.min(F.struct("sequence_id", "start", "length", "gram")).alias("x"))
-    unique = counts.where("n = 1").select("sample", "gram_key", "x.*")
-    names = unique.select("sample", F.col("gram_key").alias("trim_key"))
-    trims = unique.withColumn("left", F.slice("gram", F.lit(1), F.size("gram") - 1)).withColumn("right", F.slice("gram", F.lit(2), F.greatest(F.size("gram") - 1, F.lit(0))))
-    return (
-        trims.withColumn("trim_key", key("left")).join(names, ["sample", "trim_key"], "left_anti").withColumn("trim_key", key("right")).join(names, ["sample", "trim_key"], "left_anti").select("sample", "gram_key", "length", "sequence_id", "start")
-    )
+    """(sample, gram_key, length, sequence_id, start): n-grams that occur once in their sample while neither trim by one token that holds an anchor does.
+
+    A trim that is unique stands at the n-gram's place and nowhere else, so trims are looked up by their places.
+    """
+    unique = checkpointed(unique_grams(grams))
+    left = unique.select("sample", "sequence_id", "start", (F.col("length") + 1).alias("length"))
+    right = unique.select("sample", "sequence_id", (F.col("start") - 1).alias("start"), (F.col("length") + 1).alias("length"))
+    keys = ["sample", *PLACE]
+    return unique.join(left, keys, "left_anti").join(right, keys, "left_anti").select("sample", "gram_key", "length", "sequence_id", "start")
 
 
 def substring_hits(grams: DataFrame, minimal: DataFrame) -> DataFrame:
