@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,3 +247,12 @@ def test_chains_with_noise_equal_chaining_the_rest_again():
         ref, query, score = map(np.array, zip(*rows))
         got = [(round(total, 6), [rows[k][:2] for k in own.tolist()]) for own, total in chains.extract(ref, query, score, plus, p)]
         assert got == greedy_by_hand(rows, plus, p) and max(len(x[1]) for x in got) > 8
+
+
+def test_a_pair_is_refined_from_boxes_and_free_anchors_alone():
+    # No anchors of primary chains are held; what one strand's chain uses is gone for the other.
+    boxes = pd.DataFrame({"strand": ["+", "-"], "chain_no": [0, 0], "ref_start": [0, 0], "ref_end": [50, 50], "query_start": [0, 0], "query_end": [50, 50]})
+    free = pa.table({"strand": ["+"] * 3 + ["-"] * 3, "ts": [10, 20, 30] * 2, "qs": [10, 20, 30, 30, 20, 10], "score": [5.0] * 6, "both": [True] * 6})
+    p, r = chains.Params(max_gap=100, gap_weight=0.0), refinement.Refinement(0, 2)
+    found = [(strand, kind, rows[0].tolist(), rows[1].tolist()) for strand, kind, _, _, _, rows, _ in refinement.refine_pair(boxes, free, p, r)]
+    assert found == [("+", "around", [10, 20, 30], [10, 20, 30]), ("-", "around", [10, 30], [30, 10])]
