@@ -7,9 +7,12 @@ anchors (ref_start, ref_end, query_start, query_end), half-open places in the tw
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,37 +157,75 @@ def anchor_guided(pairs: DataFrame) -> DataFrame:
     return said.select("pair_id", "strand", "cigar", "score", "matches", "block_length", F.coalesce("guides", F.lit(0).cast("bigint")).alias("guides"))
 
 
-def expanded(cigar: str, ref: str, query: str) -> str:
-    """A CIGAR with its M operations as runs of = and X by the texts' letters; one that doesn't consume both texts is an error."""
+def expanded_runs(cigar: str, ref: str, query: str) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, operations) of a CIGAR with its M operations as runs of = and X by the texts' letters; one that doesn't consume both texts is an error."""
     r, q = (np.frombuffer(x.upper().encode(), dtype=np.uint8) for x in (ref, query))
     i = j = 0
-    out = []
+    sizes, ops = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype="<U1")]
     for n, op in _RUN.findall(cigar):
         n = int(n)
         if op == "M":
             if i + n > len(r) or j + n > len(q):
                 break
             same = r[i : i + n] == q[j : j + n]
-            edges = np.flatnonzero(np.diff(same)) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), n]):
-                out.append(f"{b - a}{'=' if same[a] else 'X'}" if b > a else "")
+            begins = np.concatenate([np.zeros(min(n, 1), dtype=np.int64), np.flatnonzero(np.diff(same)) + 1])
+            sizes.append(np.diff(begins, append=n))
+            ops.append(np.where(same[begins], "=", "X"))
         else:
-            out.append(f"{n}{op}")
+            sizes.append(np.array([n]))
+            ops.append(np.array([op]))
         i, j = i + n * (op != "I"), j + n * (op != "D")
     if (i, j) != (len(r), len(q)) or _RUN.sub("", cigar):
         raise ValueError(f"the CIGAR doesn't fit texts of {len(r)} and {len(q)} letters: {cigar[:80]}")
-    return merged("".join(out))
+    size, op = np.concatenate(sizes), np.concatenate(ops)
+    size, op = size[size > 0], op[size > 0]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(op), 1), dtype=bool), op[1:] != op[:-1]]))
+    return np.add.reduceat(size, first) if len(first) else size, op[first]
+
+
+def _written(size: np.ndarray, op: np.ndarray) -> str:
+    return "".join([f"{n}{x}" for n, x in zip(size.tolist(), op.tolist())])
+
+
+def expanded(cigar: str, ref: str, query: str) -> str:
+    """A CIGAR as ``expanded_runs`` has it, written."""
+    return _written(*expanded_runs(cigar, ref, query))
+
+
+#: Bytes of texts whose operations are written at once.
+SLICE = 1 << 22
+
+
+def _slices(batch: pa.RecordBatch, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """A batch's rows in slices of about SLICE bytes of these columns' texts; a longer row is a slice of its own."""
+    size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    of = np.cumsum(size) // SLICE
+    bounds = np.flatnonzero(np.concatenate([np.ones(min(len(of), 1), dtype=bool), of[1:] != of[:-1]])).tolist() + [len(of)]
+    for begin, end in zip(bounds, bounds[1:]):
+        yield batch.slice(begin, end - begin)
+
+
+def _expanded_columns(part: pa.RecordBatch, ref: str, query: str) -> tuple[list[str], list[int], list[int]]:
+    """(CIGARs, matches, all operations' lengths) of a slice's rows."""
+    texts, matches, blocks = [], [], []
+    for row in zip(*(part.column(c).to_pylist() for c in ("cigar", ref, query))):
+        size, op = expanded_runs(*row)
+        texts.append(_written(size, op))
+        matches.append(int(size[op == "="].sum()))
+        blocks.append(int(size.sum()))
+    return texts, matches, blocks
 
 
 def expand_matches(rows: DataFrame) -> DataFrame:
     """(pair_id, cigar, matches) of rows (pair_id, ref, query, cigar) with M operations told apart."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [expanded(c, a, b) for c, a, b in zip(batch["cigar"], batch["ref"], batch["query"])]
-            yield pd.DataFrame({"pair_id": batch["pair_id"], "cigar": done, "matches": [sum(int(n) for n, op in _RUN.findall(c) if op == "=") for c in done]})
+            for part in _slices(batch, ["ref", "query"]):
+                texts, matches, _ = _expanded_columns(part, "ref", "query")
+                yield pa.RecordBatch.from_arrays([part.column("pair_id"), pa.array(texts, pa.string()), pa.array(matches, pa.int64())], ["pair_id", "cigar", "matches"])
 
-    return rows.select("pair_id", "ref", "query", "cigar").mapInPandas(run, f"pair_id {dict(rows.dtypes)['pair_id']}, cigar string, matches long")
+    return rows.select("pair_id", "ref", "query", "cigar").mapInArrow(run, f"pair_id {dict(rows.dtypes)['pair_id']}, cigar string, matches long")
 
 
 def cigar_records(rows: DataFrame) -> DataFrame:
@@ -194,17 +235,16 @@ def cigar_records(rows: DataFrame) -> DataFrame:
     quality is 255.  Nulls are empty texts; a CIGAR that doesn't consume both texts is an error.
     """
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [expanded(c, t, q) for c, t, q in zip(batch["cigar"], batch["target"], batch["query"])]
-            runs = [[(int(n), op) for n, op in _RUN.findall(c)] for c in done]
-            yield pd.DataFrame({
-                "qname": batch["qname"], "qlen": batch["query"].str.len(), "tname": batch["tname"], "tlen": batch["target"].str.len(), "cigar": done,
-                "matches": [sum(n for n, op in x if op == "=") for x in runs], "block": [sum(n for n, _ in x) for x in runs],
-            })
+            for part in _slices(batch, ["target", "query"]):
+                texts, matches, blocks = _expanded_columns(part, "target", "query")
+                length = lambda c: pc.utf8_length(part.column(c)).cast(pa.int64())
+                columns = [part.column("qname"), length("query"), part.column("tname"), length("target"), pa.array(texts, pa.string()), pa.array(matches, pa.int64()), pa.array(blocks, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["qname", "qlen", "tname", "tlen", "cigar", "matches", "block"])
 
     texts = rows.select("qname", "tname", *(F.coalesce(c, F.lit("")).alias(c) for c in ("query", "target", "cigar")))
-    found = texts.mapInPandas(run, "qname string, qlen long, tname string, tlen long, cigar string, matches long, block long")
+    found = texts.mapInArrow(run, "qname string, qlen long, tname string, tlen long, cigar string, matches long, block long")
     zero = F.lit(0).cast("bigint")
     return found.select(
         "qname", "qlen", zero.alias("qs"), F.col("qlen").alias("qe"), F.lit("+").alias("strand"), "tname", "tlen", zero.alias("ts"), F.col("tlen").alias("te"), "matches", "block", F.lit(255).cast("bigint").alias("mapq"),

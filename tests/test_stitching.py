@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.operators import stitching, truth, wavefront
@@ -192,3 +193,11 @@ def test_expanded_matches(spark):
             stitching.expanded(cigar, "ACGT", "ACGT")
     rows = spark.createDataFrame([(7, "ACGT", "ACCT", "4M")], "pair_id long, ref string, query string, cigar string")
     assert [tuple(r) for r in stitching.expand_matches(rows).collect()] == [(7, "2=1X1=", 3)]
+
+
+def test_texts_are_expanded_in_slices_of_bounded_bytes(monkeypatch):
+    monkeypatch.setattr(stitching, "SLICE", 10)
+    batch = pa.RecordBatch.from_pydict({"target": ["ACGT", "ACGTACGTACGT", "", "AC"], "query": ["ACGA", "ACGTACGTACGT", "", "AC"], "cigar": ["4M", "12M", "", "2M"]})
+    parts = list(stitching._slices(batch, ["target", "query"]))
+    assert len(parts) > 1 and sum(p.num_rows for p in parts) == 4
+    assert [x for p in parts for x in zip(*stitching._expanded_columns(p, "target", "query"))] == [("3=1X", 3, 4), ("12=", 12, 12), ("", 0, 0), ("2=", 2, 2)]
