@@ -7,7 +7,7 @@ Hot keys are spread over their blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,21 +60,46 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_ends:
     return begun.unionByName(inside)
 
 
-def overlap_totals(windows: DataFrame, rows: DataFrame, keys: list[str], ends: tuple[str, str], row_ends: tuple[str, str], name: str) -> DataFrame:
-    """Distinct (keys, ends) of ``windows`` with ``name``, how many of ``rows`` overlap each, without making the pairs.
+#: Positions of a cell within which running counts are made.
+RUN = 1 << 16
+
+
+def overlap_counts(windows: DataFrame, sources: dict[str, DataFrame], keys: list[str], ends: tuple[str, str], row_ends: tuple[str, str]) -> DataFrame:
+    """Distinct (keys, ends) of ``windows`` with a column for each source: how many of its rows overlap each, without making the pairs.
 
-    Rows that hold a window's start are added up over the blocks above it, rows that begin behind that over the blocks
-    that tile the rest of the window; both are counted by block first.
+    Rows that begin before a window's end, without those that end at its start or before it: two running counts, whatever the
+    lengths.  They run within cells of RUN positions, on top of what the cells before hold; rows of one place are added up first.
     """
     (a, b), (c, d) = ends, row_ends
-    asked = windows.select(*keys, a, b).distinct()
-    held_by, own = [*keys, "__level", "__node"], [*keys, a, b]
-    open_ = asked.where(F.col(b) > F.col(a))
-    counted = rows.where(F.col(d) > F.col(c)).groupBy(*keys, F.col(c).cast("bigint").alias("__c"), F.col(d).cast("bigint").alias("__d")).agg(F.count(F.lit(1)).alias("__n"))
-    by_block = _tiled(counted, "__c", "__d").groupBy(*held_by).agg(F.sum("__n").alias("__n"))
-    starts = _held(open_, f"cast(`{a}` as bigint)", counted, F.expr("__d - __c")).join(by_block, held_by).select(*own, "__n")
-    begun = counted.groupBy(*keys, "__c").agg(F.sum("__n").alias("__n"))
-    firsts = _held(begun, "__c", open_, F.expr(f"`{b}` - `{a}`")).groupBy(*held_by).agg(F.sum("__n").alias("__n"))
-    behind = _tiled(open_, f"(cast(`{a}` as bigint) + 1)", f"cast(`{b}` as bigint)").join(firsts, held_by).select(*own, "__n")
-    found = starts.unionByName(behind).groupBy(*own).agg(F.sum("__n").alias(name))
-    return asked.join(found, own, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+    own, place = [*keys, a, b], [*keys, "__cell", "__at"]
+    cell = F.floor(F.col("__at") / RUN).alias("__cell")
+    both = [f"__{x}{k}" for k in range(len(sources)) for x in ("begun", "ended")]
+    steps = None
+    for k, rows in enumerate(sources.values()):
+        at = F.explode(F.array(F.struct(F.col(c).cast("bigint").alias("at"), F.lit(2 * k).alias("what")), F.struct(F.col(d).cast("bigint").alias("at"), F.lit(2 * k + 1).alias("what"))))
+        part = rows.where(F.col(d) > F.col(c)).dropna(subset=keys).select(*keys, at.alias("__x")).select(*keys, F.col("__x.at").alias("__at"), F.col("__x.what").alias("__what"))
+        steps = part if steps is None else steps.unionByName(part)
+    counted = steps.select(*keys, cell, "__at", "__what").groupBy(*place).agg(*(F.count_if(F.col("__what") == k).alias(n) for k, n in enumerate(both)))
+    until = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = counted.groupBy(*keys, "__cell").agg(*(F.sum(n).alias(n) for n in both))
+    # What a cell holds counts from the next cell on: a row of its own, before all places of the next cell that is asked or has rows.
+    asked = windows.select(*own).distinct()
+    asks = asked.withColumn("__at", F.explode(F.array(F.col(b).cast("bigint") - 1, F.col(a).cast("bigint")))).select(*own, cell, "__at")
+    nothing = [F.lit(0).cast("bigint").alias(n) for n in both]
+    every = cells.unionByName(asks.select(*keys, "__cell").distinct().select(*keys, "__cell", *nothing)).groupBy(*keys, "__cell").agg(*(F.sum(n).alias(n) for n in both))
+    before = every.select(*keys, "__cell", *((F.sum(n).over(until) - F.col(n)).alias(n) for n in both)).withColumn("__at", F.lit(None).cast("bigint"))
+    marks = [F.lit(None).cast(windows.schema[x].dataType).alias(x) for x in (a, b)]
+    rows = before.select(*place, *both, *marks, F.lit(False).alias("__asks")).unionByName(counted.select(*place, *both, *marks, F.lit(False).alias("__asks")))
+    rows = rows.unionByName(asks.select(*place, *nothing, a, b, F.lit(True).alias("__asks")))
+    within = Window.partitionBy(*keys, "__cell").orderBy(F.col("__at").asc_nulls_first())
+    found = rows.select(*own, "__at", "__asks", *(F.sum(n).over(within).alias(n) for n in both)).where("__asks")
+    last, first = F.col("__at") == F.col(b).cast("bigint") - 1, F.col("__at") == F.col(a).cast("bigint")
+    totals = (F.coalesce(F.max(F.when(last, F.col(f"__begun{k}"))) - F.max(F.when(first, F.col(f"__ended{k}"))), F.lit(0).cast("bigint")).alias(n) for k, n in enumerate(sources))
+    out = found.groupBy(*own).agg(*totals)
+    is_open = (F.col(b) > F.col(a)) & ~F.array_contains(F.array(*(F.col(x).isNull() for x in keys)), True)
+    return out.select(*own, *(F.when(is_open, F.col(n)).otherwise(0).alias(n) for n in sources))
+
+
+def overlap_totals(windows: DataFrame, rows: DataFrame, keys: list[str], ends: tuple[str, str], row_ends: tuple[str, str], name: str) -> DataFrame:
+    """``overlap_counts`` of one source."""
+    return overlap_counts(windows, {name: rows}, keys, ends, row_ends)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
-from tessera.operators.dyadic import containing, overlap_pairs, overlap_totals
+from tessera.operators.dyadic import containing, overlap_counts, overlap_pairs
 
 #: Genotypes without another allele than the reference's.
 REFERENCE_GENOTYPES = [".", "./.", "0", "0/0", "0|0"]
@@ -178,10 +178,8 @@ def local_evidence(variants: DataFrame, sources: dict[str, DataFrame], window: i
     A source of centres has [centre - 1, centre + 1), as both borders of the window count there.
     """
     rows = variants.withColumns({"low": F.greatest(F.col("start") - window, F.lit(0)).cast("bigint"), "high": (F.col("end") + window).cast("bigint")})
-    out = rows
-    for name, found in sources.items():
-        own = found.select("q", "t", F.col("start").alias("__s"), F.col("end").alias("__e"))
-        out = out.join(overlap_totals(rows, own, ["q", "t"], ("low", "high"), ("__s", "__e"), name), ["q", "t", "low", "high"], "left")
+    own = {name: found.select("q", "t", F.col("start").alias("__s"), F.col("end").alias("__e")) for name, found in sources.items()}
+    out = rows.join(overlap_counts(rows, own, ["q", "t"], ("low", "high"), ("__s", "__e")), ["q", "t", "low", "high"], "left")
     return out.select("event_id", "q", "t", "low", "high", *(F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in sources))
 
 

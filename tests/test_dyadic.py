@@ -42,3 +42,16 @@ def test_nothing_to_meet(spark):
     assert dyadic.overlap_pairs(some, none, ["key"], ("a", "b"), ("c", "d")).count() == 0
     assert [r.n for r in dyadic.overlap_totals(some, none, ["key"], ("a", "b"), ("c", "d"), "n").collect()] == [0]
     assert dyadic.overlap_totals(none.select("key", F.col("c").alias("a"), F.col("d").alias("b")), some.select("key", F.col("a").alias("c"), F.col("b").alias("d")), ["key"], ("a", "b"), ("c", "d"), "n").count() == 0
+
+
+def test_counts_of_several_sources_move_two_rows_each(spark):
+    left, right = spans(3, 200, 200_000, 90_000), spans(4, 200, 200_000, 90_000)
+    l = spark.createDataFrame([*left, ("a", 1, None, 9), (None, 2, 1, 9)], "key string, i long, a long, b long")
+    r = spark.createDataFrame([*right, *right[:50], (None, 1, 2, 5)], "key string, j long, c long, d long")
+    got = {(x.key, x.a, x.b): (x.all, x.few) for x in dyadic.overlap_counts(l, {"all": r, "few": r.where("j % 3 = 0")}, ["key"], ("a", "b"), ("c", "d")).collect()}
+
+    def meets(k, a, b, few):
+        return sum(m == k and a < b and c < d and a < d and c < b and (not few or j % 3 == 0) for m, j, c, d in [*right, *right[:50]])
+
+    assert got == {(k, a, b): (meets(k, a, b, False), meets(k, a, b, True)) for k, _, a, b in left} | {("a", None, 9): (0, 0), (None, 1, 9): (0, 0)}
+    assert max(x for x, _ in got.values()) > 20
