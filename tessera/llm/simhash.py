@@ -142,8 +142,8 @@ def run_edges(words: np.ndarray, start: int, threshold: int) -> tuple[np.ndarray
     return np.concatenate(a), np.concatenate(b)
 
 
-def _links(threshold: int):
-    """Edges between fingerprints that share a key, of rows sorted by key."""
+def _links(threshold: int, start_of=lambda key: (key >> 26) // 13):
+    """Edges between fingerprints that share a key, of rows sorted by key; ``start_of`` a key is its segment."""
 
     def of(key: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
@@ -151,12 +151,12 @@ def _links(threshold: int):
         a, b = [], []
         for run in np.flatnonzero(size > SMALL_RUN).tolist():
             own = words[bounds[run] : bounds[run + 1]]
-            i, j = run_edges(own, int((key[bounds[run]] >> 26) // 13), threshold)
+            i, j = run_edges(own, int(start_of(key[bounds[run]])), threshold)
             a.append(own[i])
             b.append(own[j])
         small = np.repeat(size <= SMALL_RUN, size)
         left = np.repeat(bounds[1:], size) - np.arange(len(key)) - 1  # rows of the run that follow
-        start = ((key >> 26) // 13).astype(np.int64)
+        start = start_of(key).astype(np.int64)
         for step in range(1, SMALL_RUN):
             i = np.flatnonzero(small & (left >= step))
             if not len(i):
@@ -199,6 +199,41 @@ def _links(threshold: int):
     return run
 
 
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp) sorted by key of rows (place, fp) sorted by place: the 13 keys of each segment are made in its task."""
+    held: list[np.ndarray] = []  # the last place's rows, which may go on in the next batch
+
+    def keys(rows: np.ndarray) -> pa.RecordBatch:
+        words = rows[1].view(np.uint64)
+        follow = np.select([rows[0] >> 13 == i for i in range(len(WIDTHS))], [segment(words, i + 1) for i in range(len(WIDTHS))]).astype(np.int64)
+        j = np.arange(13)[:, None]
+        key = ((rows[0] << 17) + (j << 13) + (follow & ~(1 << j))).ravel()
+        order = np.argsort(key, kind="stable")
+        return pa.RecordBatch.from_arrays([pa.array(key[order]), pa.array(np.tile(rows[1], 13)[order])], ["key", "fp"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+        at = int(np.searchsorted(rows[0], rows[0, -1]))
+        if held and (at or held[-1][0, -1] != rows[0, 0]):
+            yield keys(np.concatenate([*held, rows[:, :at]], axis=1))
+            held = []
+        elif at:
+            yield keys(rows[:, :at])
+        held.append(rows[:, at:])
+    if held:
+        yield keys(np.concatenate(held, axis=1))
+
+
+def ring_links(prints: DataFrame, threshold: int = 4) -> DataFrame:
+    """Links (u, v) that connect the different fingerprints of (fp) as the ring does; five rows a fingerprint are shuffled, and a task's links are a forest."""
+    places = F.array(*(F.expr(f"{i * 8192}L + (shiftrightunsigned(fp, {SHIFTS[i]}) & {(1 << WIDTHS[i]) - 1})") for i in range(len(WIDTHS))))
+    dealt = prints.distinct().select(F.explode(places).alias("place"), "fp").repartition("place").sortWithinPartitions("place")
+    links = _links(threshold, lambda key: key >> 30)
+    return dealt.mapInArrow(lambda batches: links(_chained(batches)), "u long, v long").distinct()
+
+
 def forest(edges: np.ndarray) -> np.ndarray:
     """Edges (2, n) that connect the same nodes: each node of a component with its smallest one."""
     names, at = np.unique(edges, return_inverse=True)

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tessera.llm import shingle_sets
+from tessera.llm import shingle_sets, simhash
 from tests.llm.test_text_operators import ROWS, docs
 
 
@@ -70,3 +70,31 @@ def test_odd_rows(spark):
     kept = [r.doc_id for r in shingle_sets.keep_one(docs(spark, ROWS)).collect()]
     assert sorted(x for x in kept if x is not None) == sorted({c for _, c in groups_by_hand(rows)}) and kept.count(None) == 2
     assert shingle_sets.keep_one(docs(spark, [])).count() == 0
+
+
+def none_meet(batches):
+    """In place of the meeting by shingles."""
+    for batch in batches:
+        yield from ()
+
+
+def test_the_ring_alone_finds_the_nearest_copies(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = list(rng.choice([f"w{k}" for k in range(3000)], 900))
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(["first", *words[1:]])), (4, " ".join(rng.choice(words, 900)))]
+    monkeypatch.setattr(shingle_sets, "_meeting", none_meet)
+    assert {(r.doc_id, r.component_id) for r in shingle_sets.near_duplicates(docs(spark, rows)).collect()} == groups_by_hand(rows) == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_ring_links_connect_what_all_pairs_do(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    words = [int(b) for b in base] + [int(b) ^ sum(1 << int(k) for k in set(rng.integers(0, 64, n))) for b in base for n in (1, 3, 4, 5, 6)]
+    words = sorted(set(words) | {int(base[0]) ^ (1 << i) ^ (1 << j) for i in range(30) for j in range(i, 30)})  # one long run
+    a = np.array(words, dtype=np.uint64)
+    near = np.argwhere(np.triu(np.bitwise_count(a[:, None] ^ a[None, :]) <= 4, 1))
+    want = simhash.components(len(a), near[:, 0], near[:, 1])
+    signed = a.view(np.int64).tolist()
+    at = {x: k for k, x in enumerate(signed)}
+    got = [(at[r.u], at[r.v]) for r in simhash.ring_links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()]
+    assert (simhash.components(len(a), *np.array(got).T) == want).all() and len(set(want.tolist())) < len(a)
