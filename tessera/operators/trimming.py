@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
@@ -132,39 +131,71 @@ def trim_track(parts: list[Part], filters: chaining.Params, p: Params) -> list[P
     return accepted
 
 
-def skeleton(r0: np.ndarray, r1: np.ndarray, q0: np.ndarray, q1: np.ndarray, weight: np.ndarray) -> list[int]:
-    """Indices of the heaviest sequence of chains in which none ends behind the next one's start on either axis; the first found of equal ones.
+class Skeleton:
+    """Chains in the order in which a skeleton takes them, and their ranks on the query; made once, asked again while chains leave.
 
     Chains are taken by start on the reference; those that ended by then stand in a tree of maxima over ends on the
-    query, so each finds its best predecessor in logarithmic time.
+    query, so each finds its best predecessor in logarithmic time.  What stands before the first chain that left is not
+    searched for again.
     """
-    order = np.lexsort((r1, q0, r0))
-    n = len(order)
-    ends = np.unique(q1)
-    best: list[tuple[float, int]] = [(0.0, 1)] * (len(ends) + 1)  # prefix maxima: (total, minus the place)
-    total, back, waiting = [0.0] * n, [-1] * n, []
-    for i, k in enumerate(order.tolist()):
-        while waiting and waiting[0][0] <= r0[k]:
-            _, j = heapq.heappop(waiting)
-            at, value = int(np.searchsorted(ends, q1[order[j]])) + 1, (total[j], -j)
-            while at <= len(ends):
-                if best[at] < value:
-                    best[at] = value
-                at += at & -at
-        at, found = int(np.searchsorted(ends, q0[k], "right")), (0.0, 1)
-        while at:
-            found = max(found, best[at])
-            at -= at & -at
-        total[i] = float(weight[k])
-        if found[1] <= 0:
-            total[i] += found[0]
-            back[i] = -found[1]
-        heapq.heappush(waiting, (r1[k], i))
-    k, out = max(range(n), key=lambda i: (total[i], -i)) if n else -1, []
-    while k >= 0:
-        out.append(int(order[k]))
-        k = back[k]
-    return out[::-1]
+
+    def __init__(self, r0: np.ndarray, r1: np.ndarray, q0: np.ndarray, q1: np.ndarray, weight: np.ndarray):
+        self.order = np.lexsort((r1, q0, r0))
+        ends = np.unique(q1)
+        self.size = len(ends)
+        self.start, self.weight = r0[self.order].tolist(), np.asarray(weight, dtype=np.float64)[self.order].tolist()
+        self.stands, self.asks = (np.searchsorted(ends, x[self.order], "right").tolist() for x in (q1, q0))
+        self.place = np.empty(len(r0), dtype=np.int64)
+        self.place[self.order] = np.arange(len(r0))
+        by_end = np.lexsort((np.arange(len(r0)), r1[self.order]))
+        self.ended = list(zip(r1[self.order][by_end].tolist(), by_end.tolist()))
+        self.alive = [True] * len(r0)
+        self.total, self.back = [0.0] * len(r0), [-1] * len(r0)
+        self.since = 0
+
+    def leave(self, k: int) -> None:
+        """Take a chain out."""
+        at = int(self.place[k])
+        self.alive[at] = False
+        self.since = min(self.since, at)
+
+    def heaviest(self) -> list[int]:
+        """Indices of the heaviest sequence of chains in which none ends behind the next one's start on either axis; the first found of equal ones."""
+        n, size, start, alive, total, back, asks, stands = len(self.start), self.size, self.start, self.alive, self.total, self.back, self.asks, self.stands
+        best: list[tuple[float, int]] = [(0.0, 1)] * (size + 1)  # prefix maxima: (total, minus the place)
+        ended, next_ = self.ended, 0
+        for i in range(self.since, n):
+            if not alive[i]:
+                continue
+            while next_ < n and ended[next_][0] <= start[i] and ended[next_][1] < i:
+                j = ended[next_][1]
+                next_ += 1
+                if alive[j]:
+                    at, value = stands[j], (total[j], -j)
+                    while at <= size and best[at] < value:  # else those that hold it are as large
+                        best[at] = value
+                        at += at & -at
+            at, found = asks[i], (0.0, 1)
+            while at:
+                if found < best[at]:
+                    found = best[at]
+                at &= at - 1
+            total[i], back[i] = self.weight[i], -1
+            if found[1] <= 0:
+                total[i] += found[0]
+                back[i] = -found[1]
+        self.since = n
+        k = max((i for i in range(n) if alive[i]), key=lambda i: (total[i], -i), default=-1)
+        out = []
+        while k >= 0:
+            out.append(int(self.order[k]))
+            k = back[k]
+        return out[::-1]
+
+
+def skeleton(r0: np.ndarray, r1: np.ndarray, q0: np.ndarray, q1: np.ndarray, weight: np.ndarray) -> list[int]:
+    """``heaviest`` of all chains."""
+    return Skeleton(r0, r1, q0, q1, weight).heaviest()
 
 
 #: What the context test says about a chain beside its class.
@@ -191,10 +222,6 @@ class Track:
         differ = abs((self.r0[right] - self.r1[left]) - (self.q0[right] - self.q1[left]))
         return GAP_WEIGHT * float(np.log1p(differ / GAP_SCALE))
 
-    def bones(self, without: np.ndarray) -> list[int]:
-        rows = np.flatnonzero(~without)
-        return rows[skeleton(self.r0[rows], self.r1[rows], self.q0[rows], self.q1[rows], self.weight[rows])].tolist() if len(rows) else []
-
     def excursion(self, path: list[int]) -> tuple[int, dict] | None:
         """The chain of a skeleton that leaves the diagonal and comes back, whose place in it costs most (the first of equal ones)."""
         worst = None
@@ -209,16 +236,21 @@ class Track:
                 worst = k, {"left_no": left, "right_no": right, "bracket_axis": "diagonal"} | found
         return worst
 
-    def bracket(self, k: int, path: np.ndarray, on_query: bool) -> dict | None:
+    def axis(self, path: np.ndarray, on_query: bool) -> tuple:
+        """One axis, the other one, and the starts and ends on the first of a skeleton's chains."""
+        a0, a1, b0, b1 = (self.q0, self.q1, self.r0, self.r1) if on_query else (self.r0, self.r1, self.q0, self.q1)
+        return a0, a1, b0, b1, a0[path], a1[path], path, on_query
+
+    def bracket(self, k: int, axis: tuple) -> dict | None:
         """How far a chain lies outside of what its neighbours on one axis leave between them on the other.
 
-        ``path`` is a skeleton, which is in order on both axes, so neighbours are found by bisection.
+        A skeleton is in order on both axes, so neighbours are found by bisection.
         """
-        a0, a1, b0, b1 = (self.q0, self.q1, self.r0, self.r1) if on_query else (self.r0, self.r1, self.q0, self.q1)
-        left, right = np.searchsorted(a1[path], a0[k], "right") - 1, np.searchsorted(a0[path], a1[k], "left")
+        a0, a1, b0, b1, starts, ends, path, on_query = axis
+        left, right = np.searchsorted(ends, a0[k], "right") - 1, np.searchsorted(starts, a1[k], "left")
         if left < 0 or right >= len(path):
             return None
-        left = np.searchsorted(a1[path], a1[path[left]], "left")  # the first of those that end alike
+        left = np.searchsorted(ends, ends[left], "left")  # the first of those that end alike
         low, high = path[left], path[right]
         violation = int(max(0, b1[low] - b0[k], b1[k] - b0[high]))
         if b1[low] > b0[high] or not violation:
@@ -229,18 +261,19 @@ class Track:
 
     def classes(self) -> list[tuple[str, dict]]:
         """Each chain's class and what decided it; the chain of the worst excursion leaves the skeleton until there is none."""
-        out, away = {}, np.zeros(len(self.r0), dtype=bool)
-        while (found := self.excursion(path := self.bones(away))) is not None:
-            away[found[0]] = True
+        out, bones = {}, Skeleton(self.r0, self.r1, self.q0, self.q1, self.weight)
+        while (found := self.excursion(path := bones.heaviest())) is not None:
+            bones.leave(found[0])
             out[found[0]] = "off_skeleton_excursion", found[1]
-        on, bones = set(path), np.array(path, dtype=np.int64)
+        on = set(path)
+        on_query, on_ref = (self.axis(np.array(path, dtype=np.int64), x) for x in (True, False))
         for k in range(len(self.r0)):
             if k in out:
                 continue
             if k in on:
                 out[k] = "syntenic_skeleton", {}
                 continue
-            found, other = self.bracket(k, bones, True), self.bracket(k, bones, False)
+            found, other = self.bracket(k, on_query), self.bracket(k, on_ref)
             if found is None or (other is not None and other["normalized_violation"] > found["normalized_violation"]):
                 found = other
             supported = found is not None and found["boundary_supported"]

@@ -55,6 +55,25 @@ def test_pairs_in_spark(spark):
     assert tuple(alignment.token_distances(tokens).first()) == (1, 2, 0)
 
 
+def test_skeleton_of_what_is_left_needs_no_new_search():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        n = int(rng.integers(1, 60))
+        r0, q0 = rng.integers(0, 80, n), rng.integers(0, 80, n)
+        r1, q1, w = r0 + rng.integers(0, 15, n), q0 + rng.integers(0, 15, n), rng.integers(1, 6, n).astype(np.float64)
+        made, left = trimming.Skeleton(r0, r1, q0, q1, w), np.arange(n)
+        while len(left):
+            path = made.heaviest()
+            assert path == left[trimming.skeleton(r0[left], r1[left], q0[left], q1[left], w[left])].tolist()
+            gone = int(rng.choice(path))
+            made.leave(gone)
+            first, searched = int(made.place[gone]), list(made.total)
+            made.heaviest()
+            assert made.total[: first + 1] == searched[: first + 1]
+            left = left[left != gone]
+        assert made.heaviest() == []
+
+
 def test_skeleton_against_all_subsets():
     rng = np.random.default_rng(3)
     for _ in range(20):
