@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 #: Words whose ids a Python worker remembers before it starts afresh.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 #: Parts longer than this are not remembered, and those with white space are encoded by ``tokenizers``.
 LONG_PART = 10_000
 #: Where a text may be cut: a space between two characters that are not white space.

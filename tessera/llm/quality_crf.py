@@ -31,6 +31,8 @@ class Params:
     penalty: float = 1e-3
 
 
+#: Bytes of texts that are worked on at once.
+SLICE = 1 << 20
 NAMES = ("upper", "digit", "symbol", "bar", "wide", "words", "word_length", "repeat", "run", "blank", "again")
 _bytes = np.arange(256)
 _UPPER = (_bytes >= 65) & (_bytes <= 90)
@@ -82,6 +84,12 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.stack(columns, axis=1), length + 1, n_lines
 
 
+def features_in_slices(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_features`` of any number of texts, made SLICE bytes at a time: a byte takes over 50 while it is hashed."""
+    parts = [line_features(texts[a:b]) for a, b in byte_slices(texts, SLICE)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def with_neighbours(own: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
     """A constant, each line's features, those of the line before and of the line after (zeros beyond the text)."""
     last = np.cumsum(n_lines) - 1
@@ -162,7 +170,7 @@ def fit_field(features: np.ndarray, n_lines: np.ndarray, good: np.ndarray, line_
 
 def document_good(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(length-weighted mean of the lines' probabilities of good, their probabilities, number of lines of each text, number of bad lines)."""
-    own, weight, n_lines = line_features(texts)
+    own, weight, n_lines = features_in_slices(texts)
     odds, _ = forward_backward(with_neighbours(own, n_lines) @ model.weights, n_lines, model.stay)
     good = 1 / (1 + np.exp(-odds))
     first = np.cumsum(n_lines) - n_lines
@@ -180,7 +188,7 @@ def train(texts: list[bytes], labels: list[int], p: Params = Params()) -> Model:
     if not texts or len(set(labels)) < 2:
         width = 1 + 3 * len(NAMES)
         return Model(np.zeros(width), np.zeros(2), 0.0, 2.0 if not labels or labels[0] else -2.0)
-    own, weight, n_lines = line_features(texts)
+    own, weight, n_lines = features_in_slices(texts)
     features = with_neighbours(own, n_lines).astype(np.float64)
     label = np.asarray(labels, dtype=np.float64)
     owner = np.repeat(np.arange(len(texts)), n_lines)
@@ -238,7 +246,7 @@ def score_documents(docs: DataFrame, model: Model, id_column: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8_list(batch.column(1))
-            for a, b in byte_slices(texts):
+            for a, b in byte_slices(texts, SLICE):
                 score, n_lines, bad = score_texts(model, texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score), pa.array(n_lines), pa.array(bad)], ["doc_id", "score", "n_lines", "bad_lines"])
 
@@ -251,7 +259,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7, text_column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8_list(batch.column(text_column))
-            for a, b in byte_slices(texts):
+            for a, b in byte_slices(texts, SLICE):
                 yield batch.slice(a, b - a).filter(pa.array(score_texts(model, texts[a:b])[0] >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -9,6 +9,7 @@ without a shuffle.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -204,19 +205,24 @@ class Sample:
     """Tokenised training documents: their words' features once, and all their windows."""
 
     def __init__(self, texts: list[bytes], p: Params):
-        split = [[w.strip(EDGES).lower() for w in text.split()] for text in texts]
-        self.known = np.array([k for k, words in enumerate(split) if words], dtype=np.int64)
         names: dict[bytes, int] = {}
-        numbers = [[names.setdefault(w, len(names)) for w in split[k]] for k in self.known.tolist()]
-        self.lengths = np.array([len(x) for x in numbers], dtype=np.int64)
-        self.flat = np.fromiter(chain.from_iterable(numbers), dtype=np.int64, count=int(self.lengths.sum()))
+        known, lengths, flat = [], [], array("q")
+        for k, text in enumerate(texts):  # one text's words at a time: those of all together take ten times the texts' room
+            words = text.split()
+            if words:
+                known.append(k)
+                lengths.append(len(words))
+                flat.extend(names.setdefault(w.strip(EDGES).lower(), len(names)) for w in words)
+        self.known, self.lengths, self.flat = (np.array(x, dtype=np.int64) for x in (known, lengths, flat))
         self.words = list(names)
         if len(self.known):
             self.index, self.mask, self.owner = layout(self.flat, self.lengths, p)
 
     def frequent(self, p: Params) -> tuple[np.ndarray, np.ndarray]:
         """Which word buckets and n-gram buckets occur in enough of the documents to be learned."""
-        whole, ids, first = grams(self.words, p)
+        parts = [grams(self.words[a : a + 20_000], p) for a in range(0, len(self.words), 20_000)]
+        before = np.cumsum([0, *(len(x[1]) for x in parts)])
+        whole, ids, first = (np.concatenate(x) for x in zip(*((w, i, f + n) for (w, i, f), n in zip(parts, before.tolist()))))
         per_word = np.diff(np.concatenate((first, [len(ids)])))
         words, pieces = np.zeros(p.word_buckets, dtype=np.int64), np.zeros(p.gram_buckets, dtype=np.int64)
         for end, n in zip(np.cumsum(self.lengths).tolist(), self.lengths.tolist()):
