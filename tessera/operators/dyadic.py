@@ -48,16 +48,34 @@ def containing(points: DataFrame, rows: DataFrame, keys: list[str], at: str, sta
     return met.drop("__level", "__node")
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_ends: tuple[str, str], right_ends: tuple[str, str], cell: int = 64) -> DataFrame:
+def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_ends: tuple[str, str], right_ends: tuple[str, str], cell: int = 512) -> DataFrame:
     """Every pair of half-open intervals of equal ``keys`` that overlap, once, with the columns of both.
 
-    Two overlap if the left one begins inside the right one, or the right one begins inside the left one, behind its start.
+    An interval's level is the least k for which ``cell`` * 2**k is not under its length.  Two that overlap begin in equal or
+    neighbouring cells of the larger of their levels, and meet there only: a row stands at its own level for those of the other
+    side up to it, and at the larger levels that the other side has for those that are of them.  One of ``left`` stands in three
+    cells each time, so give the side with fewer rows as ``left``.
     """
-    l, r = (x.where(F.col(b) > F.col(a)) for x, (a, b) in ((left, left_ends), (right, right_ends)))
     columns = [*left.columns, *(c for c in right.columns if c not in keys)]
-    begun = containing(l, r, keys, left_ends[0], *right_ends, cell).select(columns)
-    inside = containing(r, l, keys, right_ends[0], *left_ends, cell).where(F.col(right_ends[0]) > F.col(left_ends[0])).select(columns)
-    return begun.unionByName(inside)
+
+    def own(x: DataFrame, ends: tuple[str, str]) -> DataFrame:
+        a, b = ends
+        return x.where(F.col(b) > F.col(a)).withColumn("__own", F.expr(f"cast(ceil(log2(greatest(ceil((`{b}` - `{a}`) / {cell}), 1))) as int)"))
+
+    def placed(x: DataFrame, levels: str, start: str, beside: str) -> DataFrame:
+        """Rows under (level, whether the right side's level is the larger one, cell)."""
+        rows = x.withColumn("__b", F.explode(F.expr(levels))).withColumns({"__level": F.col("__b.level"), "__far": F.col("__b.far")})
+        at = f"shiftright(cast(floor(`{start}` / {cell}) as bigint), __level)"
+        return rows.withColumn("__cell", F.explode(F.expr(f"transform({beside}, k -> {at} + k)"))).drop("__b", "__own", "__other")
+
+    l, r = own(left, left_ends), own(right, right_ends)
+    l_levels, r_levels = (x.agg(F.collect_set("__own")).scalar() for x in (l, r))
+    of_left = "concat(array(named_struct('level', __own, 'far', false)), transform(filter(__other, k -> k > __own), k -> named_struct('level', k, 'far', true)))"
+    of_right = """concat(transform(filter(__other, k -> k >= __own), k -> named_struct('level', k, 'far', false)),
+        if(exists(__other, k -> k < __own), array(named_struct('level', __own, 'far', true)), array()))"""
+    asks = placed(l.withColumn("__other", r_levels), of_left, left_ends[0], "array(-1L, 0L, 1L)")
+    met = asks.join(placed(r.withColumn("__other", l_levels), of_right, right_ends[0], "array(0L)"), [*keys, "__level", "__far", "__cell"])
+    return met.where((F.col(left_ends[0]) < F.col(right_ends[1])) & (F.col(right_ends[0]) < F.col(left_ends[1]))).select(columns)
 
 
 #: Positions of a cell within which running counts are made.

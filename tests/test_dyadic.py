@@ -37,6 +37,15 @@ def test_a_long_interval_stands_under_few_blocks(spark):
     assert sorted(p for x in got[3] for p in range(x.node << x.level, (x.node + 1) << x.level)) == list(range(-13, 41))
 
 
+def test_overlaps_shuffle_each_side_once(spark):
+    left, right = spans(5, 40, 4000, 300), [*spans(6, 40, 4000, 40), ("a", 99, -4000, 4000)]
+    l = spark.createDataFrame(left, "key string, i long, a long, b long")
+    r = spark.createDataFrame(right, "key string, j long, c long, d long")
+    found = dyadic.overlap_pairs(l, r, ["key"], ("a", "b"), ("c", "d"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert sorted((x.i, x.j) for x in found.collect()) == sorted((i, j) for k, i, a, b in left for m, j, c, d in right if k == m and a < b and c < d and a < d and c < b)
+
+
 def test_nothing_to_meet(spark):
     some, none = spark.createDataFrame([("a", 1, 1, 5)], "key string, i long, a long, b long"), spark.createDataFrame([], "key string, j long, c long, d long")
     assert dyadic.overlap_pairs(some, none, ["key"], ("a", "b"), ("c", "d")).count() == 0
