@@ -98,3 +98,37 @@ def test_ring_links_connect_what_all_pairs_do(spark):
     at = {x: k for k, x in enumerate(signed)}
     got = [(at[r.u], at[r.v]) for r in simhash.ring_links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()]
     assert (simhash.components(len(a), *np.array(got).T) == want).all() and len(set(want.tolist())) < len(a)
+
+
+def dense_rows(n):
+    """Copies of one text with up to eight words changed each, in groups over SMALL_RUN at a shingle: likenesses lie on both sides of 0.8."""
+    rng = np.random.default_rng(0)
+    base = [f"w{k}" for k in rng.choice(3000, 150)]
+    rows = []
+    for k in range(n):
+        edited = list(base)
+        for at in rng.choice(150, rng.integers(1, 8), replace=False):
+            edited[at] = f"dense{k}x{at}"
+        rows.append((k, " ".join(edited)))
+    return rows
+
+
+def test_large_groups_have_all_their_links(spark, monkeypatch):
+    rows = dense_rows(500)
+    want = groups_by_hand(rows)
+    assert 1 < len({c for _, c in want}) < len(rows)
+    assert {(r.doc_id, r.component_id) for r in shingle_sets.near_duplicates(docs(spark, rows)).collect()} == want
+    monkeypatch.setattr(shingle_sets, "BLOCK", 100)
+    assert {(r.doc_id, r.component_id) for r in shingle_sets.near_duplicates(docs(spark, rows)).collect()} == want
+
+
+def test_signatures_rule_out_nothing_alike():
+    rng = np.random.default_rng(1)
+    sets = [rng.integers(-(1 << 62), 1 << 62, int(n)) for n in (1, 5, 60, 64, 255, 300)]
+    for own in sets:
+        for lost in range(len(own) // 5 + 1):
+            other = own[lost:]
+            alike = 9 * len(other) >= 4 * (len(own) + len(other))
+            for far in ([False, True], [False, False]):
+                i, _ = shingle_sets.signed_pairs([shingle_sets.signature(own), shingle_sets.signature(other)], np.array([len(own), len(other)]), np.array(far))
+                assert len(i) or not alike
