@@ -305,11 +305,12 @@ cands as (select * from (select c.sample_a, c.sample_b, c.sample_b || ':' || b.s
 def _fine(spark, d):
     """(anchors with their contexts, alpha, shared counts) of finely grouped events, each computed once."""
     rows = src.event_anchors(spark, d, FINE)
-    stream = checkpointed(tokens.structural_tokens(rows))
+    # What anchors have goes along with their tokens, so that contexts need no join by anchor.
+    stream = checkpointed(tokens.structural_tokens(rows, keep=("center", "group_id")))
     grams = tokens.token_ngrams(stream)
     hits = checkpointed(tokens.substring_hits(grams, tokens.minimal_unique(grams)))
-    contexts = tokens.anchor_contexts(stream).select("anchor_id", "sample", "context_key", F.split("forward_tokens", r"\|").alias("tokens"))
-    found = checkpointed(contexts.join(rows.select("anchor_id", "sequence_id", "center", "group_id"), "anchor_id"))
+    contexts = tokens.anchor_contexts(stream, keep=("center", "group_id"))
+    found = checkpointed(contexts.select("anchor_id", "sample", "context_key", F.split("forward_tokens", r"\|").alias("tokens"), "sequence_id", "center", "group_id"))
     shared = matching.shared_counts(rows, matching.anchor_substrings(stream, hits, tokens.RADIUS))
     return found, checkpointed(tokens.alpha_prime(stream, hits)), checkpointed(shared)
 

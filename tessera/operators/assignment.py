@@ -46,12 +46,13 @@ def token_distance(left: Column, right: Column, most: int = LETTERS) -> Column:
 
 
 def queries(anchors: DataFrame, alpha: DataFrame, samples: DataFrame) -> DataFrame:
-    """(query_anchor_id, query_sample, target_sample, group_id, context_key, tokens, q_alpha): every anchor once for each other sample.
+    """(query_anchor_id, query_sample, target_sample, q_alpha): every anchor once for each other sample.
 
-    ``anchors`` has (anchor_id, sample, group_id, context_key, tokens); the samples of a comparison are a handful.
+    ``anchors`` has (anchor_id, sample); the samples of a comparison are a handful.  Rows are narrow, as there are as many as
+    anchors times samples; tokens are looked up for those that need them.
     """
     others = samples.select("sample").distinct().agg(F.array_sort(F.collect_set("sample")).alias("all"))
-    rows = anchors.join(F.broadcast(others)).select(F.col("anchor_id").alias("query_anchor_id"), F.col("sample").alias("query_sample"), F.explode("all").alias("target_sample"), "group_id", "context_key", "tokens").where("query_sample <> target_sample")
+    rows = anchors.join(F.broadcast(others)).select(F.col("anchor_id").alias("query_anchor_id"), F.col("sample").alias("query_sample"), F.explode("all").alias("target_sample")).where("query_sample <> target_sample")
     own = alpha.select(F.col("anchor_id").alias("query_anchor_id"), F.col("of_sample").alias("target_sample"), F.col("alpha").alias("q_alpha"))
     return rows.join(own, ["query_anchor_id", "target_sample"], "left").withColumn("q_alpha", F.coalesce("q_alpha", F.lit(0).cast("bigint")))
 
@@ -70,7 +71,8 @@ def _primary(rows: DataFrame, method: str) -> DataFrame:
 def by_exact_context(asked: DataFrame, anchors: DataFrame, alpha: DataFrame) -> DataFrame:
     """Primaries whose context one anchor of the target sample alone has, if either of them has unique substrings near it."""
     single = anchors.groupBy(F.col("sample").alias("target_sample"), "context_key").agg(F.count("*").alias("n"), F.min("anchor_id").alias("target_anchor_id")).where("n = 1").drop("n")
-    return _primary(_with_target(asked.join(single, ["target_sample", "context_key"]), alpha).where("q_alpha + r_alpha > 0"), "exact_context")
+    same = anchors.select("context_key", F.col("anchor_id").alias("query_anchor_id"), F.col("sample").alias("query_sample")).join(single, "context_key").where("query_sample <> target_sample").drop("context_key", "query_sample")
+    return _primary(_with_target(asked.join(same, ["query_anchor_id", "target_sample"]), alpha).where("q_alpha + r_alpha > 0"), "exact_context")
 
 
 def by_shared_substrings(asked: DataFrame, shared: DataFrame, alpha: DataFrame, p: Params = Params()) -> DataFrame:
@@ -103,9 +105,9 @@ def near_pairs(left: DataFrame, right: DataFrame, levels: DataFrame, p: Params)
     ask, have = leveled(left, "r_alpha"), leveled(right, "q_alpha").drop("room")
     first = lambda terms: F.slice(terms, F.lit(1), (room + 1).cast("int"))
     long_ask, long_have = F.size("terms") > room, F.size("far_terms") > room
-    one = ask.where(long_ask).withColumn("rarest", first("terms")).withColumn("term", F.explode("rarest"))
-    other = have.where(long_have).withColumn("far_rarest", first("far_terms")).withColumn("term", F.explode("far_rarest"))
-    met = one.join(other, [*keys, "term"]).where(F.element_at(F.array_intersect("rarest", "far_rarest"), 1) == F.col("term")).drop("term", "rarest", "far_rarest")
+    # Rows stand once for each of their rarest terms, so these are cut from the terms after the join and not carried along.
+    one, other = ask.where(long_ask).withColumn("term", F.explode(first("terms"))), have.where(long_have).withColumn("term", F.explode(first("far_terms")))
+    met = one.join(other, [*keys, "term"]).where(F.element_at(F.array_intersect(first("terms"), first("far_terms")), 1) == F.col("term")).drop("term")
     met = met.where(F.size(F.array_intersect("terms", "far_terms")) >= F.greatest(F.size("terms"), F.size("far_terms")) - F.col("room"))
     short = ask.where(~long_ask).join(have, keys).unionByName(ask.where(long_ask).join(have.where(~long_have), keys))
     return met.unionByName(short).drop("terms", "far_terms").where(F.abs(F.size("tokens") - F.size("far")) <= F.col("room")).drop("room")
@@ -115,13 +117,15 @@ def scored_candidates(asked: DataFrame, anchors: DataFrame, alpha: DataFrame, p:
     """``asked`` with targets of the same group whose ``q_alpha + r_alpha - distance`` is over ``min_score``; the distance is the smaller of the forward and the reversed one.
 
     Only pairs that share enough tokens for it are measured (see near_pairs).  Neither side of a pair has an alpha of 0, so
-    only anchors in ``alpha`` are put in order.
+    only anchors in ``alpha`` are looked up and put in order.
     """
-    terms = checkpointed(rarest_first(anchors.join(alpha.select("anchor_id"), "anchor_id", "left_semi")))
-    far = alpha.join(anchors.select("anchor_id", F.col("sample").alias("target_sample"), "group_id", F.col("tokens").alias("far")), "anchor_id").join(terms.withColumnRenamed("terms", "far_terms"), "anchor_id")
+    known = checkpointed(anchors.join(alpha.select("anchor_id"), "anchor_id", "left_semi").select("anchor_id", "sample", "group_id", "tokens"))
+    terms = checkpointed(rarest_first(known))
+    far = alpha.join(known.select("anchor_id", F.col("sample").alias("target_sample"), "group_id", F.col("tokens").alias("far")), "anchor_id").join(terms.withColumnRenamed("terms", "far_terms"), "anchor_id")
     far = far.select(F.col("anchor_id").alias("target_anchor_id"), "target_sample", F.col("of_sample").alias("query_sample"), "group_id", "far", "far_terms", F.col("alpha").alias("r_alpha"))
     levels = alpha.agg(F.array_sort(F.collect_set("alpha")).alias("levels"))
-    left = asked.where("q_alpha > 0").join(terms.withColumnRenamed("anchor_id", "query_anchor_id"), "query_anchor_id")
+    own = known.select(F.col("anchor_id").alias("query_anchor_id"), "group_id", "tokens")
+    left = asked.where("q_alpha > 0").join(own, "query_anchor_id").join(terms.withColumnRenamed("anchor_id", "query_anchor_id"), "query_anchor_id")
     met = near_pairs(left, far, levels, p)
     ways = met.withColumn("plus", token_distance(F.col("tokens"), F.col("far"), most)).withColumn("minus", token_distance(F.reverse("tokens"), F.col("far"), most))
     scored = ways.withColumn("edit_distance", F.least("plus", "minus")).withColumn("strand", F.when(F.col("minus") < F.col("plus"), "-").otherwise("+"))
@@ -195,7 +199,10 @@ def chain_candidates(rows: DataFrame, assigned: DataFrame, anchors: DataFrame) -
     more = assigned.where("status = 'ambiguous'").select(swap("target_sample", "query_sample").alias("sample_a"), swap("target_anchor_id", "query_anchor_id").alias("anchor_a"), swap("query_sample", "target_sample").alias("sample_b"), swap("query_anchor_id", "target_anchor_id").alias("anchor_b"), "score", F.col("strand").alias("reported"), F.lit(False).alias("both"), F.lit(1).alias("source"))
     first = Window.partitionBy("sample_a", "anchor_a", "sample_b", "anchor_b").orderBy("source", F.desc("score"), "reported")
     union = chosen.unionByName(more).withColumn("place", F.row_number().over(first)).where("place = 1 and score is not null")
-    at = lambda side: anchors.select(F.col("anchor_id").alias(f"anchor_{side}"), F.col("sequence_id").alias(f"sequence_{side}"), F.col("center").alias(f"center_{side}"), F.col("tokens").alias(f"tokens_{side}"))
+    union = checkpointed(union.drop("source", "place"))
+    ends = union.select(F.explode(F.array("anchor_a", "anchor_b")).alias("anchor_id"))
+    placed_anchors = checkpointed(anchors.join(ends, "anchor_id", "left_semi").select("anchor_id", "sequence_id", "center", "tokens"))
+    at = lambda side: placed_anchors.select(F.col("anchor_id").alias(f"anchor_{side}"), F.col("sequence_id").alias(f"sequence_{side}"), F.col("center").alias(f"center_{side}"), F.col("tokens").alias(f"tokens_{side}"))
     placed = union.join(at("a"), "anchor_a").join(at("b"), "anchor_b")
     strand = F.when(F.col("reported").isin("+", "-"), F.col("reported")).otherwise(pair_strand(F.col("tokens_a"), F.col("tokens_b"), F.reverse("tokens_b")))
     out = placed.withColumn("strand", strand).where("strand <> '.'")

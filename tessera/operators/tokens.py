@@ -14,13 +14,16 @@ RADIUS = 2
 MOST = 2 * RADIUS + 1
 
 
-def structural_tokens(anchors: DataFrame, width: int = TOKEN_BIN) -> DataFrame:
-    """(sample, sequence_id, token_index, token_type, token, anchor_id, raw_distance, distance_bin): A tokens at even places, D tokens between them."""
+def structural_tokens(anchors: DataFrame, width: int = TOKEN_BIN, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(sample, sequence_id, token_index, token_type, token, anchor_id, raw_distance, distance_bin): A tokens at even places, D tokens between them.
+
+    A tokens have the anchor's columns ``keep`` too, which are null in D tokens.
+    """
     over = Window.partitionBy("sequence_id").orderBy("center", "anchor_id")
-    rows = anchors.where("groupable").select("sample", "sequence_id", "anchor_id", "group_id", "center", (F.row_number().over(over) - 1).cast("bigint").alias("r"), (F.col("center") - F.lag("center").over(over)).alias("d"))
-    a = F.struct((2 * F.col("r")).alias("token_index"), F.lit("A").alias("token_type"), F.concat(F.lit("A:"), "group_id").alias("token"), F.col("anchor_id"), F.lit(None).cast("bigint").alias("raw_distance"), F.lit(None).cast("bigint").alias("distance_bin"))
+    rows = anchors.where("groupable").select("sample", "sequence_id", "anchor_id", "group_id", "center", (F.row_number().over(over) - 1).cast("bigint").alias("r"), (F.col("center") - F.lag("center").over(over)).alias("d"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    a = F.struct((2 * F.col("r")).alias("token_index"), F.lit("A").alias("token_type"), F.concat(F.lit("A:"), "group_id").alias("token"), F.col("anchor_id"), F.lit(None).cast("bigint").alias("raw_distance"), F.lit(None).cast("bigint").alias("distance_bin"), *(F.col(f"keep_{c}").alias(c) for c in keep))
     cell = F.expr(f"d div {width}")
-    d = F.struct((2 * F.col("r") - 1).alias("token_index"), F.lit("D").alias("token_type"), F.concat(F.lit("D:"), cell).alias("token"), F.lit(None).cast("bigint").alias("anchor_id"), F.col("d").alias("raw_distance"), cell.alias("distance_bin"))
+    d = F.struct((2 * F.col("r") - 1).alias("token_index"), F.lit("D").alias("token_type"), F.concat(F.lit("D:"), cell).alias("token"), F.lit(None).cast("bigint").alias("anchor_id"), F.col("d").alias("raw_distance"), cell.alias("distance_bin"), *(F.lit(None).cast(anchors.schema[c].dataType).alias(c) for c in keep))
     return rows.select("sample", "sequence_id", F.explode(F.when(F.col("r") > 0, F.array(d, a)).otherwise(F.array(a))).alias("x")).select("sample", "sequence_id", "x.*")
 
 
@@ -34,14 +37,14 @@ def framed(tokens: Column) -> Column:
     return F.array_join(F.transform(tokens, one), "")
 
 
-def anchor_contexts(tokens: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(anchor_id, sequence_id, sample, center_token_index, context_start, context_end, context_key, forward_tokens) of each anchor token."""
+def anchor_contexts(tokens: DataFrame, radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(anchor_id, sequence_id, sample, center_token_index, context_start, context_end, context_key, forward_tokens) of each anchor token, and its columns ``keep``."""
     over = Window.partitionBy("sequence_id").orderBy("token_index").rowsBetween(-radius, radius)
     last = Window.partitionBy("sequence_id")
     rows = tokens.select("*", F.collect_list("token").over(over).alias("context"), F.max("token_index").over(last).alias("last"))
     return rows.where("token_type = 'A'").select(
         "anchor_id", "sequence_id", "sample", F.col("token_index").alias("center_token_index"), F.greatest(F.lit(0), F.col("token_index") - radius).alias("context_start"),
-        F.least("last", F.col("token_index") + radius).alias("context_end"), F.sha2(F.unhex(framed(canonical_array(F.col("context")))), 256).alias("context_key"), F.array_join("context", "|").alias("forward_tokens"),
+        F.least("last", F.col("token_index") + radius).alias("context_end"), F.sha2(F.unhex(framed(canonical_array(F.col("context")))), 256).alias("context_key"), F.array_join("context", "|").alias("forward_tokens"), *keep,
     )
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import assignment
+from tessera.operators import assignment, tokens
 
 
 def distance(a, b):
@@ -51,3 +51,14 @@ def test_many_different_tokens(spark):
     assert row.select(assignment.token_distance(F.col("a"), F.col("b"))).first()[0] == 10
     with pytest.raises(Exception, match="different tokens"):
         row.select(assignment.token_distance(F.col("a"), F.col("b"), 100)).collect()
+
+
+def test_rows_of_anchors_times_samples_are_narrow_and_contexts_need_no_join(spark):
+    rows = spark.createDataFrame([(k, k % 3, f"s{k % 3}", 40 * k, f"v:{k % 2}", k != 4) for k in range(9)], "anchor_id long, sequence_id long, sample string, center long, group_id string, groupable boolean")
+    contexts = tokens.anchor_contexts(tokens.structural_tokens(rows, keep=("center", "group_id")), keep=("center", "group_id"))
+    plain = tokens.anchor_contexts(tokens.structural_tokens(rows)).join(rows.select("anchor_id", "center", "group_id"), "anchor_id")
+    assert sorted(contexts.select(plain.columns).collect()) == sorted(plain.collect()) and contexts.count() == 8
+    alpha = spark.createDataFrame([(0, "s1", 7)], "anchor_id long, of_sample string, alpha long")
+    asked = assignment.queries(contexts, alpha, contexts)
+    assert set(asked.columns) == {"query_anchor_id", "query_sample", "target_sample", "q_alpha"}
+    assert asked.count() == 16 and asked.where("q_alpha = 7").count() == 1
